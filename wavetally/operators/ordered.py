@@ -10,6 +10,9 @@ operators here cut every group into ordered cells first:
 3. a cell that is too full for one task is split into 65,536 linear parts
    between its own extremes.
 
+Groups are counted first: where even the largest fits into one task, the plain
+aggregate or window is used and the cells are left out.
+
 Running totals are taken over cells, then over the parts of a cell, then over
 the distinct values of a part, so no task ever holds more than one such list.
 """
@@ -28,7 +31,7 @@ PARTS_PER_CELL = 65536
 
 # Largest table sent to every task, and longest list sorted inside one task.
 MAX_BROADCAST_ROWS = 100_000
-MAX_SORTED_ROWS = 4_000_000
+MAX_SORTED_ROWS = 1_000_000
 
 
 def _cell(v: Column) -> Column:
@@ -53,11 +56,9 @@ def _wanted(n: Column, probs: Sequence[float], rule: str) -> Column:
         if rule == "linear":
             pos = (n - 1) * F.lit(float(p))
             pair = (F.floor(pos) + 1, F.ceil(pos) + 1)
-        elif rule == "index":
+        else:
             at = F.least(F.floor(n * F.lit(float(p))) + 1, n)
             pair = (at, at)
-        else:
-            raise ValueError(f"unknown percentile rule: {rule}")
         for side, r in enumerate(pair):
             ranks.append(F.struct(F.lit(2 * i + side).alias("slot"), r.cast("long").alias("r")))
     return F.array(*ranks)
@@ -75,6 +76,28 @@ def small_table(df: DataFrame, max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else None
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a table counted to be small; a larger one is joined by shuffle."""
+    few = small_table(df, MAX_BROADCAST_ROWS)
+    return df if few is None else F.broadcast(few)
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the largest group (reads the key columns only)."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _plain_percentiles(src: DataFrame, gk: Sequence[str], probs: dict[str, float], rule: str) -> DataFrame:
+    if rule == "linear":
+        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = src.groupBy(*gk).agg(F.percentile("_v", wanted).alias("_q"))
+        return found.select(*gk, *[F.col("_q")[i].alias(a) for i, a in enumerate(probs)])
+    found = src.groupBy(*gk).agg(F.sort_array(F.collect_list("_v")).alias("_q"))
+    n = F.size("_q")
+    at = {a: F.least(F.floor(n * F.lit(float(p))), n - 1).cast("int") for a, p in probs.items()}
+    return found.select(*gk, *[F.col("_q")[i].alias(a) for a, i in at.items()])
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,7 +112,8 @@ def exact_percentiles(
     ``floor(p * n)``. Nulls and NaN are left out. ``exact=False`` uses Spark's
     mergeable sketch instead.
 
-    A first pass counts cells (few thousand per group, combined map-side) and
+    Groups that fit into one task use the plain aggregate. For larger ones a
+    first pass counts cells (few thousand per group, combined map-side) and
     finds those that hold a wanted rank; it runs when the frame is built, as
     the sampling behind a range partitioning does. A second pass reads only the
     rows of these cells, so nearly nothing is shuffled. The wanted cells are
@@ -103,6 +127,11 @@ def exact_percentiles(
         out = src.groupBy(*gk).agg(F.percentile_approx("_v", ps, 100000).alias("_q"))
         return out.select(*keys, *[F.col("_q")[i].alias(a) for i, a in enumerate(probs)])
 
+    if rule not in ("linear", "index"):
+        raise ValueError(f"unknown percentile rule: {rule}")
+    if largest_group(src, gk) <= MAX_SORTED_ROWS:
+        return _plain_percentiles(src, gk, probs, rule).drop(*([] if keys else gk))
+
     src = src.withColumn("_c1", _cell(F.col("_v")))
     by_cell = Window.partitionBy(*gk).orderBy("_c1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = (
@@ -155,14 +184,23 @@ def exact_percentiles(
     return slots.select(*keys, *cols)
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
+def running_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], rows: DataFrame
+) -> DataFrame:
     """Add ``<m>_before`` (sum over smaller values) and ``<m>_total`` per group.
 
     ``counts`` holds one row per (group, value); ``measures`` are its numeric
-    count columns.
+    count columns; ``rows`` is what was counted, to tell how large groups are.
     """
     src, gk = _keyed(counts, keys)
     v = F.col(value)
+    if largest_group(rows, keys) <= MAX_SORTED_ROWS:
+        whole = Window.partitionBy(*gk)
+        upto = whole.orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = [(F.sum(m).over(upto) - F.col(m)).alias(f"{m}_before") for m in measures]
+        total = [F.sum(m).over(whole).alias(f"{m}_total") for m in measures]
+        return src.select(*counts.columns, *before, *total)
+
     src = src.withColumn("_c1", _cell(v))
     by_cell = Window.partitionBy(*gk).orderBy("_c1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = src.groupBy(*gk, "_c1").agg(
