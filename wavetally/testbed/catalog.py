@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from wavetally.testbed import signal_queries, telemetry_queries  # noqa: F401
+from wavetally.testbed import comparison_queries, signal_queries, telemetry_queries  # noqa: F401
 from wavetally.testbed.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
