@@ -21,16 +21,15 @@ def derive_latency(df: DataFrame) -> DataFrame:
     out = df
     outer = F.col("end_ts_ns") - F.col("start_ts_ns") if has(df, "start_ts_ns", "end_ts_ns") else None
     device = F.col("device_tend_ns") - F.col("device_tstart_ns") if has(df, "device_tstart_ns", "device_tend_ns") else None
-    if not has(df, "latency_ns"):
-        if device is not None:
-            latency = F.when(F.col("device_tstart_ns") > 0, device)
-            if outer is not None:
-                latency = latency.otherwise(outer)
-        elif outer is not None:
-            latency = outer
-        else:
-            raise ValueError("cannot derive latency: no timestamp columns")
-        out = out.withColumn("latency_ns", latency)
+    derived = outer
+    if device is not None:
+        derived = F.when(F.col("device_tstart_ns") > 0, device)
+        derived = derived if outer is None else derived.otherwise(outer)
+    given = F.col("latency_ns") if has(df, "latency_ns") else None
+    known = [c for c in (given, derived) if c is not None]
+    if not known:
+        raise ValueError("cannot derive latency: no timestamp columns")
+    out = out.withColumn("latency_ns", F.coalesce(*known))
     if not has(df, "latency_us"):
         out = out.withColumn("latency_us", F.col("latency_ns") / 1000.0)
     if device is not None:
