@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.functions.special import kolmogorov_pvalue, normal_pvalue
-from wavetally.operators.ordered import broadcast_if_small, exact_percentiles, running_counts
+from wavetally.operators.ordered import GroupSizes, exact_percentiles, group_sizes, running_counts
 from wavetally.operators.telemetry import filter_warmup
 from wavetally.schemas import finite_or_null
+from wavetally.session import materialize
 
 NOOP = "noop"
 
@@ -53,10 +54,15 @@ def _with_verdict(df: DataFrame) -> DataFrame:
     return df.withColumn("normalized_ratio", norm).withColumn("verdict", verdict)
 
 
+def kernel_sizes(df: DataFrame) -> GroupSizes:
+    """Counted once per table and handed to the steps below."""
+    return group_sizes(df, ["plugin"])
+
+
 def tail_ratio(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
     """p99/p50 of every kernel, also relative to the noop kernel, and verdict."""
     warm = filter_warmup(df)
-    marks = exact_percentiles(warm, ["plugin"], value, {"p50": 0.5, "p99": 0.99})
+    marks = exact_percentiles(warm, ["plugin"], value, {"p50": 0.5, "p99": 0.99}, sizes=kernel_sizes(df))
     rated = marks.withColumn("tail_ratio", _ratio(F.col("p99"), F.col("p50")))
     base = rated.where(F.col("plugin") == noop).agg(F.max("tail_ratio").alias("noop_tail_ratio"))
     return _with_verdict(rated.where(F.col("plugin") != noop).crossJoin(base))
@@ -79,14 +85,16 @@ def _metrics(df: DataFrame, value: str) -> dict[str, Column]:
     }
 
 
-def _metric_marks(df: DataFrame, wanted: Sequence[str], value: str) -> DataFrame:
+def _metric_marks(df: DataFrame, wanted: Sequence[str], value: str, sizes: GroupSizes | None = None) -> DataFrame:
     """p5, p50, p99 of several row-wise metrics of every kernel in one pass."""
     exprs = _metrics(df, value)
     stacked = F.array(*[F.struct(F.lit(m).alias("metric"), exprs[m].cast("double").alias("v")) for m in wanted])
     long = filter_warmup(df).select("plugin", F.explode(stacked).alias("_m")).select("plugin", "_m.*")
-    marks = exact_percentiles(long, ["plugin", "metric"], "v", {"p5": 0.05, "p50": 0.5, "p99": 0.99})
+    probs, keys = {"p5": 0.05, "p50": 0.5, "p99": 0.99}, ["plugin", "metric"]
+    counted = [F.count("v").alias("n")]
+    marks = exact_percentiles(long, keys, "v", probs, sizes=sizes or kernel_sizes(df), aggs=counted)
     picks = [
-        F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in wanted for p in ("p5", "p50", "p99")
+        F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}") for m in wanted for p in ("n", "p5", "p50", "p99")
     ]
     return marks.groupBy("plugin").agg(*picks)
 
@@ -137,10 +145,11 @@ def stall_split(df: DataFrame, value: str = LATENCY) -> DataFrame:
     )
 
 
-def characterize(df: DataFrame, max_hz: float | None = None, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
+def characterize(
+    df: DataFrame, max_hz: float | None = None, value: str = LATENCY, noop: str = NOOP, sizes: GroupSizes | None = None
+) -> DataFrame:
     """Landmarks, gaps, counters and tail verdict of every kernel but noop."""
-    marks = _metric_marks(df, ["latency", "ipc", "freq_hz", "stall"], value)
-    counts = filter_warmup(df).groupBy("plugin").agg(F.count(finite_or_null(F.col(value))).alias("n_windows"))
+    marks = _metric_marks(df, ["latency", "ipc", "freq_hz", "stall"], value, sizes)
     best, typical, tail = F.col("latency_p5"), F.col("latency_p50"), F.col("latency_p99")
     base = marks.where(F.col("plugin") == noop).agg(
         F.max("latency_p50").alias("noop_p50_us"), F.max(_ratio(tail, typical)).alias("noop_tail_ratio")
@@ -149,7 +158,6 @@ def characterize(df: DataFrame, max_hz: float | None = None, value: str = LATENC
     share = F.col("stall_p50")
     rated = (
         marks.where(F.col("plugin") != noop)
-        .join(counts, "plugin")
         .crossJoin(base)
         .select(
             "plugin",
@@ -165,7 +173,7 @@ def characterize(df: DataFrame, max_hz: float | None = None, value: str = LATENC
             (share * 100).alias("backend_stall_pct"),
             (typical * (1 - share)).alias("compute_time_us"),
             (typical * share).alias("memory_stall_time_us"),
-            "n_windows",
+            F.col("latency_n").alias("n_windows"),
             _ratio(tail, typical).alias("tail_ratio"),
             "noop_tail_ratio",
             reason.alias("_freq_reason"),
@@ -216,34 +224,48 @@ def stall_covariate(df: DataFrame) -> DataFrame:
     )
 
 
+def _covariate_names() -> Column:
+    """Aggregate: names of the covariates with any non-zero value."""
+    seen = [F.when(F.max(F.coalesce(F.col(c), F.lit(0)) != 0), F.lit(c)) for c in COVARIATES]
+    return F.array_compact(F.array(*seen))
+
+
 def present_covariates(df: DataFrame) -> DataFrame:
     """Per kernel the covariates with any non-zero value, and the row count."""
-    rows = filter_warmup(df)
-    names = F.array_compact(
-        F.array(*[F.when(F.max(F.coalesce(F.col(c), F.lit(0)) != 0), F.lit(c)) for c in COVARIATES])
-    )
-    return rows.groupBy("plugin").agg(F.count("*").alias("n_windows"), names.alias("covariates"))
+    named = [F.count("*").alias("n_windows"), _covariate_names().alias("covariates")]
+    return filter_warmup(df).groupBy("plugin").agg(*named)
 
 
-def tail_cohorts(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
+def tail_cohorts(
+    df: DataFrame, value: str = LATENCY, noop: str = NOOP, sizes: GroupSizes | None = None
+) -> DataFrame:
     """Rows of the tail (> p95) and of the typical half (p25..p75).
 
     Kernels with fewer than 200 windows, no covariates or a cohort below 5 rows
     have none. Input needs the covariate columns.
     """
+    sizes = sizes or kernel_sizes(df)
     rows = filter_warmup(df).where(F.col("plugin") != noop)
-    marks = exact_percentiles(rows, ["plugin"], value, {"_p25": 0.25, "_p75": 0.75, "_p95": 0.95})
-    known = present_covariates(df).where((F.col("n_windows") >= TIER2_WINDOWS) & (F.size("covariates") > 0))
-    limits = marks.join(known.select("plugin", "covariates"), "plugin")
+    probs = {"_p25": 0.25, "_p75": 0.75, "_p95": 0.95}
+    known = [F.count("*").alias("n_windows"), _covariate_names().alias("covariates")]
+    limits = exact_percentiles(rows, ["plugin"], value, probs, sizes=sizes, aggs=known)
+    limits = limits.where((F.col("n_windows") >= TIER2_WINDOWS) & (F.size("covariates") > 0)).drop("n_windows")
     v = F.col(value)
     cohort = F.when(v > F.col("_p95"), "tail").when((v >= F.col("_p25")) & (v <= F.col("_p75")), "typical")
-    labelled = rows.join(broadcast_if_small(limits), "plugin").withColumn("cohort", cohort).where("cohort is not null")
-    sizes = labelled.groupBy("plugin").agg(
+    labelled = rows.join(sizes.small(limits), "plugin").withColumn("cohort", cohort).where("cohort is not null")
+    counted = labelled.groupBy("plugin").agg(
         F.count_if(F.col("cohort") == "tail").alias("tail_cohort_size"),
         F.count_if(F.col("cohort") == "typical").alias("typical_cohort_size"),
     )
-    big = sizes.where((F.col("tail_cohort_size") >= MIN_COHORT) & (F.col("typical_cohort_size") >= MIN_COHORT))
-    return labelled.join(broadcast_if_small(big), "plugin").drop("_p25", "_p75", "_p95")
+    big = counted.where((F.col("tail_cohort_size") >= MIN_COHORT) & (F.col("typical_cohort_size") >= MIN_COHORT))
+    return labelled.join(sizes.small(big), "plugin").drop("_p25", "_p75", "_p95")
+
+
+def cohort_table(df: DataFrame, value: str = LATENCY, noop: str = NOOP, sizes: GroupSizes | None = None) -> DataFrame:
+    """The covariates of the cohorts, written once: finding them takes a
+    percentile pass, and several tests read them."""
+    wanted = ["plugin", "cohort", "covariates", *COVARIATES, "tail_cohort_size", "typical_cohort_size"]
+    return materialize(tail_cohorts(df, value, noop, sizes).select(*wanted), "tail-cohorts")
 
 
 def _covariate_rows(cohorts: DataFrame) -> DataFrame:
@@ -254,7 +276,9 @@ def _covariate_rows(cohorts: DataFrame) -> DataFrame:
     return cohorts.select("plugin", "cohort", F.explode(used).alias("_c")).select("plugin", "cohort", "_c.*")
 
 
-def mann_whitney_u(rows: DataFrame, keys: Sequence[str], value: str, first: Column) -> DataFrame:
+def mann_whitney_u(
+    rows: DataFrame, keys: Sequence[str], value: str, first: Column, sizes: GroupSizes | None = None
+) -> DataFrame:
     """Two-sided rank test of the rows marked ``first`` against the others.
 
     Average ranks for ties; p from the normal limit with tie and continuity
@@ -262,7 +286,7 @@ def mann_whitney_u(rows: DataFrame, keys: Sequence[str], value: str, first: Colu
     """
     src = rows.select(*keys, finite_or_null(F.col(value)).alias("_v"), first.alias("_f")).where("_v is not null")
     counts = src.groupBy(*keys, "_v").agg(F.count("*").alias("n"), F.count_if("_f").alias("n1"))
-    ranked = running_counts(counts, keys, "_v", ["n"], src)
+    ranked = running_counts(counts, keys, "_v", ["n"], sizes or group_sizes(rows, keys))
     rank = F.col("n_before") + (F.col("n") + 1) / 2
     n = F.col("n").cast("double")
     sums = ranked.groupBy(*keys).agg(
@@ -280,15 +304,16 @@ def mann_whitney_u(rows: DataFrame, keys: Sequence[str], value: str, first: Colu
     return sums.select(*keys, "n_first", "n_second", u1.alias("u"), z.alias("z")).withColumn("p_value", normal_pvalue("z"))
 
 
-def cohort_compare(cohorts: DataFrame) -> DataFrame:
+def cohort_compare(cohorts: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
     """Medians of every covariate in both cohorts, rank test and direction."""
+    sizes = sizes or kernel_sizes(cohorts)
     rows = _covariate_rows(cohorts)
-    marks = exact_percentiles(rows, ["plugin", "covariate", "cohort"], "v", {"median": 0.5})
+    marks = exact_percentiles(rows, ["plugin", "covariate", "cohort"], "v", {"median": 0.5}, sizes=sizes)
     medians = marks.groupBy("plugin", "covariate").agg(
         F.max(F.when(F.col("cohort") == "tail", F.col("median"))).alias("tail_median"),
         F.max(F.when(F.col("cohort") == "typical", F.col("median"))).alias("typical_median"),
     )
-    tested = mann_whitney_u(rows, ["plugin", "covariate"], "v", F.col("cohort") == "tail")
+    tested = mann_whitney_u(rows, ["plugin", "covariate"], "v", F.col("cohort") == "tail", sizes)
     significant = F.coalesce(F.col("p_value") < SIGNIFICANT, F.lit(False))
     direction = (
         F.when(~significant, "no_difference")
@@ -301,11 +326,13 @@ def cohort_compare(cohorts: DataFrame) -> DataFrame:
     )
 
 
-def ks_two_sample(rows: DataFrame, keys: Sequence[str], value: str, first: Column) -> DataFrame:
+def ks_two_sample(
+    rows: DataFrame, keys: Sequence[str], value: str, first: Column, sizes: GroupSizes | None = None
+) -> DataFrame:
     """Largest distance of the two distribution curves and its limit p-value."""
     src = rows.select(*keys, finite_or_null(F.col(value)).alias("_v"), first.alias("_f")).where("_v is not null")
     counts = src.groupBy(*keys, "_v").agg(F.count_if("_f").alias("a"), F.count_if(~F.col("_f")).alias("b"))
-    run = running_counts(counts, keys, "_v", ["a", "b"], src)
+    run = running_counts(counts, keys, "_v", ["a", "b"], sizes or group_sizes(rows, keys))
     gap = F.abs((F.col("a_before") + F.col("a")) / F.col("a_total") - (F.col("b_before") + F.col("b")) / F.col("b_total"))
     run = run.where((F.col("a_total") > 0) & (F.col("b_total") > 0))
     best = run.groupBy(*keys).agg(
@@ -317,29 +344,33 @@ def ks_two_sample(rows: DataFrame, keys: Sequence[str], value: str, first: Colum
     ).drop("_lam")
 
 
-def freq_stratification(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
+def freq_stratification(
+    df: DataFrame, value: str = LATENCY, noop: str = NOOP, sizes: GroupSizes | None = None
+) -> DataFrame:
     """p99 of windows near the median frequency and of the others, with a
     distribution test; only kernels with 20 windows on both sides."""
+    sizes = sizes or kernel_sizes(df)
     rows = filter_warmup(df).where(F.col("plugin") != noop)
-    centre = exact_percentiles(rows, ["plugin"], "freq_mhz", {"_f50": 0.5}).where(F.col("_f50").isNotNull())
-    known = present_covariates(df).where(
-        (F.col("n_windows") >= TIER2_WINDOWS) & F.array_contains("covariates", F.lit("freq_mhz"))
-    )
-    centre = centre.join(known.select("plugin"), "plugin")
+    known = [F.count("*").alias("n_windows"), F.max(F.coalesce(F.col("freq_mhz"), F.lit(0)) != 0).alias("has_freq")]
+    centre = exact_percentiles(rows, ["plugin"], "freq_mhz", {"_f50": 0.5}, sizes=sizes, aggs=known)
+    centre = centre.where((F.col("n_windows") >= TIER2_WINDOWS) & F.col("has_freq")).select("plugin", "_f50")
     stable = F.abs(F.col("freq_mhz") - F.col("_f50")) < F.col("_f50") * STABLE_SHARE
-    split = rows.join(broadcast_if_small(centre), "plugin").select("plugin", F.col(value).alias("v"), stable.alias("stable"))
-    sizes = split.groupBy("plugin").agg(
-        F.count_if("stable").alias("stable_n"), F.count_if(~F.col("stable")).alias("unstable_n")
-    )
-    big = sizes.where((F.col("stable_n") >= MIN_STRATUM) & (F.col("unstable_n") >= MIN_STRATUM))
-    split = split.join(broadcast_if_small(big.select("plugin")), "plugin", "left_semi")
-    marks = exact_percentiles(split, ["plugin", "stable"], "v", {"p99": 0.99})
-    p99 = marks.groupBy("plugin").agg(
-        F.max(F.when(F.col("stable"), F.col("p99"))).alias("stable_freq_p99_us"),
-        F.max(F.when(~F.col("stable"), F.col("p99"))).alias("unstable_freq_p99_us"),
+    split = rows.join(sizes.small(centre), "plugin").select("plugin", F.col(value).alias("v"), stable.alias("stable"))
+    count = [F.count("*").alias("n")]
+    marks = exact_percentiles(split, ["plugin", "stable"], "v", {"p99": 0.99}, sizes=sizes, aggs=count)
+
+    def side(flag: bool, name: str) -> Column:
+        return F.max(F.when(F.col("stable") == flag, F.col(name)))
+
+    strata = marks.groupBy("plugin").agg(
+        side(True, "n").alias("stable_n"),
+        side(False, "n").alias("unstable_n"),
+        side(True, "p99").alias("stable_freq_p99_us"),
+        side(False, "p99").alias("unstable_freq_p99_us"),
     )
-    ks = ks_two_sample(split, ["plugin"], "v", F.col("stable"))
-    return big.join(p99, "plugin").join(
+    strata = strata.where((F.col("stable_n") >= MIN_STRATUM) & (F.col("unstable_n") >= MIN_STRATUM))
+    ks = ks_two_sample(split, ["plugin"], "v", F.col("stable"), sizes)
+    return strata.join(
         ks.select("plugin", F.col("d").alias("ks_distance"), F.col("p_value").alias("freq_ks_pvalue")), "plugin"
     )
 
@@ -439,7 +470,8 @@ def cohort_sizes(cohorts: DataFrame) -> DataFrame:
 def attribution_tier(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
     """Highest analysis tier every kernel reaches."""
     kernels = filter_warmup(df).where(F.col("plugin") != noop).groupBy("plugin").agg(F.count("*").alias("n_windows"))
-    second = cohort_sizes(tail_cohorts(df, value, noop))
+    sizes = kernel_sizes(df)
+    second = cohort_sizes(tail_cohorts(df, value, noop, sizes))
     third = shapley_r2(df, value, noop).select("plugin", F.lit(True).alias("_third"))
     tier = F.when(F.col("tail_cohort_size").isNull(), 1).when(F.col("_third"), 3).otherwise(2)
     return kernels.join(second, "plugin", "left").join(third, "plugin", "left").select(
@@ -449,19 +481,20 @@ def attribution_tier(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> D
 
 def decompose_run(df: DataFrame, max_hz: float | None = None, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
     """Characterization and attribution of every kernel in one row each."""
+    sizes = kernel_sizes(df)
     rows = stall_covariate(df)
-    described = provenance_map(characterize(df, max_hz, value, noop)).drop("_freq_reason", "_has_max")
-    cohorts = tail_cohorts(rows, value, noop)
-    tests = cohort_compare(cohorts)
+    described = provenance_map(characterize(df, max_hz, value, noop, sizes)).drop("_freq_reason", "_has_max")
+    cohorts = cohort_table(rows, value, noop, sizes)
+    tests = cohort_compare(cohorts, sizes)
     tests = tests.groupBy("plugin").agg(
         F.sort_array(
             F.collect_list(F.struct("covariate", "tail_median", "typical_median", "p_value", "significant", "direction"))
         ).alias("covariate_comparisons")
     )
-    sizes = cohort_sizes(cohorts)
-    strata = freq_stratification(rows, value, noop).drop("stable_n", "unstable_n", "ks_distance")
+    cohort_n = cohort_sizes(cohorts)
+    strata = freq_stratification(rows, value, noop, sizes).drop("stable_n", "unstable_n", "ks_distance")
     shares = shapley_r2(rows, value, noop).drop("n_windows")
-    out = described.join(sizes, "plugin", "left").join(tests, "plugin", "left")
+    out = described.join(cohort_n, "plugin", "left").join(tests, "plugin", "left")
     out = out.join(strata, "plugin", "left").join(shares, "plugin", "left")
     second = F.col("tail_cohort_size").isNotNull()
     tier = F.when(~second, 1).when(F.col("model_r_squared").isNotNull(), 3).otherwise(2)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.functions.special import t_critical, t_pvalue
-from wavetally.operators.ordered import exact_percentiles
+from wavetally.operators.ordered import exact_percentiles, group_sizes
 from wavetally.operators.telemetry import filter_warmup
 from wavetally.schemas import finite_or_null
 
@@ -109,20 +109,18 @@ def compare_runs(base: DataFrame, cand: DataFrame, alpha: float = 0.05, value: s
     if value is None:
         chosen = {choose_latency_column(base), choose_latency_column(cand)}
         value = "kernel_latency_us" if chosen == {"kernel_latency_us"} else "latency_us"
-    v = finite_or_null(F.col(value)).alias("_v")
+    v = finite_or_null(F.col(value)).alias("_lat")
     both = (
         filter_warmup(base).select(F.lit("baseline").alias("_side"), "plugin", v)
         .unionByName(filter_warmup(cand).select(F.lit("candidate").alias("_side"), "plugin", v))
     )
-    marks = exact_percentiles(both, ["_side", "plugin"], "_v", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    stats = both.groupBy("_side", "plugin").agg(
-        F.count("_v").alias("n"),
-        F.avg("_v").alias("mean"),
-        F.stddev_samp("_v").alias("_std"),
-    )
+    keys, marks = ["_side", "plugin"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    lat = F.col("_lat")
+    basic = [F.count(lat).alias("n"), F.avg(lat).alias("mean"), F.stddev_samp(lat).alias("_std")]
+    stats = exact_percentiles(both, keys, "_lat", marks, sizes=group_sizes(both, keys), aggs=basic)
     stats = stats.where("n > 0").withColumn("std", F.when(F.col("n") > 1, F.col("_std")).otherwise(F.lit(0.0)))
     half = F.when(F.col("n") >= 2, t_critical(F.lit(1 - alpha / 2), (F.col("n") - 1).cast("double")) * F.col("std") / F.sqrt("n"))
-    stats = stats.join(marks, ["_side", "plugin"]).withColumn("_half", half)
+    stats = stats.withColumn("_half", half)
 
     def side(name: str) -> DataFrame:
         return stats.where(F.col("_side") == name).select(

@@ -20,6 +20,7 @@ the distinct values of a part, so no task ever holds more than one such list.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,26 +77,50 @@ def small_table(df: DataFrame, max_rows: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else None
 
 
+@dataclass(frozen=True)
+class GroupSizes:
+    """How many groups a table has and how many rows the largest of them."""
+
+    groups: int
+    largest: int
+
+    @property
+    def sortable(self) -> bool:
+        """Every group fits into one task."""
+        return self.largest <= MAX_SORTED_ROWS
+
+    def small(self, per_group: DataFrame) -> DataFrame:
+        """Broadcast a table with one row per group if the groups are few."""
+        return F.broadcast(per_group) if self.groups <= MAX_BROADCAST_ROWS else per_group
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
+    """Counted from the key columns alone."""
+    if not keys:
+        return GroupSizes(1, df.count())
+    n = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count("*"), F.max("n")).first()
+    return GroupSizes(n[0], n[1] or 0)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast a table counted to be small; a larger one is joined by shuffle."""
     few = small_table(df, MAX_BROADCAST_ROWS)
     return df if few is None else F.broadcast(few)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group (reads the key columns only)."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def _plain_percentiles(src: DataFrame, gk: Sequence[str], probs: dict[str, float], rule: str) -> DataFrame:
-    if rule == "linear":
-        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
-        found = src.groupBy(*gk).agg(F.percentile("_v", wanted).alias("_q"))
-        return found.select(*gk, *[F.col("_q")[i].alias(a) for i, a in enumerate(probs)])
-    found = src.groupBy(*gk).agg(F.sort_array(F.collect_list("_v")).alias("_q"))
-    n = F.size("_q")
-    at = {a: F.least(F.floor(n * F.lit(float(p))), n - 1).cast("int") for a, p in probs.items()}
-    return found.select(*gk, *[F.col("_q")[i].alias(a) for a, i in at.items()])
+def _plain_percentiles(probs: dict[str, float], rule: str, exact: bool) -> tuple[list[Column], list[Column]]:
+    """Aggregates over ``_v`` and the columns to take from them."""
+    ps = [float(p) for p in probs.values()]
+    if not exact:
+        found = F.percentile_approx("_v", ps, 100000)
+    elif rule == "linear":
+        found = F.percentile("_v", F.array(*[F.lit(p) for p in ps]))
+    else:
+        found = F.sort_array(F.collect_list("_v"))
+        n = F.size("_q")
+        at = [F.least(F.floor(n * F.lit(p)), n - 1).cast("int") for p in ps]
+        return [found.alias("_q")], [F.get("_q", i).alias(a) for a, i in zip(probs, at)]
+    return [found.alias("_q")], [F.col("_q")[i].alias(a) for i, a in enumerate(probs)]
 
 
 def exact_percentiles(
@@ -105,12 +130,15 @@ def exact_percentiles(
     probs: dict[str, float],
     rule: str = "linear",
     exact: bool = True,
+    sizes: GroupSizes | None = None,
+    aggs: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (alias -> p).
 
     ``linear`` interpolates between neighbours, ``index`` takes the value at
     ``floor(p * n)``. Nulls and NaN are left out. ``exact=False`` uses Spark's
-    mergeable sketch instead.
+    mergeable sketch instead. ``aggs`` are further aggregates of the groups.
+    ``sizes`` saves the counting of groups where a bound is known.
 
     Groups that fit into one task use the plain aggregate. For larger ones a
     first pass counts cells (few thousand per group, combined map-side) and
@@ -120,17 +148,21 @@ def exact_percentiles(
     broadcast when they are counted to be few; with very many groups they are
     joined by shuffle instead.
     """
-    src, gk = _keyed(df, keys)
-    src = src.select(*gk, finite_or_null(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
-    ps = list(probs.values())
-    if not exact:
-        out = src.groupBy(*gk).agg(F.percentile_approx("_v", ps, 100000).alias("_q"))
-        return out.select(*keys, *[F.col("_q")[i].alias(a) for i, a in enumerate(probs)])
-
     if rule not in ("linear", "index"):
         raise ValueError(f"unknown percentile rule: {rule}")
-    if largest_group(src, gk) <= MAX_SORTED_ROWS:
-        return _plain_percentiles(src, gk, probs, rule).drop(*([] if keys else gk))
+    keyed, gk = _keyed(df, keys)
+    names = [c for c in keyed.columns if c not in gk] if aggs else []
+    src = keyed.select(*gk, *names, finite_or_null(F.col(value)).alias("_v"))
+    src = src if aggs else src.where(F.col("_v").isNotNull())
+    ps = list(probs.values())
+    if not exact or (sizes or group_sizes(df, keys)).sortable:
+        found, taken = _plain_percentiles(probs, rule, exact)
+        out = src.groupBy(*gk).agg(*aggs, *found)
+        return out.select(*keys, *[c for c in out.columns if c not in (*gk, "_q")], *taken)
+    if aggs:
+        marks = exact_percentiles(df, keys, value, probs, rule, exact, sizes)
+        basic = keyed.groupBy(*gk).agg(*aggs)
+        return basic.join(marks, list(keys), "left") if keys else basic.drop(*gk).join(marks, F.lit(True), "left")
 
     src = src.withColumn("_c1", _cell(F.col("_v")))
     by_cell = Window.partitionBy(*gk).orderBy("_c1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -185,16 +217,16 @@ def exact_percentiles(
 
 
 def running_counts(
-    counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], rows: DataFrame
+    counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], sizes: GroupSizes
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over smaller values) and ``<m>_total`` per group.
 
     ``counts`` holds one row per (group, value); ``measures`` are its numeric
-    count columns; ``rows`` is what was counted, to tell how large groups are.
+    count columns; ``sizes`` bounds the groups that were counted.
     """
     src, gk = _keyed(counts, keys)
     v = F.col(value)
-    if largest_group(rows, keys) <= MAX_SORTED_ROWS:
+    if sizes.sortable:
         whole = Window.partitionBy(*gk)
         upto = whole.orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         before = [(F.sum(m).over(upto) - F.col(m)).alias(f"{m}_before") for m in measures]
@@ -263,10 +295,13 @@ def previous_values(
 ) -> DataFrame:
     """Values of the preceding row of the group (``cols``: source -> alias).
 
-    Like ``lag``, but only the first row of each range looks beyond its range,
-    at the last row of the range before.
+    Like ``lag``, but over groups too large for one task only the first row of
+    each range looks beyond its range, at the last row of the range before.
     """
     src, gk = _keyed(df, keys)
+    if group_sizes(df, keys).sortable:
+        whole = Window.partitionBy(*gk).orderBy(order)
+        return src.select(*df.columns, *[F.lag(c).over(whole).alias(a) for c, a in cols.items()])
     src = src.withColumn("_range", F.floor(F.col(order) / span))
     packed = F.struct(*[F.col(c) for c in cols])
     last = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.operators.ordered import number_rows, previous_values, repeat_rows, running_counts
+from wavetally.operators.ordered import group_sizes, number_rows, previous_values, repeat_rows, running_counts
 from wavetally.operators.telemetry import filter_warmup
 from wavetally.schemas import finite_or_null
 
@@ -39,7 +39,7 @@ def latency_ecdf(df: DataFrame, value: str = "latency_us", keys: Sequence[str] =
     """Sorted latencies with rank and rank/n; equal values get distinct steps."""
     rows = filter_warmup(df).select(*keys, finite_or_null(F.col(value)).alias("value")).where("value is not null")
     counts = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    placed = running_counts(counts, keys, "value", ["n"], rows)
+    placed = running_counts(counts, keys, "value", ["n"], group_sizes(df, keys))
     steps = repeat_rows(placed, "n", "_i", [*keys, "value"])
     rank = F.col("n_before") + F.col("_i")
     return steps.select(*keys, "value", rank.alias("rank"), (rank / F.col("n_total")).alias("cdf"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.functions.special import t_critical
-from wavetally.operators.ordered import exact_percentiles
+from wavetally.operators.ordered import GroupSizes, exact_percentiles, group_sizes
 from wavetally.operators.telemetry import choose_latency_column, filter_warmup
 from wavetally.schemas import NOT_CHAINED, finite_or_null, has
 
@@ -21,17 +21,17 @@ TIERS = {
 }
 
 
-def _describe(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True) -> DataFrame:
+def _describe(df: DataFrame, keys: Sequence[str], value: str, exact: bool = True, sizes: GroupSizes | None = None) -> DataFrame:
     v = finite_or_null(F.col(value))
-    moments = df.groupBy(*keys).agg(
+    moments = [
         F.avg(v).alias("latency_us_mean"),
         F.min(v).alias("latency_us_min"),
         F.max(v).alias("latency_us_max"),
         F.stddev_samp(v).alias("latency_us_std"),
         F.count(v).alias("sample_count"),
-    )
-    marks = exact_percentiles(df, keys, value, {f"latency_us_{a}": p for a, p in P50_P95_P99.items()}, exact=exact)
-    return moments.join(marks, list(keys), "left")
+    ]
+    marks = {f"latency_us_{a}": p for a, p in P50_P95_P99.items()}
+    return exact_percentiles(df, keys, value, marks, exact=exact, sizes=sizes, aggs=moments)
 
 
 def latency_stats(
@@ -42,14 +42,15 @@ def latency_stats(
     column = latency_column or choose_latency_column(df)
     if not has(df, column):
         raise ValueError(f"latency column {column!r} not found")
-    return _describe(filter_warmup(df), keys, column, exact)
+    return _describe(filter_warmup(df), keys, column, exact, group_sizes(df, keys) if exact else None)
 
 
 def latency_stats_tiers(df: DataFrame, keys: Sequence[str] = ("plugin",), exact: bool = True) -> DataFrame:
     """The same for kernel, adapter and end-to-end time in one pass."""
     tiers = [F.struct(F.lit(t).alias("tier"), F.col(c).alias("tier_us")) for t, c in TIERS.items() if has(df, c)]
     long = filter_warmup(df).select(*keys, F.explode(F.array(*tiers)).alias("_t")).select(*keys, "_t.*")
-    return _describe(long, ["tier", *keys], "tier_us", exact).where(F.col("sample_count") > 0)
+    sizes = group_sizes(df, keys) if exact else None
+    return _describe(long, ["tier", *keys], "tier_us", exact, sizes).where(F.col("sample_count") > 0)
 
 
 def mean_ci(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -104,7 +105,7 @@ def harness_stats(df: DataFrame, keys: Sequence[str] = ("plugin",)) -> DataFrame
         F.struct("W", "H", "C", "Fs", (F.col("deadline_ts_ns") - F.col("release_ts_ns")).alias("budget_ns")),
         F.struct("release_ts_ns", "window_index"),
     )
-    basic = warm.groupBy(*keys).agg(
+    basic = [
         F.count("*").alias("windows"),
         F.count_if(F.coalesce(F.col("deadline_missed"), F.lit(1)) != 0).alias("deadline_misses"),
         F.avg(us).alias("mean_us"),
@@ -112,12 +113,13 @@ def harness_stats(df: DataFrame, keys: Sequence[str] = ("plugin",)) -> DataFrame
         F.min(us).alias("min_us"),
         F.max(us).alias("max_us"),
         first.alias("_first"),
-    )
-    marks = exact_percentiles(warm, keys, "_ns", {"_p50": 0.5, "_p95": 0.95, "_p99": 0.99}, rule="index")
+    ]
+    marks = {"_p50": 0.5, "_p95": 0.95, "_p99": 0.99}
+    rated = exact_percentiles(warm, keys, "_ns", marks, rule="index", sizes=group_sizes(df, keys), aggs=basic)
     p50, p95, p99 = (F.col(c) / 1000.0 for c in ("_p50", "_p95", "_p99"))
     f = F.col("_first")
     deadline_ms = F.when(f["budget_ns"] > 0, f["budget_ns"] / 1e6).otherwise(F.lit(0.0))
-    return basic.join(marks, list(keys)).select(
+    return rated.select(
         *keys,
         "windows",
         "deadline_misses",
@@ -167,9 +169,10 @@ def latency_histogram(df: DataFrame, keys: Sequence[str] = ("plugin",)) -> DataF
     """
     warm = filter_warmup(df).withColumn("_ns", F.col("end_ts_ns") - F.col("start_ts_ns"))
     warm = warm.select(*keys, "_ns", (F.col("_ns") / 1000.0).alias("_us"))
-    ends = warm.groupBy(*keys).agg(F.min("_us").alias("_min"), F.max("_us").alias("_max"))
+    sizes = group_sizes(df, keys)
+    ends = [F.min("_us").alias("_min"), F.max("_us").alias("_max")]
     edges = (
-        ends.join(exact_percentiles(warm, keys, "_ns", {"_p": 0.99}, rule="index"), list(keys))
+        exact_percentiles(warm, keys, "_ns", {"_p": 0.99}, rule="index", sizes=sizes, aggs=ends)
         .where(F.col("_min") < F.col("_max"))
         .select(*keys, "_min", "_max", (F.col("_p") / 1000.0).alias("_p99"))
     )
@@ -184,7 +187,7 @@ def latency_histogram(df: DataFrame, keys: Sequence[str] = ("plugin",)) -> DataF
         .when(us <= p99, bins(0, lo, p99 - lo, MAIN_BINS, MAIN_BINS - 1))
         .otherwise(bins(MAIN_BINS, p99, hi - p99, TAIL_BINS, total - 1))
     )
-    filled = warm.join(edges, list(keys)).groupBy(*keys, bin_no.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    filled = warm.join(sizes.small(edges), list(keys)).groupBy(*keys, bin_no.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     grid = edges.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("bin"))
     return grid.join(filled, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
@@ -196,14 +199,16 @@ def _chained(df: DataFrame) -> DataFrame:
 def chain_stats(df: DataFrame) -> DataFrame:
     """Latency per chain stage and its share of the summed stage means."""
     rows = _chained(df)
-    marks = exact_percentiles(rows, ["stage_index"], "latency_us", {f"latency_us_{a}": p for a, p in P50_P95_P99.items()})
-    stages = rows.groupBy("stage_index").agg(
+    marks = {f"latency_us_{a}": p for a, p in P50_P95_P99.items()}
+    basic = [
         F.avg(finite_or_null(F.col("latency_us"))).alias("latency_us_mean"),
         F.min_by("plugin", F.struct("run_id", "window_index")).alias("kernel"),
-    )
+    ]
+    sizes = group_sizes(df, ["stage_index"])
+    stages = exact_percentiles(rows, ["stage_index"], "latency_us", marks, sizes=sizes, aggs=basic)
     total = stages.agg(F.sum("latency_us_mean").alias("_sum"))
     share = F.when(F.col("_sum") > 0, F.col("latency_us_mean") / F.col("_sum") * 100).otherwise(F.lit(0.0))
-    return stages.join(marks, "stage_index", "left").crossJoin(total).withColumn("pct_contribution", share).drop("_sum")
+    return stages.crossJoin(total).withColumn("pct_contribution", share).drop("_sum")
 
 
 def complete_windows(df: DataFrame) -> DataFrame:
@@ -219,16 +224,21 @@ def complete_windows(df: DataFrame) -> DataFrame:
 def chain_e2e(df: DataFrame) -> DataFrame:
     """One row: mean and percentiles over complete windows, zeros if none."""
     whole = complete_windows(df)
-    mean = whole.agg(F.count("*").alias("complete_windows"), F.avg("e2e_us").alias("e2e_mean"))
-    marks = exact_percentiles(whole, [], "e2e_us", {"e2e_p50": 0.5, "e2e_p95": 0.95, "e2e_p99": 0.99})
-    names = ["e2e_mean", "e2e_p50", "e2e_p95", "e2e_p99"]
-    both = mean.join(marks, F.lit(True), "left")
+    basic = [F.count("*").alias("complete_windows"), F.avg("e2e_us").alias("e2e_mean")]
+    marks = {"e2e_p50": 0.5, "e2e_p95": 0.95, "e2e_p99": 0.99}
+    names = ["e2e_mean", *marks]
+    # no more windows than rows; a table without complete windows has one row too
+    sizes = GroupSizes(1, df.count())
+    found = exact_percentiles(whole, [], "e2e_us", marks, sizes=sizes, aggs=basic)
+    one = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("_none"))
+    both = one.join(found, F.lit(True), "left").withColumn("complete_windows", F.coalesce("complete_windows", "_none"))
     return both.select("complete_windows", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names])
 
 
 def geo_mean_median(df: DataFrame, condition: str = "run_id", value: str = "latency_us") -> DataFrame:
     """Geometric mean, per condition, of the kernels' medians."""
-    medians = exact_percentiles(filter_warmup(df), [condition, "plugin"], value, {"median": 0.5})
+    keys = [condition, "plugin"]
+    medians = exact_percentiles(filter_warmup(df), keys, value, {"median": 0.5}, sizes=group_sizes(df, keys))
     return medians.groupBy(condition).agg(F.exp(F.avg(F.log("median"))).alias("geo_mean_us"))
 
 
@@ -241,11 +251,12 @@ def condition_ratio(df: DataFrame, baseline: str, condition: str = "run_id", val
 def overhead_decomposition(df: DataFrame, condition: str = "run_id", value: str = "latency_us") -> DataFrame:
     """Floor over all conditions and how far each median lies above its minimum."""
     warm = filter_warmup(df)
-    lows = warm.groupBy(condition).agg(F.min(finite_or_null(F.col(value))).alias("min_us"))
+    low = [F.min(finite_or_null(F.col(value))).alias("min_us")]
+    sizes = group_sizes(df, [condition])
+    lows = exact_percentiles(warm, [condition], value, {"median_us": 0.5}, sizes=sizes, aggs=low)
     floor = lows.agg(F.min("min_us").alias("overhead_floor_us"))
     return (
-        lows.join(exact_percentiles(warm, [condition], value, {"median_us": 0.5}), condition)
-        .crossJoin(floor)
+        lows.crossJoin(floor)
         .withColumn("penalty_us", F.col("median_us") - F.col("min_us"))
     )
 
@@ -253,14 +264,15 @@ def overhead_decomposition(df: DataFrame, condition: str = "run_id", value: str
 def percentile_profile(df: DataFrame, keys: Sequence[str], value: str = "latency_us") -> DataFrame:
     warm = filter_warmup(df)
     v = finite_or_null(F.col(value))
-    basic = warm.groupBy(*keys).agg(
+    basic = [
         F.count(v).alias("n"),
         F.min(v).alias("min_us"),
         F.max(v).alias("max_us"),
         F.avg(v).alias("mean_us"),
         F.stddev_pop(v).alias("std_us"),
-    )
-    return basic.join(exact_percentiles(warm, keys, value, {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}), list(keys))
+    ]
+    marks = {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}
+    return exact_percentiles(warm, keys, value, marks, sizes=group_sizes(df, keys), aggs=basic)
 
 
 # Signal-to-noise limits, fixed values.

@@ -18,7 +18,6 @@ def derive_latency(df: DataFrame) -> DataFrame:
     ``latency_ns`` keeps a given value; otherwise it is the device interval
     where a device clock was recorded (> 0) and the outer interval elsewhere.
     """
-    out = df
     outer = F.col("end_ts_ns") - F.col("start_ts_ns") if has(df, "start_ts_ns", "end_ts_ns") else None
     device = F.col("device_tend_ns") - F.col("device_tstart_ns") if has(df, "device_tstart_ns", "device_tend_ns") else None
     derived = outer
@@ -29,16 +28,17 @@ def derive_latency(df: DataFrame) -> DataFrame:
     known = [c for c in (given, derived) if c is not None]
     if not known:
         raise ValueError("cannot derive latency: no timestamp columns")
-    out = out.withColumn("latency_ns", F.coalesce(*known))
+    latency = F.coalesce(*known)
+    new = {"latency_ns": latency}
     if not has(df, "latency_us"):
-        out = out.withColumn("latency_us", F.col("latency_ns") / 1000.0)
+        new["latency_us"] = latency / 1000.0
     if device is not None:
-        out = out.withColumn("kernel_latency_us", device / 1000.0)
+        new["kernel_latency_us"] = device / 1000.0
     if has(df, "device_tin_ns", "device_tlast_tx_ns"):
-        out = out.withColumn("adapter_latency_us", (F.col("device_tlast_tx_ns") - F.col("device_tin_ns")) / 1000.0)
+        new["adapter_latency_us"] = (F.col("device_tlast_tx_ns") - F.col("device_tin_ns")) / 1000.0
     if outer is not None:
-        out = out.withColumn("e2e_latency_us", outer / 1000.0)
-    return out
+        new["e2e_latency_us"] = outer / 1000.0
+    return df.withColumns(new)
 
 
 def derive_frequency(df: DataFrame) -> DataFrame:

@@ -272,7 +272,9 @@ MWU = f"""lng AS (SELECT plugin, cohort, unnest(['backend_stall_pct', 'freq_mhz'
       ELSE 'lower_in_tail' END AS direction FROM ps""",
 )
 def _(spark, d):
-    return rounded(att.cohort_compare(att.tail_cohorts(covariate_rows(spark, d))))
+    rows = covariate_rows(spark, d)
+    sizes = att.kernel_sizes(rows)
+    return rounded(att.cohort_compare(att.cohort_table(rows, sizes=sizes), sizes))
 
 
 @query(

@@ -19,43 +19,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _event_telemetry(events: DataFrame, *extra: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    uid, value = F.col("user_id"), F.col("value")
-    release = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    end = release + F.round(value * 1000).cast("long")
-    absent = (uid % 7 == 0) | (value < 1)
-    cycles = F.when(uid % 11 == 0, F.lit(0).cast("long")).otherwise(F.round(value * (2000 + 10 * k)).cast("long"))
-    zero = F.lit(0).cast("long")
-    return events.select(
+    """Telemetry columns computed row by row from events."""
+    rows = events.selectExpr(
+        "*",
+        "cast(get_json_object(props, '$.k') AS bigint) AS k",
+        "unix_micros(cast(ts AS timestamp)) * 1000 AS release",
+        "unix_micros(cast(ts AS timestamp)) * 1000 + cast(round(value * 1000) AS bigint) AS fin",
+        "user_id % 7 = 0 OR value < 1 AS absent",
+    )
+    rows = rows.selectExpr(
+        "*", "CASE WHEN user_id % 11 = 0 THEN 0L ELSE cast(round(value * (2000 + 10 * k)) AS bigint) END AS cycles"
+    )
+    return rows.selectExpr(
         "event_id",
         *extra,
-        F.when(F.col("event_id") % 2 == 0, "base").otherwise("cand").alias("run_id"),
-        F.when(F.col("event_type") == "view", "noop").otherwise(F.col("event_type")).alias("plugin"),
-        release.alias("release_ts_ns"),
-        (release + 100000).alias("deadline_ts_ns"),
-        release.alias("start_ts_ns"),
-        end.alias("end_ts_ns"),
-        (end > release + 100000).cast("int").alias("deadline_missed"),
-        F.lit(LENGTH).alias("W"),
-        F.lit(HOP).alias("H"),
-        F.lit(CHANNELS).alias("C"),
-        F.lit(RATE).alias("Fs"),
-        F.when(uid % 10 == 0, 1).otherwise(0).alias("warmup"),
-        (uid % 5 + 1).cast("int").alias("repeat"),
-        (release + 100).alias("device_tin_ns"),
-        F.when(absent, zero).otherwise(release + 200).alias("device_tstart_ns"),
-        F.when(absent, zero).otherwise(end - 200).alias("device_tend_ns"),
-        (end - 150).alias("device_tfirst_tx_ns"),
-        (end - 100).alias("device_tlast_tx_ns"),
-        F.lit("native").alias("adapter_name"),
-        F.lit(0).alias("window_failed"),
-        F.lit(0).alias("error_code"),
-        (1600 + 400 * (uid % 4)).cast("int").alias("cpu_freq_mhz"),
-        cycles.alias("pmu_cycle_count"),
-        (2 * cycles + F.col("event_id") % 100).alias("pmu_instruction_count"),
-        F.floor(cycles * (k % 50) / 100).alias("pmu_backend_stall_cycles"),
-        (F.col("event_id") * 37 % 1000).alias("osnoise_total_ns"),
-        F.lit(1).alias("dtype"),
+        "CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'cand' END AS run_id",
+        "CASE WHEN event_type = 'view' THEN 'noop' ELSE event_type END AS plugin",
+        "release AS release_ts_ns",
+        "release + 100000 AS deadline_ts_ns",
+        "release AS start_ts_ns",
+        "fin AS end_ts_ns",
+        "cast(fin > release + 100000 AS int) AS deadline_missed",
+        f"{LENGTH} AS W",
+        f"{HOP} AS H",
+        f"{CHANNELS} AS C",
+        f"{RATE} AS Fs",
+        "CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS warmup",
+        "cast(user_id % 5 + 1 AS int) AS repeat",
+        "release + 100 AS device_tin_ns",
+        "CASE WHEN absent THEN 0L ELSE release + 200 END AS device_tstart_ns",
+        "CASE WHEN absent THEN 0L ELSE fin - 200 END AS device_tend_ns",
+        "fin - 150 AS device_tfirst_tx_ns",
+        "fin - 100 AS device_tlast_tx_ns",
+        "'native' AS adapter_name",
+        "0 AS window_failed",
+        "0 AS error_code",
+        "cast(1600 + 400 * (user_id % 4) AS int) AS cpu_freq_mhz",
+        "cycles AS pmu_cycle_count",
+        "2 * cycles + event_id % 100 AS pmu_instruction_count",
+        "cycles * (k % 50) div 100 AS pmu_backend_stall_cycles",
+        "event_id * 37 % 1000 AS osnoise_total_ns",
+        "1 AS dtype",
     )
 
 
