@@ -122,6 +122,11 @@ class _Progress:
         state.update((self.next, self.channels, self.t.tobytes(), x, self.carry, buffer, width))
 
 
+def _keep_nan(df: DataFrame) -> DataFrame:
+    """The way from pandas turns NaN samples into nulls; turn them back."""
+    return df.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))))
+
+
 def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SLICE) -> DataFrame:
     """Filtered samples (recording_id, t, x), each as soon as all before it in
     its slice have arrived."""
@@ -142,9 +147,10 @@ def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SL
         yield pd.DataFrame({"recording_id": name, "t": t[own], "x": list(y[own])})
 
     parts = sliced(stream.select("recording_id", "t", "x"), length, before=history)
-    return parts.groupBy("recording_id", "slice").applyInPandasWithState(
+    out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
         run, "recording_id string, t long, x array<double>", STATE_DDL, "append", GroupStateTimeout.NoTimeout
     )
+    return _keep_nan(out)
 
 
 def stream_fir(stream: DataFrame, fs: float = 160.0, low: float = 8.0, high: float = 30.0, length: int = SLICE) -> DataFrame:
@@ -208,9 +214,10 @@ def _windowed(
             yield pdf[["recording_id", "window_index", "i", "x", "window_failed", "failed_stage", "error"]]
 
     parts = sliced(stream.select("recording_id", "t", "x"), span, before=history, after=max(0, W - H))
-    return parts.groupBy("recording_id", "slice").applyInPandasWithState(
+    out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
         run, CHAIN_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout
     )
+    return _keep_nan(out)
 
 
 def stream_sliding_windows(stream: DataFrame, W: int, H: int, length: int = SLICE) -> DataFrame:

@@ -285,7 +285,7 @@ def _(spark, d):
     SELECT t, CAST(ch AS INTEGER) AS ch, y0 AS v FROM rec""",
 )
 def _(spark, d):
-    return qflat(q15.notch_iir_q15(qsig(spark, d), length=128, warm=64))
+    return qflat(q15.notch_iir_q15(qsig(spark, d), length=256, warm=128))
 
 
 @query(
