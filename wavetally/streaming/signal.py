@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wavetally.operators.blocks import SLICE, Stage, sliced
+from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, sliced
 from wavetally.operators.filters import decay_length, fir_stage, notch_coefficients, recursion
 from wavetally.operators.windows import check_window, cyclic_replay
 from wavetally.plans.chain import Kernel, chain_shape_check
@@ -122,9 +124,26 @@ class _Progress:
         state.update((self.next, self.channels, self.t.tobytes(), x, self.carry, buffer, width))
 
 
-def _keep_nan(df: DataFrame) -> DataFrame:
-    """The way from pandas turns NaN samples into nulls; turn them back."""
-    return df.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))))
+def _packed(y: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(row).tobytes() for row in y]
+
+
+def _unpacked(df: DataFrame, ddl: str) -> DataFrame:
+    """Samples leave the stateful step as bytes, because pandas would turn NaN
+    into null; here they become lists again, without touching single values."""
+
+    def unpack(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("x")
+            packed = batch.column(at)
+            lengths = np.array([0 if v is None else v // 8 for v in pc.binary_length(packed).to_pylist()], dtype=np.int32)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            values = np.frombuffer(b"".join(v for v in packed.to_pylist() if v is not None))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(values), mask=packed.is_null())
+            columns = [lists if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(unpack, ddl)
 
 
 def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SLICE) -> DataFrame:
@@ -144,13 +163,13 @@ def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SL
             progress.save(state)
         t = first + np.arange(len(y))
         own = t >= start
-        yield pd.DataFrame({"recording_id": name, "t": t[own], "x": list(y[own])})
+        yield pd.DataFrame({"recording_id": name, "t": t[own], "x": _packed(y[own])})
 
     parts = sliced(stream.select("recording_id", "t", "x"), length, before=history)
     out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
-        run, "recording_id string, t long, x array<double>", STATE_DDL, "append", GroupStateTimeout.NoTimeout
+        run, "recording_id string, t long, x binary", STATE_DDL, "append", GroupStateTimeout.NoTimeout
     )
-    return _keep_nan(out)
+    return _unpacked(out, SIGNAL_DDL)
 
 
 def stream_fir(stream: DataFrame, fs: float = 160.0, low: float = 8.0, high: float = 30.0, length: int = SLICE) -> DataFrame:
@@ -195,7 +214,7 @@ def _windowed(
                     failed, error = stage, str(e)
                     break
             if failed is None:
-                out.append(pd.DataFrame({"window_index": k, "i": np.arange(w.shape[1]), "x": list(w[0]), "window_failed": 0}))
+                out.append(pd.DataFrame({"window_index": k, "i": np.arange(w.shape[1]), "x": _packed(w[0]), "window_failed": 0}))
             else:
                 out.append(pd.DataFrame({"window_index": [k], "i": [0], "x": [None], "window_failed": [1],
                                          "failed_stage": [failed], "error": [error]}))
@@ -215,9 +234,9 @@ def _windowed(
 
     parts = sliced(stream.select("recording_id", "t", "x"), span, before=history, after=max(0, W - H))
     out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
-        run, CHAIN_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout
+        run, CHAIN_DDL.replace("array<double>", "binary"), STATE_DDL, "append", GroupStateTimeout.NoTimeout
     )
-    return _keep_nan(out)
+    return _unpacked(out, CHAIN_DDL)
 
 
 def stream_sliding_windows(stream: DataFrame, W: int, H: int, length: int = SLICE) -> DataFrame:
