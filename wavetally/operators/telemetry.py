@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.operators.ordered import number_rows
+from wavetally.operators.ordered import number_rows, repeat_rows
 from wavetally.schemas import finite_or_null, has
 
 MHZ_PER_CYCLE_PER_NS = 1000.0
@@ -140,16 +140,14 @@ def labels_from_pattern(patterns: DataFrame, column: str, keys: list[str]) -> Da
             p["label"].alias("label"),
         ),
     )
-    return (
+    spans = (
         patterns.select(*keys, F.transform(F.split(F.col(column), ","), span).alias("_parts"))
         .select(*keys, F.explode(placed).alias("_s"))
         .where(F.col("_s.n") > 0)
-        .select(
-            *keys,
-            F.explode(F.sequence(F.col("_s.first"), F.col("_s.first") + F.col("_s.n") - 1)).alias("window_index"),
-            F.col("_s.label").alias("label"),
-        )
+        .select(*keys, F.col("_s.first").alias("_first"), F.col("_s.n").alias("_n"), F.col("_s.label").alias("label"))
     )
+    windows = repeat_rows(spans, "_n", "_i", [*keys, "_first"])
+    return windows.select(*keys, (F.col("_first") + F.col("_i") - 1).alias("window_index"), "label")
 
 
 def check_label_count(labels: DataFrame, available_windows: int) -> None:

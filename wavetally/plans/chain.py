@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.operators import filters, spatial, spectral
@@ -126,6 +126,19 @@ def chain_shape_check(kernels: list[Kernel], W: int, C: int) -> tuple[int, int]:
     return W, C
 
 
+def shape_mismatches(stages: DataFrame) -> DataFrame:
+    """The same check over a table of chain definitions.
+
+    Input: chain_id, position, in_w, in_c, out_w, out_c (null fits anything).
+    Returns the stages that cannot follow the one before, with the reason. A
+    chain has a handful of stages, so its window is small.
+    """
+    w = Window.partitionBy("chain_id").orderBy("position")
+    seen = stages.select("*", F.lag("out_w").over(w).alias("have_w"), F.lag("out_c").over(w).alias("have_c"))
+    reason = F.when(F.col("have_w") != F.col("in_w"), "W").when(F.col("have_c") != F.col("in_c"), "C")
+    return seen.withColumn("mismatch", reason).where("mismatch is not null")
+
+
 def _row_wise(stage: Stage) -> Callable[[np.ndarray], np.ndarray]:
     return lambda w: stage.block(w.reshape(-1, w.shape[2])).reshape(w.shape[0], w.shape[1], -1)
 

@@ -17,7 +17,7 @@ def scan_bench_logs(spark: SparkSession, path: str) -> DataFrame:
     size = F.regexp_extract(line, r"\[\w+\] File size: ([\d.]+) MB", 1)
     done = line.contains("Benchmark completed") | line.contains("telemetry.ndjson")
     per_file = lines.groupBy("file").agg(
-        F.first(F.when(size != "", size.cast("double")), ignorenulls=True).alias("file_size_mb"),
+        F.min(F.when(size != "", size.cast("double"))).alias("file_size_mb"),
         F.bool_or(line.rlike(r"\[\w+\] Generated file:")).alias("has_generation"),
         F.bool_or(done).alias("success"),
     )

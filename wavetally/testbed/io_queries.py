@@ -279,6 +279,21 @@ def _(spark, d):
     return flat(whole)
 
 
+@query(
+    "chain_shape_check",
+    """WITH s AS (SELECT p_partkey // 4 AS chain_id, p_partkey % 4 AS position, nullif(p_size % 5, 0) AS in_w, nullif(p_partkey % 3, 0) AS in_c,
+      nullif((p_size + p_partkey) % 5, 0) AS out_w, nullif(p_size % 3, 0) AS out_c FROM part),
+    l AS (SELECT *, lag(out_w) OVER w AS have_w, lag(out_c) OVER w AS have_c FROM s WINDOW w AS (PARTITION BY chain_id ORDER BY position))
+    SELECT chain_id, position, CASE WHEN have_w <> in_w THEN 'W' ELSE 'C' END AS mismatch FROM l WHERE have_w <> in_w OR have_c <> in_c""",
+)
+def _(spark, d):
+    stages = tables.read(spark, d, "part").selectExpr(
+        "p_partkey div 4 AS chain_id", "p_partkey % 4 AS position", "nullif(p_size % 5, 0) AS in_w", "nullif(p_partkey % 3, 0) AS in_c",
+        "nullif((p_size + p_partkey) % 5, 0) AS out_w", "nullif(p_size % 3, 0) AS out_c",
+    )
+    return chain.shape_mismatches(stages).select("chain_id", "position", "mismatch")
+
+
 @query(
     "register_kernel",
     f"WITH {F3}, {win_sql()} SELECT window_index, 0 AS i, ch, {r('max(v) - min(v)', 'v')} FROM win GROUP BY window_index, ch",

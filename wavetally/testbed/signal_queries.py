@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wavetally.functions.fixedpoint import dequantize_q15, q15_mul, q15_sat_add, q15_sat_sub
 from wavetally.operators import filters, generators, q15, spatial, spectral, tolerance, training, windows
+from wavetally.plans.estimators import Ica
 from wavetally.testbed import tables
 from wavetally.testbed.registry import query, r, rounded
 from wavetally.testbed.tables import F3, F3_NAN
@@ -233,21 +234,31 @@ def _(spark, d):
     return rounded(long.withColumn("v", dequantize_q15(F.col("v"))), 9)
 
 
-@query(
-    "q15_arithmetic",
-    f"""WITH {F3}, {QSIG}, p AS (SELECT t, ch, v AS a, lead(v) OVER (PARTITION BY t ORDER BY ch) AS b FROM qsig)
-    SELECT t, CAST(ch AS INTEGER) AS ch, {SAT.format('a + b')} AS q15_sat_add, {SAT.format('a - b')} AS q15_sat_sub,
-      {SAT.format('(a * b + 16384) >> 15')} AS q15_mul FROM p WHERE b IS NOT NULL""",
-)
-def _(spark, d):
+def _pairs_sql(expr: str) -> str:
+    return f"""WITH {F3}, {QSIG}, p AS (SELECT t, ch, v AS a, lead(v) OVER (PARTITION BY t ORDER BY ch) AS b FROM qsig)
+    SELECT t, CAST(ch AS INTEGER) AS ch, {SAT.format(expr)} AS v FROM p WHERE b IS NOT NULL"""
+
+
+def _pairs(spark, d, op):
+    """A Q15 operation on every pair of neighbouring channels."""
     x = F.col("x")
-    pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = qsig(spark, d).select("t", F.posexplode(pairs).alias("ch", "p")).select("t", "ch", "p.*")
-    a, b = F.col("a"), F.col("b")
-    return rows.select(
-        "t", "ch", q15_sat_add(a, b).cast("long").alias("q15_sat_add"), q15_sat_sub(a, b).cast("long").alias("q15_sat_sub"),
-        q15_mul(a, b).cast("long").alias("q15_mul"),
-    )
+    out = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), op)
+    return qflat(qsig(spark, d).withColumn("x", out))
+
+
+@query("q15_sat_add", _pairs_sql("a + b"))
+def _(spark, d):
+    return _pairs(spark, d, q15_sat_add)
+
+
+@query("q15_sat_sub", _pairs_sql("a - b"))
+def _(spark, d):
+    return _pairs(spark, d, q15_sat_sub)
+
+
+@query("q15_mul", _pairs_sql("(a * b + 16384) >> 15"))
+def _(spark, d):
+    return _pairs(spark, d, q15_mul)
 
 
 @query("noop_q15", f"WITH {F3}, {QSIG} {Q_OUT} FROM qsig")
@@ -405,6 +416,12 @@ def _(spark, d):
     return rounded(per_class.groupBy("i", "j").agg(F.sum("cov").alias("cov")), 3)
 
 
+@query("fit_transform", IDENTITY.format(n=64))
+def _(spark, d):
+    rows = sig(spark, d)
+    return rounded(training.covariance(Ica(max_iter=3).fit(rows).transform(rows), centred=False).drop("label"))
+
+
 @query("fastica_calibrate")
 def _(spark, d):
     return rounded(training.fastica_calibrate(sig(spark, d), max_iter=12))
