@@ -270,6 +270,23 @@ def test_recording_round_trip(spark, tmp_path, x):
     assert got.where("recording_id = 'b'").count() == 50
 
 
+def test_recording_files_need_no_shuffle(spark, tmp_path, x):
+    clean = np.nan_to_num(x).astype("f4").astype(float)
+    recording.write_float32(make(spark, clean, "a"), str(tmp_path / "out"))
+    (tmp_path / "out" / "b.float32").write_bytes(clean[:300].astype("<f4").tobytes())
+    files = recording.RecordingFiles(spark, str(tmp_path / "out"), 3, split_bytes=1200)
+    out = blocks.apply_stages(files, [filters.fir_stage()], 100)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = back(filters.fir_bandpass(make(spark, clean)))
+    assert np.allclose(back(out.where("recording_id = 'a'")), want, atol=1e-12)
+    assert np.allclose(back(out.where("recording_id = 'b'")), want[:300], atol=1e-12)
+    power = blocks.apply_windows(files, spectral.fft_stage(160, 160.0), 160, 80, [filters.car_stage()], 240)
+    again = blocks.apply_windows(make(spark, clean, "a"), spectral.fft_stage(160, 160.0), 160, 80, [filters.car_stage()], 240)
+    key = lambda df: {(r["window_index"], r["i"]): r["x"] for r in df.where("recording_id = 'a'").collect()}
+    a, b = key(power), key(again)
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
 def test_pink_noise(spark):
     ddl = "recording_id string, duration_s double, fs int, channels int, amplitude_uv_rms double, seed long"
     specs = spark.createDataFrame([("n", 51.2, 160, 2, 25.0, 42)], ddl)

@@ -1,6 +1,7 @@
 """Time-sliced processing of long recordings.
 
-A recording is cut into slices of consecutive samples. Every slice also gets
+A signal here is a DataFrame of samples or ``RecordingFiles``, which are read
+slice by slice. A recording is cut into slices of consecutive samples. Every slice also gets
 the samples just before it (filter history) or just after it (the rest of the
 windows that start in it), so slices are independent: one recording of any
 length is spread over as many tasks as it has slices, at the price of one
@@ -87,7 +88,7 @@ def apply_stages(signal: DataFrame, stages: list[Stage], length: int = SLICE) ->
     blocks = [s.block for s in stages]
     history = sum(s.history for s in stages)
 
-    if history == 0:
+    if history == 0 and isinstance(signal, DataFrame):
 
         def row_wise(batches):
             for batch in batches:
@@ -102,22 +103,42 @@ def apply_stages(signal: DataFrame, stages: list[Stage], length: int = SLICE) ->
 
         return signal.select("recording_id", "t", "x").mapInArrow(row_wise, SIGNAL_DDL)
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        first, x, seen = dense(table)
+    def emit(name: str, number: int, first: int, x: np.ndarray, seen: np.ndarray) -> pa.Table:
         for block in blocks:
             x = block(x)
         keep = np.flatnonzero(seen)
-        keep = keep[keep + first >= key[1].as_py() * length]
+        keep = keep[keep + first >= number * length]
         return pa.table(
             {
-                "recording_id": pa.array([key[0].as_py()] * len(keep), pa.string()),
+                "recording_id": pa.array([name] * len(keep), pa.string()),
                 "t": pa.array(keep + first, pa.int64()),
                 "x": to_lists(x[keep]),
             }
         )
 
-    parts = sliced(signal.select("recording_id", "t", "x"), length, before=history)
-    return parts.groupBy("recording_id", "slice").applyInArrow(run, SIGNAL_DDL)
+    return _by_slice(signal, emit, SIGNAL_DDL, length, history, 0)
+
+
+def _by_slice(signal, emit, ddl: str, length: int, before: int, after: int) -> DataFrame:
+    """Call ``emit(recording, slice, first sample, samples, present)`` for every
+    slice: of recording files where they are read, of a signal after a shuffle."""
+    if not isinstance(signal, DataFrame):
+        channels = signal.channels
+
+        def scan(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    x = np.frombuffer(r["x"], dtype="<f4").reshape(-1, channels).astype(float)
+                    seen = np.frombuffer(r["seen"], dtype=bool)
+                    yield from emit(r["recording_id"], r["slice"], r["first_t"], x, seen).to_batches()
+
+        return signal.slices(length, before, after).mapInArrow(scan, ddl)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return emit(key[0].as_py(), key[1].as_py(), *dense(table))
+
+    parts = sliced(signal.select("recording_id", "t", "x"), length, before, after)
+    return parts.groupBy("recording_id", "slice").applyInArrow(run, ddl)
 
 
 def apply_windows(
@@ -134,11 +155,10 @@ def apply_windows(
     history = sum(s.history for s in stages)
     block, bands, hz = final.block, final.bands, final.hz_per_row
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        first, x, seen = dense(table)
+    def emit(name: str, number: int, first: int, x: np.ndarray, seen: np.ndarray) -> pa.Table:
         for stage in blocks:
             x = stage(x)
-        lead = key[1].as_py() * per_slice
+        lead = number * per_slice
         ks = np.arange(lead, lead + per_slice)
         at = ks * H - first
         whole = (at >= 0) & (at + W <= len(x))
@@ -152,7 +172,7 @@ def apply_windows(
         n, rows, c = y.shape
         i = np.tile(np.arange(rows, dtype=np.int32), n)
         cols = {
-            "recording_id": pa.array([key[0].as_py()] * (n * rows), pa.string()),
+            "recording_id": pa.array([name] * (n * rows), pa.string()),
             "window_index": pa.array(np.repeat(ks, rows), pa.int64()),
             "i": pa.array(i, pa.int32()),
         }
@@ -166,5 +186,4 @@ def apply_windows(
     ddl = "recording_id string, window_index long, i int"
     ddl += ", band string" if bands else ""
     ddl += ", freq_hz double" if hz is not None else ""
-    parts = sliced(signal.select("recording_id", "t", "x"), span, before=history, after=max(0, W - H))
-    return parts.groupBy("recording_id", "slice").applyInArrow(run, ddl + ", x array<double>")
+    return _by_slice(signal, emit, ddl + ", x array<double>", span, history, max(0, W - H))

@@ -176,6 +176,7 @@ def _notch_by_scan(signal: DataFrame, b, a, length: int) -> DataFrame:
     """For states that outlast a slice: filter every slice from silence, hand
     the end states on by a doubling scan over slices, filter again from them."""
     a1, a2 = a
+    signal = signal if isinstance(signal, DataFrame) else signal.samples()
 
     def ends(key: tuple, table: pa.Table) -> pa.Table:
         first, x, _ = dense(table)

@@ -53,6 +53,29 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _listing(path: str, channels: int) -> list[tuple[str, int, int, str]]:
+    """(recording, first sample, samples, file) of every file below ``path``.
+
+    A trailing partial sample is left out."""
+    from pyarrow import fs
+
+    filesystem, root = _fs(path)
+    info = filesystem.get_file_info(root)
+    if info.type == fs.FileType.File:
+        found = [info]
+    else:
+        found = filesystem.get_file_info(fs.FileSelector(root, recursive=True))
+    out = []
+    for f in found:
+        if f.type != fs.FileType.File or not f.path.endswith(".float32") or "/_" in f.path[len(root) :]:
+            continue
+        part = PART.search(f.base_name)
+        name = f.path.rsplit("/", 2)[-2] if part else f.base_name[: -len(".float32")]
+        first = int(part.group(1)) if part else 0
+        out.append((name, first, f.size // (ITEM_BYTES * channels), f.path))
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -62,26 +85,12 @@ class _Reader(DataSourceReader):
             raise ValueError("channels must be > 0")
 
     def partitions(self):
-        from pyarrow import fs
-
-        filesystem, root = _fs(self.path)
-        info = filesystem.get_file_info(root)
-        if info.type == fs.FileType.File:
-            found = [info]
-        else:
-            found = filesystem.get_file_info(fs.FileSelector(root, recursive=True))
         row_bytes = ITEM_BYTES * self.channels
         step = max(1, self.split // row_bytes)
         out = []
-        for f in found:
-            if f.type != fs.FileType.File or not f.path.endswith(".float32") or "/_" in f.path[len(root) :]:
-                continue
-            part = PART.search(f.base_name)
-            name = f.path.rsplit("/", 2)[-2] if part else f.base_name[: -len(".float32")]
-            first = int(part.group(1)) if part else 0
-            rows = f.size // row_bytes  # a trailing partial sample is dropped
+        for name, first, rows, file in _listing(self.path, self.channels):
             for at in range(0, rows, step):
-                out.append(ByteRange(f.path, name, first + at, at * row_bytes, min(step, rows - at)))
+                out.append(ByteRange(file, name, first + at, at * row_bytes, min(step, rows - at)))
         return out or [ByteRange("", "", 0, 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -103,6 +112,68 @@ class _Reader(DataSourceReader):
                 )
 
 
+@dataclass
+class SliceRange(InputPartition):
+    recording_id: str
+    first_slice: int
+    last_slice: int
+    end_t: int
+    files: list[tuple[int, int, str]]
+
+
+class _SliceReader(_Reader):
+    """Slices with the samples around them, read straight from the files."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.length = int(options["length"])
+        self.before, self.after = int(options["before"]), int(options["after"])
+
+    def partitions(self):
+        owners: dict[str, list[tuple[int, int, str]]] = {}
+        for name, first, rows, file in _listing(self.path, self.channels):
+            if rows:
+                owners.setdefault(name, []).append((first, rows, file))
+        per_task = max(1, self.split // (ITEM_BYTES * self.channels * self.length))
+        out = []
+        for name, files in owners.items():
+            files.sort()
+            end = max(first + rows for first, rows, _ in files)
+            last = (end - 1) // self.length
+            for s in range(0, last + 1, per_task):
+                e = min(last, s + per_task - 1)
+                lo, hi = s * self.length - self.before, (e + 1) * self.length + self.after
+                near = [f for f in files if f[0] < hi and f[0] + f[1] > lo]
+                out.append(SliceRange(name, s, e, end, near))
+        return out or [SliceRange("", 0, -1, 0, [])]
+
+    def read(self, part: SliceRange) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _fs(self.path)
+        row_bytes = ITEM_BYTES * self.channels
+        for s in range(part.first_slice, part.last_slice + 1):
+            lo = max(0, s * self.length - self.before)
+            hi = min(part.end_t, (s + 1) * self.length + self.after)
+            x = np.full((hi - lo, self.channels), np.nan, dtype="<f4")
+            seen = np.zeros(hi - lo, dtype=bool)
+            for first, rows, file in part.files:
+                start, stop = max(lo, first), min(hi, first + rows)
+                if start < stop:
+                    with filesystem.open_input_file(file) as f:
+                        raw = f.read_at((stop - start) * row_bytes, (start - first) * row_bytes)
+                    x[start - lo : stop - lo] = np.frombuffer(raw, dtype="<f4").reshape(-1, self.channels)
+                    seen[start - lo : stop - lo] = True
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part.recording_id]),
+                    pa.array([s]),
+                    pa.array([lo]),
+                    pa.array([x.tobytes()], pa.binary()),
+                    pa.array([seen.tobytes()], pa.binary()),
+                ],
+                ["recording_id", "slice", "first_t", "x", "seen"],
+            )
+
+
 class _Writer(DataSourceArrowWriter):
     """One file per run of consecutive samples in a task, renamed on commit."""
 
@@ -165,6 +236,47 @@ class Float32Recording(DataSource):
         return _Writer(self.options)
 
 
+class Float32Slices(DataSource):
+    @classmethod
+    def name(cls):
+        return f"{FORMAT}_slices"
+
+    def schema(self):
+        return "recording_id string, slice long, first_t long, x binary, seen binary"
+
+    def reader(self, schema):
+        return _SliceReader(self.options)
+
+
+@dataclass(frozen=True)
+class RecordingFiles:
+    """Recordings to be processed from their files without a shuffle.
+
+    Takes the place of a signal in filters, spectra and chains: every task reads
+    its slices together with the samples around them.
+    """
+
+    spark: SparkSession
+    path: str
+    channels: int
+    split_bytes: int = SPLIT_BYTES
+
+    def slices(self, length: int, before: int = 0, after: int = 0) -> DataFrame:
+        self.spark.dataSource.register(Float32Slices)
+        reader = self.spark.read.format(f"{FORMAT}_slices").option("path", self.path).option("channels", self.channels)
+        reader = reader.option("length", length).option("before", before).option("after", after)
+        return reader.option("splitbytes", self.split_bytes).load()
+
+    def samples(self) -> DataFrame:
+        """The same recordings as one row per sample instant."""
+        rows = read_float32(self.spark, self.path, self.channels, self.split_bytes)
+        return rows.selectExpr("recording_id", "t", "cast(x as array<double>) AS x")
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.spark
+
+
 def read_float32(spark: SparkSession, path: str, channels: int, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Wide signal (recording_id, t, x) from a file or a folder of parts."""
     spark.dataSource.register(Float32Recording)

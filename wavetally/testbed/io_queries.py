@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wavetally.operators import attribution as att
-from wavetally.operators import compare, windows
+from wavetally.operators import compare, filters, windows
 from wavetally.plans import analysis, chain, reports
 from wavetally.session import scratch_path
 from wavetally.sources import bench_logs, recording, telemetry_files
@@ -38,6 +38,30 @@ def _(spark, d):
     return files.agg(F.sum("length").alias("bytes"))
 
 
+@query(
+    "recording_files_fir",
+    f"""WITH {F3}, f32 AS (SELECT t, ch, CAST(v AS FLOAT)::DOUBLE AS v FROM sig), {TAPS}, {FIR.replace('FROM clean s', 'FROM f32 s')}
+    SELECT t, CAST(ch AS INTEGER) AS ch, {r('v', 'v')} FROM fir""",
+)
+def _(spark, d):
+    path = scratch_path(spark, "recording")
+    recording.write_float32(sig(spark, d), path)
+    files = recording.RecordingFiles(spark, path, 64, split_bytes=64 * 4 * 100)
+    return flat(filters.fir_bandpass(files))
+
+
+@query(
+    "recording_files_chain",
+    f"""WITH {F3}, m AS (SELECT t, avg(v) AS m FROM sig GROUP BY t), car AS (SELECT t, ch, v - m AS v FROM sig JOIN m USING (t)),
+    {win_sql('car', name='cw')}, bp AS (WITH {bandpower_sql('cw')}) SELECT * FROM bp""",
+)
+def _(spark, d):
+    path = scratch_path(spark, "recording")
+    recording.write_float32(sig(spark, d), path)
+    files = recording.RecordingFiles(spark, path, 64, split_bytes=64 * 4 * 100)
+    return flat(chain.kernel_chain(files, [chain.kernel("car"), chain.kernel("goertzel")], W, H, length=240))
+
+
 # ------------------------------------------------------------------- telemetry
 
 ROWS = """SELECT run_id, plugin, window_index, end_ts_ns, deadline_missed, stage_index, pmu_cycle_count FROM f1"""
