@@ -69,15 +69,7 @@ def sliced(signal: DataFrame, length: int, before: int = 0, after: int = 0) -> D
 
 
 def dense(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    """First sample number, samples in time order, and which were present."""
-    t = table.column("t").to_numpy()
-    x = to_array(table.column("x"))
-    first = int(t.min())
-    out = np.full((int(t.max()) - first + 1, x.shape[1]), np.nan)
-    seen = np.zeros(len(out), dtype=bool)
-    out[t - first] = x
-    seen[t - first] = True
-    return first, out, seen
+    return placed(table.column("t").to_numpy(), to_array(table.column("x")))
 
 
 def apply_stages(signal: DataFrame, stages: list[Stage], length: int = SLICE) -> DataFrame:
@@ -135,10 +127,65 @@ def _by_slice(signal, emit, ddl: str, length: int, before: int, after: int) -> D
         return signal.slices(length, before, after).mapInArrow(scan, ddl)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        return emit(key[0].as_py(), key[1].as_py(), *dense(table))
-
-    parts = sliced(signal.select("recording_id", "t", "x"), length, before, after)
-    return parts.groupBy("recording_id", "slice").applyInArrow(run, ddl)
+        return emit(key[0].as_py(), key[1].as_py(), *placed(unpacked(table, "t", np.int64), unpacked(table, "x")))
+
+    return packed(signal, length, before, after).groupBy("recording_id", "slice").applyInArrow(run, ddl)
+
+
+def packed(signal: DataFrame, length: int, before: int, after: int) -> DataFrame:
+    """Samples of a task grouped by slice into byte strings, so the shuffle
+    moves a few large values instead of one row per sample."""
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            t, x = batch.column("t").to_numpy(), to_array(batch.column("x"))
+            names = batch.column("recording_id").dictionary_encode()
+            owner = names.indices.to_numpy()
+            first, last = np.maximum((t - after) // length, 0), (t + before) // length
+            copies = last - first + 1
+            row = np.repeat(np.arange(len(t)), copies)
+            number = np.repeat(first, copies) + np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            order = np.lexsort((number, owner[row]))
+            row, number = row[order], number[order]
+            new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(owner[row], prepend=-1) != 0))
+            ends = np.append(new, len(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    names.dictionary.take(pa.array(owner[row][new])),
+                    pa.array(number[new]),
+                    _bytes_at(t[row], ends, 8),
+                    _bytes_at(x[row], ends, 8 * x.shape[1]),
+                    pa.array(np.full(len(new), x.shape[1], dtype=np.int32)),
+                ],
+                ["recording_id", "slice", "t", "x", "channels"],
+            )
+
+    ddl = "recording_id string, slice long, t binary, x binary, channels int"
+    return signal.select("recording_id", "t", "x").mapInArrow(pack, ddl)
+
+
+def _bytes_at(values: np.ndarray, ends: np.ndarray, row_bytes: int) -> pa.Array:
+    """One byte string per run of rows, sharing a single buffer."""
+    offsets = (ends * row_bytes).astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(values))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), data])
+
+
+def unpacked(table: pa.Table, column: str, dtype=np.float64) -> np.ndarray:
+    flat = np.frombuffer(b"".join(v.as_py() for v in table.column(column)), dtype=dtype)
+    return flat if column == "t" else flat.reshape(-1, table.column("channels")[0].as_py())
+
+
+def placed(t: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """First sample number, samples in time order, and which were present."""
+    first = int(t.min())
+    out = np.full((int(t.max()) - first + 1, x.shape[1]), np.nan)
+    seen = np.zeros(len(out), dtype=bool)
+    out[t - first] = x
+    seen[t - first] = True
+    return first, out, seen
 
 
 def apply_windows(

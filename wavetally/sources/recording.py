@@ -186,22 +186,25 @@ class _Writer(DataSourceArrowWriter):
         out, owner, expected = None, None, None
         try:
             for batch in iterator:
-                ids = batch.column(0).to_pylist()
-                ts = batch.column(1).to_numpy()
-                lists = batch.column(2)
+                if batch.num_rows == 0:
+                    continue
+                names = batch.column(0).dictionary_encode()
+                ids, ts, lists = names.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2)
                 values = lists.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
                 rows = values.reshape(len(lists), -1)
-                for i, (name, t) in enumerate(zip(ids, ts)):
+                breaks = np.flatnonzero((np.diff(ts) != 1) | (np.diff(ids) != 0)) + 1
+                for start, stop in zip([0, *breaks], [*breaks, len(ts)]):
+                    name, t = names.dictionary[int(ids[start])].as_py(), int(ts[start])
                     if name != owner or t != expected:
                         if out is not None:
                             out.close()
                         temp = f"{root}/_writing/{uuid.uuid4().hex}"
                         filesystem.create_dir(f"{root}/_writing", recursive=True)
                         out = filesystem.open_output_stream(temp)
-                        files.append((temp, f"{root}/{name}/t{int(t):015d}.float32"))
+                        files.append((temp, f"{root}/{name}/t{t:015d}.float32"))
                         owner = name
-                    out.write(rows[i].tobytes())
-                    expected = t + 1
+                    out.write(np.ascontiguousarray(rows[start:stop]).tobytes())
+                    expected = int(ts[stop - 1]) + 1
         finally:
             if out is not None:
                 out.close()

@@ -287,8 +287,8 @@ def _(spark, d):
     f"""WITH {F3}, {CLEAN}, m AS (SELECT t, avg(v) AS m FROM sig GROUP BY t), car AS (SELECT t, ch, v - m AS v FROM sig JOIN m USING (t)),
     {win_sql('car', name='cw')}, {TAPS}, {FIR}, {win_sql('fir', name='fw')}, bp AS ({{}})
     SELECT 'power' AS chain, window_index, i, band, ch, v FROM bp
-    UNION ALL SELECT 'clean_up', window_index, i, NULL, ch, {r('v', 'v')} FROM fw
-    UNION ALL SELECT 'power-2', window_index, i, NULL, ch, {r('v', 'v')} FROM cw""".replace(
+    UNION ALL SELECT 'clean_up', window_index, i, '', ch, {r('v', 'v')} FROM fw
+    UNION ALL SELECT 'power-2', window_index, i, '', ch, {r('v', 'v')} FROM cw""".replace(
         "bp AS ({})", "bp AS (WITH " + bandpower_sql("cw") + ")"
     ),
 )
@@ -300,7 +300,7 @@ def _(spark, d):
         W,
         H,
     )
-    return flat(whole)
+    return flat(whole.fillna({"band": ""}))
 
 
 @query(

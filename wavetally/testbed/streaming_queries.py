@@ -69,15 +69,16 @@ def _(spark, d):
     f"""WITH {F3}, {HOPS}, {HOP_CLEAN}, {TAPS}, {HOP_FIR}, m AS (SELECT t, avg(v) AS m FROM fir GROUP BY t),
     car AS (SELECT t, ch, v - m AS v FROM fir JOIN m USING (t)), {win_sql('car').replace(LAST, '(SELECT max(t) + 1 FROM hops)')},
     bp AS (WITH {bandpower_sql('win')}), bad AS (SELECT window_index FROM win WHERE i = 0 AND ch = 0 AND v > 0)
-    SELECT window_index, i, ch, v, 0 AS window_failed, CAST(NULL AS INTEGER) AS failed_stage FROM bp
-    WHERE window_index NOT IN (SELECT window_index FROM bad) UNION ALL SELECT window_index, 0, NULL, NULL, 1, 0 FROM bad""",
+    SELECT window_index, i, ch, v, 0 AS window_failed, -1 AS failed_stage FROM bp
+    WHERE window_index NOT IN (SELECT window_index FROM bad) UNION ALL SELECT window_index, 0, -1, 0.0::DOUBLE, 1, 0 FROM bad""",
 )
 def _(spark, d):
     k = chain.kernel
     picky = chain.register_kernel("picky", _reject_positive_start)
     out = st.drain(st.stream_chain(stream(spark, d), [k("bandpass_fir"), k("car"), picky, k("goertzel")], W, H), "chain")
-    long = out.select("window_index", "i", "window_failed", "failed_stage", F.posexplode_outer("x").alias("ch", "v"))
-    return rounded(long)
+    stage = F.coalesce("failed_stage", F.lit(-1)).alias("failed_stage")
+    long = out.select("window_index", "i", "window_failed", stage, F.posexplode_outer("x").alias("ch", "v"))
+    return rounded(long.fillna({"ch": -1, "v": 0.0}))
 
 
 def _reject_positive_start(w: np.ndarray) -> np.ndarray:
