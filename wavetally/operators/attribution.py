@@ -399,7 +399,9 @@ def ols_r2_subsets(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> Dat
     rows = regression_inputs(filter_warmup(df).where(F.col("plugin") != noop)).withColumn("_y", F.col(value))
 
     def corr(a: str, b: str) -> Column:
-        return F.coalesce(finite_or_null(F.corr(a, b)), F.lit(0.0)).alias(f"{a}{b}")
+        # the built-in correlation fails on a constant column
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        return F.coalesce(finite_or_null(r), F.lit(0.0)).alias(f"{a}{b}")
 
     pairs = [("_y", "_x1"), ("_y", "_x2"), ("_y", "_x3"), ("_x1", "_x2"), ("_x1", "_x3"), ("_x2", "_x3")]
     c = rows.groupBy("plugin").agg(F.count("*").alias("n_windows"), *[corr(a, b) for a, b in pairs])
