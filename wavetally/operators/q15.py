@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wavetally.functions.fixedpoint import Q15_HALF, Q15_MAX, Q15_MIN, Q15_SCALE, q15_sat_sub, quantize_q15
 from wavetally.operators.blocks import SLICE, Stage, WindowStage, apply_stages, apply_windows, dense, sliced, to_lists
-from wavetally.operators.filters import fir_taps, notch_coefficients
+from wavetally.operators.filters import causal_fir, fir_taps, notch_coefficients
 from wavetally.operators.spatial import model_matrix
 from wavetally.operators.spectral import BANDS, band_bins
 from wavetally.operators.windows import check_window
@@ -64,8 +64,6 @@ def car_q15(signal: DataFrame) -> DataFrame:
 
 
 def fir_q15_stage(fs: float = 160.0, low: float = 8.0, high: float = 30.0, n: int = 129) -> Stage:
-    from wavetally.operators.filters import causal_fir
-
     taps = as_q15(fir_taps(fs, low, high, n))
     return Stage("bandpass_fir_q15", n - 1, lambda x: _to_q15(causal_fir(np.nan_to_num(x, nan=0.0), taps)))
 

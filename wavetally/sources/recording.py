@@ -45,12 +45,15 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-def _fs(path: str):
+def file_system(path: str):
+    """File system and path for a local path or a URI."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
         return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def _listing(path: str, channels: int) -> list[tuple[str, int, int, str]]:
@@ -59,7 +62,7 @@ def _listing(path: str, channels: int) -> list[tuple[str, int, int, str]]:
     A trailing partial sample is left out."""
     from pyarrow import fs
 
-    filesystem, root = _fs(path)
+    filesystem, root = file_system(path)
     info = filesystem.get_file_info(root)
     if info.type == fs.FileType.File:
         found = [info]
@@ -96,7 +99,7 @@ class _Reader(DataSourceReader):
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if part.rows == 0:
             return
-        filesystem, _ = _fs(self.path)
+        filesystem, _ = file_system(self.path)
         c = self.channels
         with filesystem.open_input_file(part.path) as f:
             for at in range(0, part.rows, BATCH_ROWS):
@@ -148,7 +151,7 @@ class _SliceReader(_Reader):
         return out or [SliceRange("", 0, -1, 0, [])]
 
     def read(self, part: SliceRange) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = _fs(self.path)
+        filesystem, _ = file_system(self.path)
         row_bytes = ITEM_BYTES * self.channels
         for s in range(part.first_slice, part.last_slice + 1):
             lo = max(0, s * self.length - self.before)
@@ -181,7 +184,7 @@ class _Writer(DataSourceArrowWriter):
         self.path = options["path"].rstrip("/")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        filesystem, root = _fs(self.path)
+        filesystem, root = file_system(self.path)
         files: list[tuple[str, str]] = []
         out, owner, expected = None, None, None
         try:
@@ -211,14 +214,14 @@ class _Writer(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages):
-        filesystem, root = _fs(self.path)
+        filesystem, root = file_system(self.path)
         for m in messages:
             for temp, final in m.files if m else []:
                 filesystem.create_dir(final.rsplit("/", 1)[0], recursive=True)
                 filesystem.move(temp, final)
 
     def abort(self, messages):
-        filesystem, _ = _fs(self.path)
+        filesystem, _ = file_system(self.path)
         for m in messages:
             for temp, _final in m.files if m else []:
                 filesystem.delete_file(temp)

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wavetally.operators import attribution as att
-from wavetally.operators import compare, filters, windows
+from wavetally.operators import compare, filters, stats, windows
+from wavetally.operators import telemetry as tel
 from wavetally.plans import analysis, chain, reports
 from wavetally.session import scratch_path
 from wavetally.sources import bench_logs, recording, telemetry_files
@@ -96,9 +97,6 @@ def _(spark, d):
 
 @query("write_telemetry_ndjson", LATENCY_STATS_SQL)
 def _(spark, d):
-    from wavetally.operators import stats
-    from wavetally.operators import telemetry as tel
-
     back = telemetry_files.read_telemetry(spark, written_ndjson(spark, d))
     return rounded(stats.latency_stats(tel.derive_latency(back), "kernel_latency_us"))
 
@@ -167,14 +165,12 @@ def written_logs(spark, d):
     rows = tables.read(spark, d, "supplier").selectExpr("(s_suppkey + 1) * 16 AS channels", "floor(abs(s_acctbal)) AS mb", "s_suppkey AS k")
 
     def write(batches):
-        from wavetally.sources.recording import _fs
-
         for batch in batches:
             for row in batch.to_pylist():
                 lines = ["start", f"[bench] File size: {row['mb']:.1f} MB"]
                 lines += ["[bench] Generated file: x.float32"] if row["k"] % 3 else []
                 lines += ["Benchmark completed"] if row["k"] % 5 else ["stopped"]
-                filesystem, base = _fs(root)
+                filesystem, base = recording.file_system(root)
                 filesystem.create_dir(base, recursive=True)
                 with filesystem.open_output_stream(f"{base}/scalability_{row['channels']}ch.log") as f:
                     f.write("\n".join(lines).encode())
