@@ -12,7 +12,7 @@ def sources():
 
 def test_no_package_imports_inside_functions():
     # functions travel to executors by value; the package is not installed there
-    late = [p.name for p, text in sources() if re.search(r"^\s+(from|import) wavetally", text, re.M)]
+    late = [p.name for p, text in sources() if re.search(r"^[ \t]+(from|import) wavetally", text, re.M)]
     assert late == []
 
 
