@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
 from wavetally.llm import (  # noqa: F401
+    language_id_query,
     quality_rules_query,
 )
 from wavetally.llm.registry import ORACLES, QUERIES
