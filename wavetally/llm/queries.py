@@ -2,6 +2,7 @@
 
 from wavetally.llm import (  # noqa: F401
     language_id_query,
+    packing_query,
     quality_rules_query,
 )
 from wavetally.llm.registry import ORACLES, QUERIES
