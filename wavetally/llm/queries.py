@@ -2,8 +2,10 @@
 
 from wavetally.llm import (  # noqa: F401
     language_id_query,
+    line_dedup_query,
     packing_query,
     quality_rules_query,
+    token_files_query,
 )
 from wavetally.llm.registry import ORACLES, QUERIES
 
