@@ -138,7 +138,7 @@ def _bounds(docs: DataFrame, shard_chars: int) -> list[int]:
     shards = -(-(sizes[0] or 0) // shard_chars)
     if shards < 2:
         return []
-    cuts = docs.agg(F.expr(f"approx_percentile(doc_id, transform(sequence(1, {shards - 1}), i -> i / {shards}D), 100000)")).first()[0]
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100_000)).first()[0]
     return sorted(set(cuts or []))
 
 
