@@ -29,15 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import mix64, power_of_two, slices
+from wavetally.llm.bloom import MAX_BITS, assembled, bitmaps, contains
+from wavetally.llm.common import power_of_two, slices
 from wavetally.session import materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-HASHES = 4
 BITS_PER_LINE = 16
-SEGMENT_BITS = 1 << 18
-MAX_BITS = 1 << 28
 BUFFERED_KEYS = 500_000
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -56,25 +54,6 @@ def keys_of(text: str | None, min_chars: int) -> set[bytes]:
     return {k for k in map(line_key, (text or "").encode().split(b"\n")) if long_enough(k, min_chars)}
 
 
-def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """(HASHES, keys) bit positions."""
-    step = mix64(hashes) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)])
-
-
-def _bitmaps(hashes: np.ndarray, bits: int) -> dict[int, np.ndarray]:
-    """Bit arrays of the segments that the hashes touch."""
-    at = np.unique(_positions(hashes, bits)).astype(np.int64)
-    segment = at // SEGMENT_BITS
-    starts = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(at) else []
-    out = {}
-    for a, b in zip(starts, [*starts[1:], len(at)]):
-        flags = np.zeros(min(bits, SEGMENT_BITS), dtype=np.uint8)
-        flags[at[a:b] % SEGMENT_BITS] = 1
-        out[int(segment[a])] = np.packbits(flags, bitorder="little")
-    return out
-
-
 def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """Bits of the filter of keys that two or more documents may have; at most ``bits`` / 8 bytes."""
 
@@ -83,7 +62,7 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
         def flush():
             hashes, n = np.unique(np.array(held, dtype=np.uint64), return_counts=True)
-            once, twice = _bitmaps(hashes, bits), _bitmaps(hashes[n > 1], bits)
+            once, twice = bitmaps(hashes, bits), bitmaps(hashes[n > 1], bits)
             for s, b in once.items():
                 again = zlib.compress(twice[s].tobytes(), 1) if s in twice else b""
                 yield pa.RecordBatch.from_arrays(
@@ -123,12 +102,7 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
     found = docs.select("text").mapInArrow(parts, "segment long, once binary, twice binary")
     merged = found.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment long, twice binary")
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        raw = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-        at = row["segment"] * SEGMENT_BITS // 8
-        out[at : at + len(raw)] = raw
-    return out
+    return assembled(merged, "twice", bits)
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -150,8 +124,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                 own = keys_of(text, min_chars)
                 keys.extend(own)
                 rows.extend([i] * len(own))
-            at = _positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64), bits)
-            hit = ((twice.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+            hit = contains(twice.value, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64))
             kept = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(np.array(rows, dtype=np.int64)[kept])), pa.array([keys[i] for i in kept], pa.binary())],

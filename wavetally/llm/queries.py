@@ -3,6 +3,7 @@
 from wavetally.llm import (  # noqa: F401
     language_id_query,
     line_dedup_query,
+    ngram_join_query,
     packing_query,
     quality_rules_query,
     token_files_query,
