@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # Text handled at once inside a task. A longer single text is still handled whole.
 SLICE_BYTES = 2 << 20
@@ -32,6 +33,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema with the columns of ``ddl`` behind those of ``schema``."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

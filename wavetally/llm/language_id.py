@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import as_long, mix64, power_of_two, slices
+from wavetally.llm.common import as_long, extended, mix64, power_of_two, slices
 from wavetally.llm.words import utf8
 
 SIZES = (3, 4, 5)
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.slices, model.false_rate))  # plain types: tasks lack this package
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
+    schema = extended(docs.select(*[F.col(f"`{c}`") for c in keep]).schema, "lang_pred string, score double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)

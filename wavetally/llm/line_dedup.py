@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.llm.bloom import MAX_BITS, assembled, bitmaps, contains
-from wavetally.llm.common import power_of_two, slices
+from wavetally.llm.common import extended, power_of_two, slices
 from wavetally.session import materialize
 
 MIN_CHARS = 20
@@ -137,7 +137,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     lost = suspects.join(repeated.drop("n"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("_lost")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = extended(docs.schema, "n_lines long, n_dropped long")
     at = docs.columns.index("text")
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.llm.common import slices
+from wavetally.llm.common import extended, slices
 from wavetally.llm.tokens import WordEncoder
 from wavetally.session import materialize
 
@@ -133,5 +133,5 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int =
         return table.drop_columns(["_group"]).append_column("sequence_id", ids).append_column("offset", pa.array(offset, pa.int64()))
 
     group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(pieces.schema, "sequence_id long, offset long")
     return pieces.withColumn("_group", group).groupBy("_group").applyInArrow(packed, schema)

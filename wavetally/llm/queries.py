@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
 from wavetally.llm import (  # noqa: F401
+    decontamination_query,
     language_id_query,
     line_dedup_query,
     ngram_join_query,

@@ -20,6 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# For words of letters and digits alone: everything else in ASCII sets words apart.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +54,9 @@ class Words:
     ``first[i]:first[i + 1]``.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, blanks: np.ndarray = _SPACE):
         self.data, self.text_at = utf8(column)
-        blank = _SPACE[self.data]
+        blank = blanks[self.data]
         begins = ~blank
         if len(begins):
             begins[1:] &= blank[:-1]
