@@ -6,6 +6,7 @@ from wavetally.llm import (  # noqa: F401
     line_dedup_query,
     ngram_join_query,
     packing_query,
+    quality_classifier_query,
     quality_rules_query,
     token_files_query,
 )
