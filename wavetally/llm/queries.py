@@ -2,6 +2,7 @@
 
 from wavetally.llm import (  # noqa: F401
     decontamination_query,
+    html_text_query,
     language_id_query,
     line_dedup_query,
     ngram_join_query,
