@@ -9,6 +9,7 @@ from wavetally.llm import (  # noqa: F401
     packing_query,
     quality_classifier_query,
     quality_rules_query,
+    token_counts_query,
     token_files_query,
 )
 from wavetally.llm.registry import ORACLES, QUERIES
