@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +47,14 @@ from wavetally.session import materialize
 
 SIZE = 5
 PERCENT = 75
-COUNTERS = 1 << 22
+COUNTERS = 1 << 23
 COUNTER_SEGMENT = 1 << 16
 BUFFERED = 2_000_000
 FRAGMENTS = 4
 FRAGMENT_POSTINGS = 2_000_000
 BLOCK_SETS = 4_000
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+BROADCAST_SETS = 200_000
 HOT_BUCKET = 124  # of counts from 46,000: lists that long are handled as rows, never as one task's array
 _SHIFT = np.uint64(56)
 
@@ -62,6 +64,11 @@ def required(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def required_of_larger(size: int, percent: int) -> int:
+    """Least overlap of a set of ``size`` with any partner that is not smaller."""
+    return -(-2 * percent * size // (100 + percent))
+
+
 def set_id(s: np.ndarray) -> int:
     """A 64-bit id of a set, signed."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else 0
@@ -83,8 +90,13 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "s", "segment", "counts"]
-        counts = np.zeros(counters, dtype=np.uint32)
+        counts = np.zeros(counters, dtype=np.uint16)
         held, size, seen, kind = [], 0, set(), None
+
+        def add():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
+
         for part in slices(batches):
             kind = part.column("doc_id").type
             found = shingle_sets(Words(part.column("text")), n)
@@ -92,10 +104,10 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
             for i, s in zip(ids, found):
                 if i not in seen:
                     seen.add(i)
-                    held.append((s & np.uint64(counters - 1)).astype(np.int64))
+                    held.append((s & np.uint64(counters - 1)).astype(np.uint32))
                     size += len(s)
             if size > BUFFERED:
-                counts += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
+                add()
                 held, size = [], 0
             lengths = [len(s) for s in found]
             none = len(found)
@@ -104,11 +116,11 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
                 names,
             )
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=counters).astype(np.uint32)
+            add()
         if kind is None:
             return
         for k in range(0, counters, COUNTER_SEGMENT):
-            raw = np.minimum(counts[k : k + COUNTER_SEGMENT], 65535).astype("<u2").tobytes()
+            raw = counts[k : k + COUNTER_SEGMENT].astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // COUNTER_SEGMENT]), pa.array([zlib.compress(raw, 1)], pa.binary())],
                 names,
@@ -153,21 +165,25 @@ def cuts(buckets: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int) -> DataFrame:
-    """(h, s, n) of the prefix n-grams that two or more different sets have in their prefix."""
+    """(h, s, n, near) of prefix n-grams with which a set may reach another.
+
+    Of two sets that reach the threshold, the larger has a common n-gram in its prefix that lies even in the shorter
+    prefix of the smaller (``near``), for the smaller's partner cannot be smaller. Equal sizes rank by s."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         ids, sizes, grams, owners, number = [], [], [], [], 0
 
         def flush():
-            h, o = np.concatenate(grams), np.concatenate(owners)
+            h, o = np.concatenate(grams), np.concatenate(owners)  # an owner's lowest bit says near
             hot = buckets.value[h & np.uint64(len(buckets.value) - 1)] >= HOT_BUCKET
             place = np.where(hot, pieces + number % pieces, (h >> np.uint64(32)).astype(np.int64) % pieces)
             order = np.argsort(place, kind="stable")
             edges = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
             for a, b in zip(edges, np.append(edges[1:], len(order))):
                 at = order[a:b]
-                own, local = np.unique(o[at], return_inverse=True)
+                own, local = np.unique(o[at] >> 1, return_inverse=True)
+                local = (local << 1) | (o[at] & 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(place[at[0]])]),
@@ -184,7 +200,7 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
                 seen.add(i)
                 first = np.argsort(_order(s, buckets.value), kind="stable")[: len(s) - required(len(s), percent) + 1]
                 grams.append(s[first])
-                owners.append(np.full(len(first), len(ids), dtype=np.int64))
+                owners.append(2 * len(ids) + (np.arange(len(first)) <= len(s) - required_of_larger(len(s), percent)))
                 ids.append(i)
                 sizes.append(len(s))
                 if len(ids) == BLOCK_SETS:
@@ -194,32 +210,38 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
             yield from flush()
 
     def shared(table: pa.Table) -> pa.Table:
-        """Of one piece, the n-grams of two or more sets."""
-        names = {"h": pa.int64(), "s": pa.int64(), "n": pa.int64()}
+        """Of one piece, what has a partner of fitting size in its n-gram's list."""
         read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
         owners, set_ids, sizes = read("owners", "<u2"), read("sets", np.int64), read("sizes", np.int32)
         h = np.concatenate(read("grams", np.uint64))
-        s = np.concatenate([a[o] for a, o in zip(set_ids, owners)])
-        m = np.concatenate([a[o] for a, o in zip(sizes, owners)])
-        order = np.lexsort((s, h))
-        h, s, m = h[order], s[order], m[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))  # copies in different tasks
-        h, s, m = h[fresh], s[fresh], m[fresh]
+        s = np.concatenate([a[o >> 1] for a, o in zip(set_ids, owners)])
+        m = np.concatenate([a[o >> 1] for a, o in zip(sizes, owners)]).astype(np.int64)
+        near = np.concatenate([(o & 1).astype(bool) for o in owners])
+        order = np.lexsort((s, m, h))
+        h, s, m, near = h[order], s[order], m[order], near[order]
+        keep = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))  # copies in different tasks
+        h, s, m, near = h[keep], s[keep], m[keep], near[keep]
         if table.column("piece")[0].as_py() < pieces:
-            same = h[1:] == h[:-1]
-            several = np.append(same, False) | np.append(False, same)
-            h, s, m = h[several], s[several], m[several]
-        return pa.table([pa.array(as_long(h)), pa.array(s), pa.array(m.astype(np.int64))], schema=pa.schema(list(names.items())))
+            at = np.arange(len(h))
+            below = np.maximum.accumulate(np.where(near, at, -1))
+            below = np.append(-1, below[:-1])  # the last near one before
+            keep = (below >= 0) & (h[below] == h) & (100 * m[below] >= percent * m)
+            keep[:-1] |= near[:-1] & (h[1:] == h[:-1]) & (100 * m[:-1] >= percent * m[1:])
+            h, s, m, near = h[keep], s[keep], m[keep], near[keep]
+        return pa.table([pa.array(as_long(h)), pa.array(s), pa.array(m), pa.array(near)], names=["h", "s", "n", "near"])
 
     made = docs.select("text").mapInArrow(blocks, "piece long, grams binary, owners binary, sets binary, sizes binary")
-    return made.groupBy("piece").applyInArrow(shared, "h long, s long, n long").distinct()
+    return made.groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean").distinct()
 
 
 def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> DataFrame:
-    """(s, f, grams): the sets in the filter ``wanted``, a row per fragment of the global order."""
+    """(s, f, task, grams): the sets in the filter ``wanted``, a row per fragment of the global order.
+
+    Every task gives a set once; copies in other tasks are told apart by the task's number."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        task = TaskContext.get().partitionId()
         for part in slices(batches):
             found = shingle_sets(Words(part.column("text")), n)
             ids = np.array([set_id(s) for s in found], dtype=np.int64)
@@ -237,12 +259,11 @@ def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> Da
             if lists:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows_s, pa.int64()), pa.array(rows_f, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists)))],
-                    ["s", "f", "grams"],
+                    [pa.array(rows_s, pa.int64()), pa.array(rows_f, pa.int32()), pa.array([task] * len(rows_s), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists)))],
+                    ["s", "f", "task", "grams"],
                 )
 
-    made = docs.select("text").mapInArrow(cut, "s long, f int, grams array<long>")
-    return made.groupBy("s", "f").agg(F.first("grams").alias("grams"))
+    return docs.select("text").mapInArrow(cut, "s long, f int, task int, grams array<long>")
 
 
 def _fits(a: str, b: str, percent: int):
@@ -251,8 +272,13 @@ def _fits(a: str, b: str, percent: int):
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold: partial overlaps per fragment, summed per pair."""
-    right = parts.select(F.col("s").alias("b"), "f", F.col("grams").alias("gb"))
-    left = parts.select(F.col("s").alias("a"), "f", F.col("grams").alias("ga"))
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "s")
+    small = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+    # the copy to take of every set in the pairs; sets in no pair stay where they are
+    copy = parts.select("s", "task").join(F.broadcast(wanted) if small else wanted, "s", "left_semi").groupBy("s").agg(F.min("task").alias("task"))
+    some = parts.join(F.broadcast(copy) if small else copy, ["s", "task"])
+    right = some.select(F.col("s").alias("b"), "f", F.col("grams").alias("gb"))
+    left = some.select(F.col("s").alias("a"), "f", F.col("grams").alias("ga"))
     partial = pairs.join(right, "b").join(left, ["a", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -285,8 +311,11 @@ def set_components(postings: DataFrame, parts: DataFrame, percent: int, rounds:
             pairs = outside.where(_fits("n", "ln", percent)).select(*_as_pair("s", "n", "ls", "ln"))
         else:
             # all that is left: sets outside the leader's component with every member of another component
-            other = lists.select("h", F.col("s").alias("t"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = outside.select("h", "s", "n", "c").join(other, "h").where((F.col("c") != F.col("d")) & _fits("n", "m", percent)).select(*_as_pair("s", "n", "t", "m"))
+            other = lists.select("h", F.col("s").alias("t"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("near").alias("near_t"))
+            smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("s") < F.col("t")))
+            reach = F.when(smaller, F.col("near")).otherwise(F.col("near_t"))
+            fitting = (F.col("c") != F.col("d")) & _fits("n", "m", percent) & reach
+            pairs = outside.select("h", "s", "n", "c", "near").join(other, "h").where(fitting).select(*_as_pair("s", "n", "t", "m"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
