@@ -324,3 +324,43 @@ def test_streams_equal_batch_in_any_order(spark, tmp_path, sig, x):
     want = {(r["window_index"], r["i"]): r["x"] for r in windows.sliding_windows(sig, 160, 80).collect()}
     got = {(r["window_index"], r["i"]): r["x"] for r in cut.collect()}
     assert got.keys() == want.keys() and all(np.array_equal(got[k], want[k], equal_nan=True) for k in got)
+
+
+def test_recordings_of_different_channel_counts_do_not_mix(spark, tmp_path):
+    from wavetally.sources.recording import write_float32
+
+    rng = np.random.default_rng(5)
+    data = {f"r{c}": rng.standard_normal((40, c)) for c in (1, 2, 3)}
+    rows = [(n, t, x.tolist()) for t in range(40) for n, v in data.items() for x in [v[t]]]
+    signal = spark.createDataFrame([*rows, ("r2", 40, None)], blocks.SIGNAL_DDL).coalesce(1)
+    for op, want in (
+        (filters.car, lambda x: x - x.mean(axis=1, keepdims=True)),
+        (filters.fir_bandpass, lambda x: filters.causal_fir(x, filters.fir_taps())),
+    ):
+        got = {}
+        for r in op(signal).collect():
+            got.setdefault(r["recording_id"], {})[r["t"]] = r["x"]
+        for name, x in data.items():
+            assert np.allclose([got[name][t] for t in range(40)], want(x)), (op, name)
+    write_float32(signal, str(tmp_path / "mixed"))
+    for name, x in data.items():
+        raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "mixed" / name).iterdir()))
+        assert np.array_equal(np.frombuffer(raw, "<f4").reshape(-1, x.shape[1]), x.astype("f4"))
+    changing = spark.createDataFrame([("a", 0, [1.0]), ("a", 1, [1.0, 2.0])], blocks.SIGNAL_DDL).coalesce(1)
+    with pytest.raises(Exception, match="channel count changes"):
+        filters.fir_bandpass(changing).count()
+
+
+def test_infinite_samples_reach_their_outputs_only():
+    x = np.zeros((400, 1))
+    x[200] = np.inf
+    y = filters.causal_fir(x, filters.fir_taps())
+    assert np.isfinite(y[:200]).all() and np.isinf(y[201]).all() and np.isfinite(y[329:]).all()
+    assert np.isfinite(filters.recursion(x, *filters.notch_coefficients())[:200]).all()
+
+
+def test_windows_with_a_gap_are_left_out(spark):
+    rows = [("r", t, [float(t)]) for t in range(64) if t != 10]
+    signal = spark.createDataFrame(rows, blocks.SIGNAL_DDL)
+    got = {r[0]: r[1] for r in windows.sliding_windows(signal, 16, 8).groupBy("window_index").count().collect()}
+    assert got == {k: 16 for k in range(2, 7)}

@@ -11,11 +11,12 @@ channels) array.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +48,45 @@ class WindowStage:
     hz_per_row: float | None = None
 
 
+def zero_nan(x: np.ndarray) -> np.ndarray:
+    """NaN as 0; infinite samples stay infinite."""
+    return np.where(np.isnan(x), 0.0, x)
+
+
 def to_array(column: pa.ChunkedArray) -> np.ndarray:
-    """List column to (rows, channels); missing values become NaN."""
+    """List column to (rows, channels); missing values become NaN. All lists must have one length."""
     lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.list_value_length(lists)
+    if lists.null_count or len(lists) and pc.min(lengths) != pc.max(lengths):
+        raise ValueError("samples of different channel counts cannot form one array")
     flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
+def by_width(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows and samples of a batch per channel count.
+
+    Recordings of different channel counts may share a table; within one recording the count must not change. A row
+    without samples (null) is a missing row."""
+    lists = batch.column(batch.schema.get_field_index("x"))
+    if lists.null_count:
+        batch = batch.filter(pc.is_valid(lists))
+        lists = batch.column(batch.schema.get_field_index("x"))
+    if batch.num_rows == 0:
+        return
+    widths = pc.list_value_length(lists).to_numpy()
+    if (widths == widths[0]).all():
+        yield batch, to_array(lists)
+        return
+    if "recording_id" in batch.schema.names:
+        names = batch.column(batch.schema.get_field_index("recording_id")).dictionary_encode().indices.to_numpy()
+        if len(np.unique(np.stack([names, widths]), axis=1).T) > len(np.unique(names)):
+            raise ValueError("the channel count changes within a recording")
+    for width in np.unique(widths):
+        part = batch.take(pa.array(np.flatnonzero(widths == width)))
+        yield part, to_array(part.column(part.schema.get_field_index("x")))
+
+
 def to_lists(values: np.ndarray) -> pa.Array:
     n, c = values.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * c)
@@ -84,14 +117,12 @@ def apply_stages(signal: DataFrame, stages: list[Stage], length: int = SLICE) ->
 
         def row_wise(batches):
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                x = to_array(batch.column("x"))
-                for block in blocks:
-                    x = block(x)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("recording_id"), batch.column("t"), to_lists(x)], ["recording_id", "t", "x"]
-                )
+                for rows, x in by_width(batch):
+                    for block in blocks:
+                        x = block(x)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("recording_id"), rows.column("t"), to_lists(x)], ["recording_id", "t", "x"]
+                    )
 
         return signal.select("recording_id", "t", "x").mapInArrow(row_wise, SIGNAL_DDL)
 
@@ -138,29 +169,31 @@ def packed(signal: DataFrame, length: int, before: int, after: int) -> DataFrame
 
     def pack(batches):
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            t, x = batch.column("t").to_numpy(), to_array(batch.column("x"))
-            names = batch.column("recording_id").dictionary_encode()
-            owner = names.indices.to_numpy()
-            first, last = np.maximum((t - after) // length, 0), (t + before) // length
-            copies = last - first + 1
-            row = np.repeat(np.arange(len(t)), copies)
-            number = np.repeat(first, copies) + np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-            order = np.lexsort((number, owner[row]))
-            row, number = row[order], number[order]
-            new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(owner[row], prepend=-1) != 0))
-            ends = np.append(new, len(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    names.dictionary.take(pa.array(owner[row][new])),
-                    pa.array(number[new]),
-                    _bytes_at(t[row], ends, 8),
-                    _bytes_at(x[row], ends, 8 * x.shape[1]),
-                    pa.array(np.full(len(new), x.shape[1], dtype=np.int32)),
-                ],
-                ["recording_id", "slice", "t", "x", "channels"],
-            )
+            for rows, x in by_width(batch):
+                yield cut(rows, x)
+
+    def cut(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        t = batch.column("t").to_numpy()
+        names = batch.column("recording_id").dictionary_encode()
+        owner = names.indices.to_numpy()
+        first, last = np.maximum((t - after) // length, 0), (t + before) // length
+        copies = last - first + 1
+        row = np.repeat(np.arange(len(t)), copies)
+        number = np.repeat(first, copies) + np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        order = np.lexsort((number, owner[row]))
+        row, number = row[order], number[order]
+        new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(owner[row], prepend=-1) != 0))
+        ends = np.append(new, len(row))
+        return pa.RecordBatch.from_arrays(
+            [
+                names.dictionary.take(pa.array(owner[row][new])),
+                pa.array(number[new]),
+                _bytes_at(t[row], ends, 8),
+                _bytes_at(x[row], ends, 8 * x.shape[1]),
+                pa.array(np.full(len(new), x.shape[1], dtype=np.int32)),
+            ],
+            ["recording_id", "slice", "t", "x", "channels"],
+        )
 
     ddl = "recording_id string, slice long, t binary, x binary, channels int"
     return signal.select("recording_id", "t", "x").mapInArrow(pack, ddl)
@@ -174,6 +207,8 @@ def _bytes_at(values: np.ndarray, ends: np.ndarray, row_bytes: int) -> pa.Array:
 
 
 def unpacked(table: pa.Table, column: str, dtype=np.float64) -> np.ndarray:
+    if len(table.column("channels").unique()) > 1:
+        raise ValueError("the channel count changes within a recording")
     flat = np.frombuffer(b"".join(v.as_py() for v in table.column(column)), dtype=dtype)
     return flat if column == "t" else flat.reshape(-1, table.column("channels")[0].as_py())
 

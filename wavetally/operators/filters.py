@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, apply_stages, dense, sliced, to_lists
+from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, apply_stages, dense, sliced, to_lists, zero_nan
 from wavetally.operators.windows import relay_windows
 from wavetally.session import materialize
 
@@ -64,6 +64,8 @@ def fir_taps(fs: float = 160.0, low: float = 8.0, high: float = 30.0, n: int = 1
 def causal_fir(x: np.ndarray, taps: np.ndarray, rows: int = 128) -> np.ndarray:
     """y[t] = sum_k taps[k] x[t-k] with silence before, as banded products."""
     back = len(taps) - 1
+    if not np.isfinite(x).all():
+        return _plain_fir(x, taps)
     lag = back + np.arange(rows)[:, None] - np.arange(rows + back)[None, :]
     band = np.where((lag >= 0) & (lag <= back), taps[np.clip(lag, 0, back)], 0.0)
     n = -(-len(x) // rows) * rows
@@ -73,9 +75,18 @@ def causal_fir(x: np.ndarray, taps: np.ndarray, rows: int = 128) -> np.ndarray:
     return np.concatenate(parts)[: len(x)] if parts else x
 
 
+def _plain_fir(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Tap by tap, so that an infinite sample meets the outputs it belongs to and no others."""
+    y = np.zeros_like(x)
+    with np.errstate(invalid="ignore"):
+        for k, tap in enumerate(taps[: len(x)]):
+            y[k:] += tap * x[: len(x) - k]
+    return y
+
+
 def fir_stage(fs: float = 160.0, low: float = 8.0, high: float = 30.0, n: int = 129) -> Stage:
     taps = fir_taps(fs, low, high, n)
-    return Stage("bandpass_fir", n - 1, lambda x: causal_fir(np.nan_to_num(x, nan=0.0), taps))
+    return Stage("bandpass_fir", n - 1, lambda x: causal_fir(zero_nan(x), taps))
 
 
 def fir_bandpass(signal: DataFrame, fs: float = 160.0, low: float = 8.0, high: float = 30.0, n: int = 129) -> DataFrame:
@@ -116,7 +127,10 @@ def recursion(x: np.ndarray, b, a, state: np.ndarray | None = None, rows: int =
     a1, a2 = a
     s = np.zeros((4, x.shape[1])) if state is None else state
     past = np.concatenate([s[1:2], s[0:1], x])
-    drive = b0 * past[2:] + b1 * past[1:-1] + b2 * past[:-2]
+    with np.errstate(invalid="ignore"):
+        drive = b0 * past[2:] + b1 * past[1:-1] + b2 * past[:-2]
+    if not (np.isfinite(drive).all() and np.isfinite(s).all()):
+        return _plain_recursion(drive, a1, a2, s)
     pulse = np.zeros(rows + 1)
     pulse[0] = 1.0
     pulse[1] = -a1
@@ -135,9 +149,20 @@ def recursion(x: np.ndarray, b, a, state: np.ndarray | None = None, rows: int =
     return y
 
 
+def _plain_recursion(drive: np.ndarray, a1: float, a2: float, s: np.ndarray) -> np.ndarray:
+    """Sample by sample, for slices with infinite samples."""
+    y = np.empty_like(drive)
+    y1, y2 = s[2], s[3]
+    with np.errstate(invalid="ignore"):
+        for t in range(len(drive)):
+            y[t] = drive[t] - a1 * y1 - a2 * y2
+            y1, y2 = y[t], y1
+    return y
+
+
 def notch_stage(f0: float = 60.0, q: float = 30.0, fs: float = 160.0, design: str = "exact") -> Stage:
     b, a = notch_coefficients(f0, q, fs, design)
-    return Stage("notch_iir", decay_length(a[1]), lambda x: recursion(np.nan_to_num(x, nan=0.0), b, a))
+    return Stage("notch_iir", decay_length(a[1]), lambda x: recursion(zero_nan(x), b, a))
 
 
 def notch_iir(
@@ -181,7 +206,7 @@ def _notch_by_scan(signal: DataFrame, b, a, length: int) -> DataFrame:
     def ends(key: tuple, table: pa.Table) -> pa.Table:
         first, x, _ = dense(table)
         here = key[1].as_py() * length
-        x = np.nan_to_num(x, nan=0.0)
+        x = zero_nan(x)
         past = np.zeros((2, x.shape[1]))
         lead = here - first
         if lead > 0:
@@ -227,7 +252,7 @@ def _notch_by_scan(signal: DataFrame, b, a, length: int) -> DataFrame:
             return pa.table({"recording_id": pa.array([], pa.string()), "t": pa.array([], pa.int64()),
                              "x": pa.array([], pa.list_(pa.float64()))})
         first, x, seen = dense(rows)
-        x = np.nan_to_num(x, nan=0.0)
+        x = zero_nan(x)
         c = x.shape[1]
         lead = max(0, here - first)
         past = np.zeros((2, c))

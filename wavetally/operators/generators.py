@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavetally.session import materialize
+
 BLOCK = 65536
 
-# Shortest and longest series one spectrum is drawn for.
+PIECE = 128
+
+# Shortest series that has octaves to speak of.
 MIN_NOISE_SAMPLES = 16
-MAX_NOISE_SAMPLES = 1 << 26
 
 
 def _checked(specs: DataFrame, amplitude: str, frequency: str | None = None) -> DataFrame:
@@ -41,53 +44,129 @@ def generate_sine(specs: DataFrame) -> DataFrame:
     return rows.select("recording_id", "t", F.array_repeat(v, F.col("channels").cast("int")).alias("x"))
 
 
-def _pink(n: int, fs: float, rms: float, seed: tuple[int, ...]) -> np.ndarray:
-    freqs = np.fft.rfftfreq(n, 1.0 / fs)
-    rng = np.random.default_rng(seed)
-    spectrum = np.zeros(len(freqs), dtype=complex)
-    draws = rng.standard_normal((2, len(freqs) - 1))
-    spectrum[1:] = (draws[0] + 1j * draws[1]) / np.sqrt(freqs[1:])
-    wave = np.fft.irfft(spectrum, n)
-    wave -= wave.mean()
-    power = np.sqrt(np.mean(wave**2))
-    return wave * (rms / power) if power > 1e-12 else wave * 0.0
+def _relaxations(n: int) -> np.ndarray:
+    """Decay per sample of the processes summed: corner frequencies one octave apart, down to one period in ``n`` samples.
+
+    Processes of equal power whose corners lie evenly on a log scale add up to a spectrum that falls as 1/f."""
+    octaves = max(1, int(np.ceil(np.log2(n))))
+    return np.exp(-np.pi / 2.0 ** np.arange(octaves))
+
+
+def _innovations(seed: tuple[int, ...], length: int, decay: np.ndarray) -> np.ndarray:
+    """(processes, length) driving noise of one block, of unit power after relaxation."""
+    draws = np.random.default_rng(seed).standard_normal((len(decay), length))
+    return draws * np.sqrt(1 - decay**2)[:, None]
+
+
+def _relaxed(noise: np.ndarray, decay: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """s[t] = decay s[t-1] + noise[t] for every process, in pieces: a triangular product inside, one state in between."""
+    k, n = noise.shape
+    lag = np.arange(PIECE)[:, None] - np.arange(PIECE)[None, :]
+    out = np.empty_like(noise)
+    state = start.copy()
+    for p in range(k):
+        within = np.where(lag >= 0, decay[p] ** np.maximum(lag, 0), 0.0)
+        lead = decay[p] ** np.arange(1, PIECE + 1)
+        whole = np.zeros(-(-n // PIECE) * PIECE)
+        whole[:n] = noise[p]
+        local = whole.reshape(-1, PIECE) @ within.T
+        for row in local:
+            row += lead * state[p]
+            state[p] = row[-1]
+        out[p] = local.ravel()[:n]
+    return out
 
 
 def generate_pink_noise(specs: DataFrame) -> DataFrame:
     """1/f noise, zero mean, given RMS; long rows recording_id, t, ch, v.
 
-    Input: recording_id (number or text), duration_s, fs, channels,
-    amplitude_uv_rms, seed. One channel is one inverse transform, so channels
-    are spread over tasks and each leaves its task in blocks.
+    Input: recording_id (number or text), duration_s, fs, channels, amplitude_uv_rms, seed.
+
+    A channel is a sum of first-order relaxation processes, drawn block by block from a seed of its own, so that a series
+    of any length is made by many tasks: one pass gives each block's end state from silence, a fold over these few numbers
+    per block gives the true states at its start, and sums over all blocks give mean and power.
     """
     rows = _checked(specs, "amplitude_uv_rms")
+    short = F.raise_error(F.lit(f"pink noise needs at least {MIN_NOISE_SAMPLES} samples")).cast("long")
+    rows = rows.withColumn("n", F.when(F.col("n") >= MIN_NOISE_SAMPLES, F.col("n")).otherwise(short))
     rows = rows.withColumn("ch", F.explode(F.sequence(F.lit(0), F.col("channels").cast("int") - 1)))
-    rows = rows.withColumn("_id_hash", F.xxhash64(F.col("recording_id").cast("string")))
     rows = rows.select(
-        F.col("recording_id").cast("string").alias("recording_id"), "ch", "n", F.col("fs").cast("double").alias("fs"),
-        F.col("amplitude_uv_rms").cast("double").alias("rms"), F.col("seed").cast("long").alias("seed"), "_id_hash",
-    ).repartition("recording_id", "ch")
-
-    def draw(batches):
+        F.col("recording_id").cast("string").alias("recording_id"),
+        "ch",
+        "n",
+        F.col("amplitude_uv_rms").cast("double").alias("rms"),
+        F.abs(F.col("seed").cast("long")).alias("seed"),
+        F.shiftrightunsigned(F.xxhash64(F.col("recording_id").cast("string")), 1).alias("name"),
+    )
+    keys = ["recording_id", "ch"]
+    blocks = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+    blocks = blocks.repartition(*keys, "b")
+
+    def drawn(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        decay = _relaxations(r["n"])
+        return decay, _innovations((r["seed"], r["name"], r["ch"], r["b"]), min(BLOCK, r["n"] - r["b"] * BLOCK), decay)
+
+    def ends(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                decay, noise = drawn(r)
+                weight = decay[:, None] ** np.arange(noise.shape[1] - 1, -1, -1)
+                r["state"] = (noise * weight).sum(axis=1).tolist()
+                yield pa.RecordBatch.from_pylist([r], schema=with_state)
+
+    def starts(table: pa.Table) -> pa.Table:
+        table = table.sort_by("b")
+        found = np.array(table.column("state").to_pylist())
+        n = table.column("n")[0].as_py()
+        seed = (table.column("seed")[0].as_py(), table.column("name")[0].as_py(), table.column("ch")[0].as_py())
+        state = np.random.default_rng(seed).standard_normal(found.shape[1])  # stationary from the first sample on
+        over = _relaxations(n) ** BLOCK
+        out = []
+        for end in found:
+            out.append(state.tolist())
+            state = over * state + end
+        return table.set_column(table.schema.get_field_index("state"), "state", pa.array(out, pa.list_(pa.float64())))
+
+    def sums(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                decay, noise = drawn(r)
+                wave = _relaxed(noise, decay, np.array(r["state"])).sum(axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["recording_id"]]), pa.array([r["ch"]], pa.int32()), pa.array([wave.sum()]), pa.array([(wave**2).sum()])],
+                    ["recording_id", "ch", "s", "s2"],
+                )
+
+    def waves(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                n = r["n"]
-                if not MIN_NOISE_SAMPLES <= n <= MAX_NOISE_SAMPLES:
-                    raise ValueError(f"pink noise needs {MIN_NOISE_SAMPLES}..{MAX_NOISE_SAMPLES} samples, got {n}")
-                wave = _pink(n, r["fs"], r["rms"], (abs(r["seed"]), r["_id_hash"] & (2**63 - 1), r["ch"]))
-                for at in range(0, n, BLOCK):
-                    part = wave[at : at + BLOCK]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([r["recording_id"]] * len(part)),
-                            pa.array(np.arange(at, at + len(part))),
-                            pa.array(np.full(len(part), r["ch"], dtype=np.int32)),
-                            pa.array(part),
-                        ],
-                        ["recording_id", "t", "ch", "v"],
-                    )
-
-    return rows.mapInArrow(draw, "recording_id string, t long, ch int, v double")
+                decay, noise = drawn(r)
+                wave = _relaxed(noise, decay, np.array(r["state"])).sum(axis=0)
+                wave = (wave - r["mean"]) * r["gain"]
+                first = r["b"] * BLOCK
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r["recording_id"]] * len(wave)),
+                        pa.array(np.arange(first, first + len(wave))),
+                        pa.array(np.full(len(wave), r["ch"], dtype=np.int32)),
+                        pa.array(wave),
+                    ],
+                    ["recording_id", "t", "ch", "v"],
+                )
+
+    ddl = "recording_id string, ch int, n long, rms double, seed long, name long, b long, state array<double>"
+    with_state = pa.schema(
+        [("recording_id", pa.string()), ("ch", pa.int32()), ("n", pa.int64()), ("rms", pa.float64()), ("seed", pa.int64()),
+         ("name", pa.int64()), ("b", pa.int64()), ("state", pa.list_(pa.float64()))]
+    )
+    states = blocks.mapInArrow(ends, ddl).groupBy(*keys).applyInArrow(starts, ddl)
+    states = materialize(states, "noise-states")
+    total = states.repartition(*keys, "b").mapInArrow(sums, "recording_id string, ch int, s double, s2 double")
+    total = total.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"))
+    scaled = states.join(total, keys).withColumn("mean", F.col("s") / F.col("n"))
+    power = F.sqrt(F.col("s2") / F.col("n") - F.col("mean") ** 2)
+    scaled = scaled.withColumn("gain", F.col("rms") / power).drop("s", "s2")
+    return scaled.repartition(*keys, "b").mapInArrow(waves, "recording_id string, t long, ch int, v double")
 
 
 def widen(long: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wavetally.operators.blocks import Stage, apply_stages
+from wavetally.operators.blocks import Stage, apply_stages, zero_nan
 
 # A model is one row per component; more than this is not a channel matrix.
 MAX_MODEL_ROWS = 65536
@@ -21,13 +21,13 @@ def model_matrix(model: DataFrame, order: str, column: str) -> np.ndarray:
 
 def csp_stage(filters: np.ndarray, nan_to_zero: bool = True) -> Stage:
     weights = filters.T.copy()
-    return Stage("csp", 0, lambda x: (np.nan_to_num(x, nan=0.0) if nan_to_zero else x) @ weights)
+    return Stage("csp", 0, lambda x: (zero_nan(x) if nan_to_zero else x) @ weights)
 
 
 def ica_stage(unmixing: np.ndarray, mean: np.ndarray) -> Stage:
     weights, centre = unmixing.T.copy(), mean.copy()
     # a missing sample is 0 before centring
-    return Stage("ica", 0, lambda x: (np.nan_to_num(x, nan=0.0) - centre) @ weights)
+    return Stage("ica", 0, lambda x: (zero_nan(x) - centre) @ weights)
 
 
 def csp_apply(signal: DataFrame, filters: DataFrame, nan_to_zero: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
-from wavetally.operators.blocks import Stage, WindowStage, apply_windows
+from wavetally.operators.blocks import Stage, WindowStage, apply_windows, zero_nan
 from wavetally.operators.windows import check_window, relay_windows
 
 # Default bands in Hz, fixed values.
@@ -35,7 +35,7 @@ def bandpower_stage(W: int, fs: float, bands: dict[str, tuple[float, float]] | N
     pick = np.array([[1.0 if k in ks else 0.0 for k in used] for ks in bins.values()])
 
     def block(w: np.ndarray) -> np.ndarray:
-        w = np.nan_to_num(w, nan=0.0)
+        w = zero_nan(w)
         power = (cos @ w) ** 2 + (sin @ w) ** 2
         return pick @ power
 
@@ -51,7 +51,7 @@ def fft_stage(W: int, fs: float, nan_to_zero: bool = False) -> WindowStage:
         raise ValueError("window length must factor into 2, 3 and 5")
 
     def block(w: np.ndarray) -> np.ndarray:
-        z = np.fft.rfft(np.nan_to_num(w, nan=0.0) if nan_to_zero else w, axis=1)
+        z = np.fft.rfft(zero_nan(w) if nan_to_zero else w, axis=1)
         return z.real**2 + z.imag**2
 
     return WindowStage("fft", block, hz_per_row=fs / W)
@@ -71,7 +71,7 @@ def welch_stage(W: int, fs: float, n_fft: int = 256, n_overlap: int = 128) -> Wi
     weight[[0, -1]] /= 2
 
     def block(w: np.ndarray) -> np.ndarray:
-        w = np.nan_to_num(w, nan=0.0)
+        w = zero_nan(w)
         starts = range(0, W - seg + 1, step)
         total = 0.0
         for s in starts:

@@ -12,8 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetally.operators.blocks import Stage, apply_stages, to_array
-from wavetally.operators.windows import non_overlapping_windows
+from wavetally.operators.blocks import Stage, apply_stages, by_width, zero_nan
+from wavetally.operators.ordered import broadcast_if_small
 
 EIGEN_FLOOR = 1e-10
 
@@ -26,22 +26,32 @@ def channel_sums(signal: DataFrame) -> DataFrame:
     """Per channel: number and sum of the valid samples (summed per task first)."""
 
     def partial(batches):
-        total = count = None
+        sums: dict[int, tuple] = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = to_array(batch.column("x"))
-            ok = ~np.isnan(x)
-            s, n = np.where(ok, x, 0.0).sum(axis=0), ok.sum(axis=0)
-            total, count = (s, n) if total is None else (total + s, count + n)
-        if total is not None:
+            for _, x in by_width(batch):
+                ok = ~np.isnan(x)
+                s, n = np.where(ok, x, 0.0).sum(axis=0), ok.sum(axis=0)
+                total, count = sums.get(x.shape[1], (0.0, 0))
+                sums[x.shape[1]] = (total + s, count + n)
+        for width, (total, count) in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(count.astype(np.int64)), pa.array(total)],
-                ["ch", "n", "s"],
+                [
+                    pa.array(np.arange(width, dtype=np.int32)),
+                    pa.array(count.astype(np.int64)),
+                    pa.array(total),
+                    pa.array(np.full(width, width, dtype=np.int32)),
+                ],
+                ["ch", "n", "s", "width"],
             )
 
-    parts = signal.select("x").mapInArrow(partial, "ch int, n long, s double")
-    return parts.groupBy("ch").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    parts = signal.select("x").mapInArrow(partial, "ch int, n long, s double, width int")
+    return parts.groupBy("ch").agg(F.sum("n").alias("n"), one_width(F.sum("s")).alias("s"))
+
+
+def one_width(value):
+    """A sum over tasks, or an error: one model cannot be trained on signals of different channel counts."""
+    mixed = F.raise_error(F.lit("training needs recordings of one channel count")).cast("double")
+    return F.when(F.min("width") == F.max("width"), value).otherwise(mixed)
 
 
 def channel_means(signal: DataFrame) -> DataFrame:
@@ -58,19 +68,17 @@ def gram(signal: DataFrame, centre: np.ndarray | None = None, label: str | None
     centring, with the number of samples. One small table per task is shuffled."""
 
     def partial(batches):
-        sums: dict[int, list] = {}
+        sums: dict[tuple[int, int], list] = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = to_array(batch.column("x"))
-            x = np.nan_to_num(x if centre is None else x - centre, nan=0.0)
-            marks = batch.column("label").to_numpy(zero_copy_only=False)
-            for m in np.unique(marks):
-                part = x[marks == m]
-                acc = sums.setdefault(int(m), [0, 0.0])
-                acc[0] += len(part)
-                acc[1] = acc[1] + part.T @ part
-        for m, (n, g) in sums.items():
+            for rows, x in by_width(batch):
+                x = zero_nan(x if centre is None else x - centre)
+                marks = rows.column("label").to_numpy(zero_copy_only=False)
+                for m in np.unique(marks):
+                    part = x[marks == m]
+                    acc = sums.setdefault((int(m), x.shape[1]), [0, 0.0])
+                    acc[0] += len(part)
+                    acc[1] = acc[1] + part.T @ part
+        for (m, width), (n, g) in sums.items():
             i, j = np.triu_indices(len(g))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -79,15 +87,16 @@ def gram(signal: DataFrame, centre: np.ndarray | None = None, label: str | None
                     pa.array(j.astype(np.int32)),
                     pa.array(np.full(len(i), n, dtype=np.int64)),
                     pa.array(g[i, j]),
+                    pa.array(np.full(len(i), width, dtype=np.int32)),
                 ],
-                ["label", "i", "j", "n", "s"],
+                ["label", "i", "j", "n", "s", "width"],
             )
 
     mark = F.lit(0) if label is None else F.col(label)
     parts = signal.select("x", mark.cast("int").alias("label")).mapInArrow(
-        partial, "label int, i int, j int, n long, s double"
+        partial, "label int, i int, j int, n long, s double, width int"
     )
-    return parts.groupBy("label", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return parts.groupBy("label", "i", "j").agg(F.sum("n").alias("n"), one_width(F.sum("s")).alias("s"))
 
 
 def covariance(signal: DataFrame, centred: bool = True, label: str | None = None) -> DataFrame:
@@ -96,18 +105,18 @@ def covariance(signal: DataFrame, centred: bool = True, label: str | None = None
     return gram(signal, centre, label).select("label", "i", "j", (F.col("s") / F.col("n")).alias("cov"))
 
 
-def _matrix(rows, size: int) -> np.ndarray:
-    m = np.zeros((size, size))
-    for r in rows:
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["cov"]
-    return m
-
-
 def _matrices(cov: DataFrame) -> dict[int, np.ndarray]:
-    rows = cov.collect()
-    size = max(r["i"] for r in rows) + 1
-    labels = sorted({r["label"] for r in rows})
-    return {m: _matrix([r for r in rows if r["label"] == m], size) for m in labels}
+    """Symmetric matrices per label; channel x channel values, moved as Arrow columns."""
+    table = cov.toArrow()
+    label, i, j, v = (table.column(c).to_numpy() for c in ("label", "i", "j", "cov"))
+    size = int(i.max()) + 1
+    out = {}
+    for m in np.unique(label).tolist():
+        at = label == m
+        full = np.zeros((size, size))
+        full[i[at], j[at]] = full[j[at], i[at]] = v[at]
+        out[m] = full
+    return out
 
 
 def whitening_matrix(cov: np.ndarray) -> np.ndarray:
@@ -120,7 +129,7 @@ def whiten(signal: DataFrame) -> DataFrame:
     """Centred samples times the whitening matrix of the signal."""
     mean = _vector(channel_means(signal))
     k = whitening_matrix(_matrices(covariance_around(signal, mean))[0])
-    return apply_stages(signal, [Stage("whiten", 0, lambda x: np.nan_to_num(x - mean, nan=0.0) @ k)])
+    return apply_stages(signal, [Stage("whiten", 0, lambda x: zero_nan(x - mean) @ k)])
 
 
 def covariance_around(signal: DataFrame, mean: np.ndarray) -> DataFrame:
@@ -158,7 +167,11 @@ def csp_calibrate(signal: DataFrame, labels: DataFrame, W: int, n_components: in
     classes = sorted(r[0] for r in labels.select("label").distinct().limit(3).collect())
     if len(classes) != 2:
         raise ValueError(f"CSP needs exactly two classes, got {classes}")
-    marked = non_overlapping_windows(signal, W).join(labels.select("window_index", "label"), "window_index")
+    # consecutive windows need no copies: a sample's window is t div W; samples missing or past the last full window count as
+    # they do in ``non_overlapping_windows``
+    whole = signal.groupBy("recording_id", F.floor(F.col("t") / W).alias("window_index")).agg(F.count("*").alias("n")).where(F.col("n") == W)
+    wanted = broadcast_if_small(whole.drop("n").join(labels.select("window_index", "label"), "window_index"))
+    marked = signal.withColumn("window_index", F.floor(F.col("t") / W)).join(wanted, ["recording_id", "window_index"])
     found = _matrices(covariance(marked, centred=False, label="label"))
     filters = csp_filters(found[classes[0]], found[classes[1]], n_components)
     rows = [(i, [float(v) for v in f]) for i, f in enumerate(filters)]
@@ -177,13 +190,12 @@ def _contrast_sums(signal: DataFrame, mean: np.ndarray, k: np.ndarray, w: np.nda
     def partial(batches):
         n, eg, edg = 0, None, None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            z = np.nan_to_num(to_array(batch.column("x")) - mean, nan=0.0) @ k
-            g = np.tanh(z @ w.T)
-            a, b = g.T @ z, (1.0 - g * g).sum(axis=0)
-            n += len(z)
-            eg, edg = (a, b) if eg is None else (eg + a, edg + b)
+            for _, x in by_width(batch):
+                z = zero_nan(x - mean) @ k
+                g = np.tanh(z @ w.T)
+                a, b = g.T @ z, (1.0 - g * g).sum(axis=0)
+                n += len(z)
+                eg, edg = (a, b) if eg is None else (eg + a, edg + b)
         if eg is not None:
             c = len(edg)
             row = np.repeat(np.arange(c, dtype=np.int32), c + 1)

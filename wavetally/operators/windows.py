@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.operators.ordered import broadcast_if_small
@@ -26,16 +26,14 @@ def window_numbers(W: int, H: int):
 def sliding_windows(signal: DataFrame, W: int, H: int) -> DataFrame:
     """Rows (recording_id, window_index, i, x) of every full window.
 
-    Window k covers samples [k*H, k*H+W). A window is full when its last sample
-    exists, so the check joins on (recording, window) and needs no recording
-    length; its partitioning serves per-window work that follows.
+    Window k covers samples [k*H, k*H+W). A window is full when all its W samples exist, as it is for spectra. Its rows
+    lie together after one shuffle by (recording, window), which also serves per-window work that follows.
     """
     check_window(W, H)
     rest = [c for c in signal.columns if c not in ("recording_id", "t")]
-    past = F.col("t") + 1 - W
-    full = signal.where((past >= 0) & (past % H == 0)).select("recording_id", F.floor(past / H).alias("window_index"))
     cut = signal.select("recording_id", F.explode(window_numbers(W, H)).alias("window_index"), "t", *rest)
-    return cut.join(full, ["recording_id", "window_index"], "left_semi").select(
+    size = F.count("*").over(Window.partitionBy("recording_id", "window_index"))
+    return cut.withColumn("_n", size).where(F.col("_n") == W).select(
         "recording_id", "window_index", (F.col("t") - F.col("window_index") * H).cast("int").alias("i"), *rest
     )
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -177,6 +178,20 @@ class _SliceReader(_Reader):
             )
 
 
+def by_recording(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of rows of one channel count, in order, with their samples; rows without samples are left out."""
+    for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(2)))
+        if batch.num_rows == 0:
+            continue
+        widths = pc.list_value_length(batch.column(2)).to_numpy()
+        breaks = np.flatnonzero(np.diff(widths)) + 1
+        for start, stop in zip([0, *breaks.tolist()], [*breaks.tolist(), len(widths)]):
+            part = batch.slice(start, stop - start)
+            values = part.column(2).flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
+            yield part, values.reshape(stop - start, -1)
+
+
 class _Writer(DataSourceArrowWriter):
     """One file per run of consecutive samples in a task, renamed on commit."""
 
@@ -188,13 +203,9 @@ class _Writer(DataSourceArrowWriter):
         files: list[tuple[str, str]] = []
         out, owner, expected = None, None, None
         try:
-            for batch in iterator:
-                if batch.num_rows == 0:
-                    continue
+            for batch, rows in by_recording(iterator):
                 names = batch.column(0).dictionary_encode()
-                ids, ts, lists = names.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-                values = lists.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4")
-                rows = values.reshape(len(lists), -1)
+                ids, ts = names.indices.to_numpy(), batch.column(1).to_numpy()
                 breaks = np.flatnonzero((np.diff(ts) != 1) | (np.diff(ids) != 0)) + 1
                 for start, stop in zip([0, *breaks], [*breaks, len(ts)]):
                     name, t = names.dictionary[int(ids[start])].as_py(), int(ts[start])
