@@ -11,6 +11,9 @@ are dropped fragment by fragment before anything is joined. The frequency behind
 the order comes from a table of counters over all documents that never
 undercounts; it steers the work, not the result.
 
+Before fragments of a pair meet, 512 parity bits per set bound its overlap from above: sets that differ in more bits than
+the threshold allows differ in more n-grams (an exact filter, never a guess).
+
 Identical sets are one node. Among nodes, lists of an n-gram first offer pairs of
 a leader with every other member, leaders changing from round to round; members
 of one component are never paired again. Only what is left then, pairs of
@@ -55,6 +58,7 @@ FRAGMENT_POSTINGS = 2_000_000
 BLOCK_SETS = 4_000
 LEADER_ROUNDS = 2
 BROADCAST_SETS = 200_000
+MARK_BITS = 512
 HOT_BUCKET = 124  # of counts from 46,000: lists that long are handled as rows, never as one task's array
 _SHIFT = np.uint64(56)
 
@@ -235,7 +239,9 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
 
 
 def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> DataFrame:
-    """(s, f, task, grams): the sets in the filter ``wanted``, a row per fragment of the global order.
+    """(s, f, task, grams, mark): the sets in the filter ``wanted``, a row per fragment of the global order.
+
+    ``mark``, in a set's first row: ``MARK_BITS`` bits, each the parity of the n-grams that fall on it.
 
     Every task gives a set once; copies in other tasks are told apart by the task's number."""
 
@@ -246,24 +252,28 @@ def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> Da
             found = shingle_sets(Words(part.column("text")), n)
             ids = np.array([set_id(s) for s in found], dtype=np.int64)
             keep = contains(wanted.value, ids.view(np.uint64)) if len(ids) else np.zeros(0, bool)
-            rows_s, rows_f, lists = [], [], []
+            rows_s, rows_f, lists, marks = [], [], [], []
             for i, s, k in zip(ids.tolist(), found, keep):
                 if not k or i in seen or not len(s):
                     continue
                 seen.add(i)
                 place = np.searchsorted(edges, _order(s, buckets.value), side="right")
+                parity = np.bincount((s >> np.uint64(20)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS) & 1
+                mark = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
                 for f in np.unique(place):
+                    marks.append(mark)
+                    mark = None
                     rows_s.append(i)
                     rows_f.append(int(f))
                     lists.append(as_long(s[place == f]))
             if lists:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows_s, pa.int64()), pa.array(rows_f, pa.int32()), pa.array([task] * len(rows_s), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists)))],
-                    ["s", "f", "task", "grams"],
+                    [pa.array(rows_s, pa.int64()), pa.array(rows_f, pa.int32()), pa.array([task] * len(rows_s), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists))), pa.array(marks, pa.list_(pa.int64()))],
+                    ["s", "f", "task", "grams", "mark"],
                 )
 
-    return docs.select("text").mapInArrow(cut, "s long, f int, task int, grams array<long>")
+    return docs.select("text").mapInArrow(cut, "s long, f int, task int, grams array<long>, mark array<long>")
 
 
 def _fits(a: str, b: str, percent: int):
@@ -276,7 +286,7 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     small = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
     # the copy to take of every set in the pairs; sets in no pair stay where they are
     copy = parts.select("s", "task").join(F.broadcast(wanted) if small else wanted, "s", "left_semi").groupBy("s").agg(F.min("task").alias("task"))
-    some = parts.join(F.broadcast(copy) if small else copy, ["s", "task"])
+    some = parts.drop("mark").join(F.broadcast(copy) if small else copy, ["s", "task"])
     right = some.select(F.col("s").alias("b"), "f", F.col("grams").alias("gb"))
     left = some.select(F.col("s").alias("a"), "f", F.col("grams").alias("ga"))
     partial = pairs.join(right, "b").join(left, ["a", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
@@ -284,6 +294,13 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _may_reach(a: str, na: str, b: str, nb: str, percent: int):
+    """The marks of two sets differ in no more bits than sets that reach the threshold differ in n-grams."""
+    both = F.col(na) + F.col(nb)
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, MARK_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return differ <= both - 2 * F.ceil(percent * both / (100 + percent))
+
+
 def _as_pair(s: str, n: str, t: str, m: str) -> list:
     first = F.col(s) < F.col(t)
     return [
@@ -298,6 +315,7 @@ def set_components(postings: DataFrame, parts: DataFrame, percent: int, rounds:
     """(s, c): the component of every set of the postings that links to another."""
     rank = postings.groupBy("s").agg((-F.count("*")).alias("rank"))  # sets with most shared n-grams are most central
     state = materialize(rank.withColumn("c", F.col("s")), "components")
+    marks = materialize(parts.where("mark IS NOT NULL").groupBy("s").agg(F.first("mark").alias("mark")), "marks")
     tried = None
     for k in range(rounds + 1):
         lists = postings.join(state, "s")
@@ -311,14 +329,18 @@ def set_components(postings: DataFrame, parts: DataFrame, percent: int, rounds:
             pairs = outside.where(_fits("n", "ln", percent)).select(*_as_pair("s", "n", "ls", "ln"))
         else:
             # all that is left: sets outside the leader's component with every member of another component
-            other = lists.select("h", F.col("s").alias("t"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("near").alias("near_t"))
-            smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("s") < F.col("t")))
+            mixed = lists.join(lead.select("h"), "h", "left_semi").join(marks, "s")
+            other = mixed.select("h", *[F.col(x).alias(f"{x}_t") for x in ("s", "n", "c", "near", "mark")])
+            smaller = (F.col("n") < F.col("n_t")) | ((F.col("n") == F.col("n_t")) & (F.col("s") < F.col("s_t")))
             reach = F.when(smaller, F.col("near")).otherwise(F.col("near_t"))
-            fitting = (F.col("c") != F.col("d")) & _fits("n", "m", percent) & reach
-            pairs = outside.select("h", "s", "n", "c", "near").join(other, "h").where(fitting).select(*_as_pair("s", "n", "t", "m"))
+            fitting = (F.col("c") != F.col("c_t")) & _fits("n", "n_t", percent) & reach & _may_reach("mark", "n", "mark_t", "n_t", percent)
+            alone = mixed.join(lead.select("h", "lc"), "h").where("c <> lc").select("h", "s", "n", "c", "near", "mark")
+            pairs = alone.join(other, (alone["h"] == other["h"]) & fitting).select(*_as_pair("s", "n", "s_t", "n_t"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.join(marks.toDF("a", "mark_a"), "a").join(marks.toDF("b", "mark_b"), "b")
+        pairs = pairs.where(_may_reach("mark_a", "na", "mark_b", "nb", percent)).select("a", "b", "na", "nb")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():
