@@ -65,6 +65,12 @@ def _wanted(n: Column, probs: Sequence[float], rule: str) -> Column:
     return F.array(*ranks)
 
 
+def _between(lo: Column, hi: Column, pos: Column) -> Column:
+    """Weighted neighbours, term by term as the ``percentile`` aggregate has it, so that both ways agree to the last bit."""
+    below, above = F.floor(pos), F.ceil(pos)
+    return F.when((below == above) | (lo == hi), lo).otherwise((above - pos) * lo + (pos - below) * hi)
+
+
 def _inside(wanted: Column, before: Column, n: Column) -> Column:
     """Those wanted ranks that fall into this row's rank range, made local."""
     kept = F.filter(wanted, lambda h: (h["r"] > before) & (h["r"] <= before + n))
@@ -211,8 +217,7 @@ def exact_percentiles(
     cols = []
     for i, (alias, p) in enumerate(probs.items()):
         lo, hi = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        cols.append((lo + (hi - lo) * (pos - F.floor(pos)) if rule == "linear" else lo).alias(alias))
+        cols.append((_between(lo, hi, (F.col("_total") - 1) * F.lit(float(p))) if rule == "linear" else lo).alias(alias))
     return slots.select(*keys, *cols)
 
 
