@@ -44,6 +44,18 @@ def test_linear_percentiles(rows, values, forced, limit, broadcast):
             assert got[g][alias] == pytest.approx(np.percentile(vs, p * 100), rel=1e-12, abs=1e-12)
 
 
+def test_paths_agree_to_the_last_bit(spark, forced, values):
+    rng = np.random.default_rng(9)
+    data = {**values, "many": rng.lognormal(1, 1, 5000), "inf": np.append(rng.random(9), np.inf), "infs": np.array([-np.inf, 1.0, np.inf, np.inf])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double").repartition(5)
+    probs = {f"p{i}": i / 20 for i in range(21)}
+    found = []
+    for limit in (0, 10**6):
+        forced(limit)
+        found.append({r["g"]: [np.float64(r[a]).tobytes() for a in probs] for r in ordered.exact_percentiles(df, ["g"], "v", probs).collect()})
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_index_percentiles(rows, values, forced, limit):
     forced(limit)

@@ -280,3 +280,31 @@ def test_scaling(spark):
     r = stats.scaling_linearity(df).first()
     assert (r["channel_factor"], r["size_factor"], r["linearity_pct"], r["is_linear"]) == (8.0, 8.0, 100.0, True)
     assert stats.scaling_linearity(df.limit(1)).first()["linearity_pct"] is None
+
+
+def test_kernel_names_survive_files(spark, tmp_path):
+    from wavetally.sources import telemetry_files as files
+
+    names = ["a+b", "100%", "x y", "p=q", "50%2B", "ä"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "plugin string, window_index long")
+    files.write_telemetry_ndjson(df, str(tmp_path / "t"))
+    got = {r["window_index"]: r["plugin"] for r in files.read_telemetry_ndjson(spark, str(tmp_path / "t")).collect()}
+    assert got == dict(enumerate(names))
+
+
+def test_filter_of_unknown_kernels_and_absent_baseline(spark):
+    df = spark.createDataFrame([("r", "fft", 0, 5.0)], "run_id string, plugin string, warmup int, latency_us double")
+    with pytest.raises(ValueError, match="no kernel matches"):
+        tel.filter_kernels(df, "none,other")
+    got = stats.condition_ratio(df, "base").collect()
+    assert [(r["run_id"], r["ratio"]) for r in got] == [("r", None)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wavetally.session import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, applicationId="x")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))

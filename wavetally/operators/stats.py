@@ -243,8 +243,9 @@ def geo_mean_median(df: DataFrame, condition: str = "run_id", value: str = "late
 
 
 def condition_ratio(df: DataFrame, baseline: str, condition: str = "run_id", value: str = "latency_us") -> DataFrame:
+    """Geometric mean of every condition over that of ``baseline``; without the baseline the ratios are null."""
     means = geo_mean_median(df, condition, value)
-    base = means.where(F.col(condition) == baseline).select(F.col("geo_mean_us").alias("baseline_us"))
+    base = means.agg(F.max(F.when(F.col(condition) == baseline, F.col("geo_mean_us"))).alias("baseline_us"))
     return means.crossJoin(base).withColumn("ratio", F.try_divide(F.col("geo_mean_us"), F.col("baseline_us")))
 
 

@@ -85,13 +85,18 @@ def filter_warmup(df: DataFrame, exclude_failed: bool = False) -> DataFrame:
 
 
 def filter_kernels(df: DataFrame, wanted: str, column: str = "plugin") -> DataFrame:
-    """Rows of the named kernels (comma list), with their place in the list."""
+    """Rows of the named kernels (comma list), with their place in the list.
+
+    Unknown names are left out, but a list of which no row has any name is an error."""
     names = [n.strip(" \t") for n in wanted.split(",")]
     names = list(dict.fromkeys(n for n in names if n))
     if not names:
         raise ValueError("kernel filter names no kernel")
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)).cast("int")
-    return df.where(F.col(column).isin(names)).withColumn("list_position", place)
+    kept = df.where(F.col(column).isin(names))
+    if kept.select(F.lit(1)).isEmpty():
+        raise ValueError(f"no kernel matches the filter: {wanted}")
+    return kept.withColumn("list_position", place)
 
 
 def unknown_kernels(df: DataFrame, wanted: str, column: str = "plugin") -> DataFrame:

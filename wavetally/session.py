@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate data.
+    """The cluster's shared folder for intermediate data, named by ``spark.checkpoint.dir``.
 
-    Taken from ``spark.checkpoint.dir``; a temporary folder is used only where
-    the session names none (local runs and tests).
+    Where all tasks run in the driver's process and none is named, a temporary folder serves; it is kept out of the
+    session's settings. On a cluster a missing folder is an error, since executors would not see each other's files.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="wavetally-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="wavetally-")
+    return _LOCAL[spark.sparkContext.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -13,16 +13,26 @@ UNNAMED = "(unnamed)"
 FULL = T.StructType([*TELEMETRY.fields, *DERIVED.fields, *SYSTEM_INFO.fields])
 
 
+def _unescaped(name: Column) -> Column:
+    """A name with its %XX escapes undone; a plus is a plus, and a percent sign that escapes nothing stays."""
+    plain = F.regexp_replace(F.replace(name, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(plain)
+
+
 def kernel_from_path(path: Column) -> Column:
-    """Kernel folder right below ``kernel-data``; null elsewhere."""
-    name = F.regexp_extract(path, r"kernel-data/(?:plugin=)?([^/]+)/[^/]+$", 1)
-    return F.when(name != "", F.url_decode(name))
+    """Kernel folder right below ``kernel-data``; null elsewhere.
+
+    File paths come as URIs, whose escapes are undone once; names that partitioned writing escaped (``plugin=``) a second
+    time."""
+    name = _unescaped(F.regexp_extract(path, r"kernel-data/([^/]+)/[^/]+$", 1))
+    written = F.regexp_extract(name, r"^plugin=(.*)$", 1)
+    return F.when(written != "", _unescaped(written)).when(name != "", name)
 
 
 def chain_from_path(path: Column) -> Column:
     """Name of a ``pipeline-*`` folder in the path, null outside of one."""
     name = F.regexp_extract(path, r"/pipeline-([^/]+)/kernel-data/", 1)
-    return F.when(name != "", F.url_decode(name))
+    return F.when(name != "", _unescaped(name))
 
 
 def normalize_plugin(df: DataFrame, path: Column) -> DataFrame:
