@@ -69,10 +69,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 class _Open:
     """An open element: what it has gathered so far, and how many blocks there were before it."""
 
-    __slots__ = ("blocks", "digest", "dropped", "main", "tag")
+    __slots__ = ("around", "blocks", "digest", "dropped", "main", "tag")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, blocks: int):
+    def __init__(self, tag: str, dropped: bool, main: bool, blocks: int, around: list[str] | None = None):
         self.tag, self.dropped, self.main, self.blocks = tag, dropped, main, blocks
+        self.around = around  # of an inline element: the block it stands in, which goes on behind it
         self.digest = xxhash.xxh3_64(tag)
 
 
@@ -118,6 +119,9 @@ class Page:
     def _close(self) -> None:
         self._end_block()
         done = self._stack.pop()
+        if done.around is not None:
+            self._held = done.around
+            return
         if not done.main:
             key = done.digest.intdigest() - (1 << 63)
             self.subtrees.add(key)
@@ -126,6 +130,10 @@ class Page:
             self._stack[-1].digest.update(key.to_bytes(8, "little", signed=True))
 
     def _open(self, tag: str, attrs: str) -> None:
+        if tag in INLINE:  # only what is dropped is opened
+            self._stack.append(_Open(tag, True, False, len(self.blocks), self._held))
+            self._held = []
+            return
         self._end_block()
         block_ends = CLOSES.get(tag, {"p"} if tag not in VOID else set())
         if self._stack[-1].tag in block_ends:
@@ -158,7 +166,7 @@ class Page:
                 continue
             if tag == "br":
                 self._say(" ")
-            elif tag in INLINE and not (not end and _is_dropped(tag, m["attrs"])) and not (end and any(o.tag == tag for o in self._stack)):
+            elif tag in INLINE and not (any(o.tag == tag for o in self._stack) if end else tag not in VOID and _is_dropped(tag, m["attrs"])):
                 continue
             elif not end:
                 self._open(tag, m["attrs"])
