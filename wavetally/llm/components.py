@@ -14,18 +14,22 @@ def _least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node has one edge down, to a node that has none: its component's least."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
+
+
 def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge that is not its own root; the root is the component's least node."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = materialize(now, "edges")
-    seen = None
-    while True:
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = _least_neighbour(large)
         small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
