@@ -364,3 +364,24 @@ def test_windows_with_a_gap_are_left_out(spark):
     signal = spark.createDataFrame(rows, blocks.SIGNAL_DDL)
     got = {r[0]: r[1] for r in windows.sliding_windows(signal, 16, 8).groupBy("window_index").count().collect()}
     assert got == {k: 16 for k in range(2, 7)}
+
+
+def test_streams_pass_gaps_as_batch_does(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 2))
+    there = [t for t in range(900) if t != 100 and not 395 <= t < 420 and t != 899 - 300]
+    rows = [("r", t, x[t].tolist()) for t in there]
+    signal = spark.createDataFrame(rows, blocks.SIGNAL_DDL)
+    order = sorted(rows, key=lambda r: r[1] // 90 + rng.random() * 0.3)
+    for i in range(0, len(order), 110):  # files in time order, mixed a little; the last repeats samples long done
+        late = order[:40] if i + 110 >= len(order) else []
+        spark.createDataFrame(order[i : i + 110] + late, blocks.SIGNAL_DDL).coalesce(1).write.parquet(str(tmp_path / f"f{i:04d}"))
+    stream = st.samples_from(spark, str(tmp_path), 2)
+    key = lambda df: {r["t"]: r["x"] for r in df.collect()}
+    want = key(filters.fir_bandpass(signal))
+    kept = st.drain(st.stream_fir(stream, length=150, slack=250), "gap-fir")
+    got = key(kept)
+    assert kept.count() == len(got) == len(want) and all(np.allclose(got[t], want[t], atol=1e-12) for t in want)
+    cut = st.drain(st.stream_sliding_windows(stream, 64, 32, length=128, slack=250), "gap-windows")
+    index = lambda df: sorted(set(df.select("window_index", "i").collect()))
+    assert index(cut) == index(windows.sliding_windows(signal, 64, 32)) and cut.count() == len(index(cut))

@@ -2,9 +2,15 @@
 
 State is kept per (recording, slice) as in the batch operators, so one
 recording does not live in one task, and what is emitted equals the batch
-result whatever the order and size of the micro-batches. A slice's state holds
-samples that arrived out of order, what its filters carry on, and the filtered
-samples of unfinished windows; it is dropped when the slice is complete.
+result whatever the size of the micro-batches. Samples may arrive out of order
+by up to ``slack`` samples: one that has not come when a sample ``slack`` further
+on has is missing, which means what it does in batch: it counts as 0, has no
+output, and no window holds it. A slice sees ``slack`` samples beyond its end, so
+that its last gaps settle too. With ``idle_ms``, what has stood still for so long is
+settled as it stands (such a query runs until it is stopped). A slice's state holds samples that arrived out of order, what its
+filters carry on, and the filtered samples of unfinished windows. Of a finished
+slice only its end is kept, so that late and repeated samples are dropped; with
+``idle_ms`` that is released as well.
 """
 
 from __future__ import annotations
@@ -20,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, sliced
+from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, sliced, zero_nan
 from wavetally.operators.filters import decay_length, fir_stage, notch_coefficients, recursion
 from wavetally.operators.windows import check_window, cyclic_replay
 from wavetally.plans.chain import Kernel, chain_shape_check
 from wavetally.schemas import SIGNAL
 from wavetally.session import scratch_path
 
+SLACK = 2048
+
 STATE_DDL = "next_t long, channels int, pending_t binary, pending_x binary, carry array<binary>, buffer binary, width int"
 
 
@@ -61,7 +69,7 @@ def notch_step(f0: float = 60.0, q: float = 30.0, fs: float = 160.0, design: str
     b, a = notch_coefficients(f0, q, fs, design)
 
     def step(carry: bytes, x: np.ndarray):
-        x = np.nan_to_num(x, nan=0.0)
+        x = zero_nan(x)
         state = np.frombuffer(carry).reshape(4, -1) if carry else np.zeros((4, x.shape[1]))
         y = recursion(x, b, a, state)
         x1, x2 = (x[-1], x[-2]) if len(x) > 1 else (x[-1], state[0])
@@ -78,7 +86,8 @@ def fir_step(fs: float = 160.0, low: float = 8.0, high: float = 30.0) -> StreamS
 class _Progress:
     """The state of one slice between micro-batches."""
 
-    def __init__(self, state: GroupState, first: int, stages: list[StreamStage]):
+    def __init__(self, state: GroupState, first: int, stages: list[StreamStage], idle_ms: int | None):
+        self.idle_ms = idle_ms
         if state.exists:
             self.next, self.channels, t, x, carry, buffer, self.width = state.get
             self.t = np.frombuffer(t, dtype=np.int64)
@@ -92,36 +101,58 @@ class _Progress:
         self.stages = stages
 
     def add(self, frames: Iterator[pd.DataFrame]) -> None:
+        """Take new samples; what lies before the progress has been dealt with and is dropped."""
         ts, xs = [self.t], [self.x]
         for pdf in frames:
+            pdf = pdf[pdf["x"].notna()]
             if len(pdf):
                 ts.append(pdf["t"].to_numpy(dtype=np.int64))
                 xs.append(np.stack([np.asarray(v, dtype=float) for v in pdf["x"]]))
-        self.channels = xs[-1].shape[1]
-        if not len(xs[0]):
-            ts, xs = ts[1:], xs[1:]
+        if len({x.shape[1] for x in xs if len(x)}) > 1:
+            raise ValueError("the channel count changes within a recording")
+        ts, xs = [t for t in ts if len(t)], [x for x in xs if len(x)]
         if not ts:
             return
-        t, x = np.concatenate(ts), np.concatenate(xs)
-        t, at = np.unique(t, return_index=True)
+        self.channels = xs[-1].shape[1]
+        t, at = np.unique(np.concatenate(ts), return_index=True)
         keep = t >= self.next
-        self.t, self.x = t[keep], x[at][keep]
-
-    def advance(self) -> tuple[int, np.ndarray]:
-        """Filter the samples that now follow on without a gap."""
-        n = int((self.t == self.next + np.arange(len(self.t))).cumprod().sum())
-        run, first = self.x[:n], self.next
-        self.t, self.x, self.next = self.t[n:], self.x[n:], self.next + n
-        if n:
+        self.t, self.x = t[keep], np.concatenate(xs)[at][keep]
+
+    def advance(self, slack: int | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """First sample, filtered samples and which of them were there, up to the last that is settled.
+
+        Settled is what follows on without a gap, and all that lies ``slack`` before the newest sample (None: all)."""
+        first, end = self.next, self.next
+        if len(self.t):
+            end = max(end, int(self.t[-1]) + 1 - (slack or 0))
+            rest = self.t[self.t >= end]
+            end += int((rest == end + np.arange(len(rest))).cumprod().sum())
+        n = int(np.searchsorted(self.t, end))
+        run = np.full((end - first, self.channels), np.nan)
+        seen = np.zeros(end - first, dtype=bool)
+        run[self.t[:n] - first], seen[self.t[:n] - first] = self.x[:n], True
+        self.t, self.x, self.next = self.t[n:], self.x[n:], end
+        if len(run):
             for i, stage in enumerate(self.stages):
                 self.carry[i], run = stage.step(self.carry[i], run)
-        return first, run
+        return first, run, seen
+
+    def finish(self, state: GroupState, end: int) -> None:
+        """Keep nothing but where the slice ended, or nothing at all once it has stood still."""
+        if self.idle_ms is not None and state.hasTimedOut:
+            state.remove()
+            return
+        self.next, self.t, self.x, self.buffer = max(self.next, end), self.t[:0], self.x[:0], None
+        self.carry = [b"" for _ in self.stages]
+        self.save(state)
 
     def save(self, state: GroupState) -> None:
         buffer = b"" if self.buffer is None else np.ascontiguousarray(self.buffer).tobytes()
         width = 0 if self.buffer is None else self.buffer.shape[1]
         x = np.ascontiguousarray(self.x).tobytes()
         state.update((self.next, self.channels, self.t.tobytes(), x, self.carry, buffer, width))
+        if self.idle_ms is not None:
+            state.setTimeoutDuration(self.idle_ms)
 
 
 def _packed(y: np.ndarray) -> list[bytes]:
@@ -146,38 +177,47 @@ def _unpacked(df: DataFrame, ddl: str) -> DataFrame:
     return df.mapInArrow(unpack, ddl)
 
 
-def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SLICE) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None) -> DataFrame:
     """Filtered samples (recording_id, t, x), each as soon as all before it in
-    its slice have arrived."""
+    its slice have arrived or are known to be missing."""
     history = sum(s.history for s in stages)
 
     def run(key, frames, state: GroupState):
         name, number = key
         start = int(number) * length
-        progress = _Progress(state, max(0, start - history), stages)
+        progress = _Progress(state, max(0, start - history), stages, idle_ms)
+        idle = idle_ms is not None and state.hasTimedOut
         progress.add(frames)
-        first, y = progress.advance()
-        if progress.next >= start + length:
-            state.remove()
+        first, y, seen = progress.advance(None if idle else slack)
+        if idle or progress.next >= start + length:
+            progress.finish(state, start + length)
         else:
             progress.save(state)
         t = first + np.arange(len(y))
-        own = t >= start
+        own = (t >= start) & (t < start + length) & seen
         yield pd.DataFrame({"recording_id": name, "t": t[own], "x": _packed(y[own])})
 
-    parts = sliced(stream.select("recording_id", "t", "x"), length, before=history)
+    parts = sliced(stream.select("recording_id", "t", "x"), length, before=history, after=slack)
     out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
-        run, "recording_id string, t long, x binary", STATE_DDL, "append", GroupStateTimeout.NoTimeout
+        run, "recording_id string, t long, x binary", STATE_DDL, "append", _timeout(idle_ms)
     )
     return _unpacked(out, SIGNAL_DDL)
 
 
-def stream_fir(stream: DataFrame, fs: float = 160.0, low: float = 8.0, high: float = 30.0, length: int = SLICE) -> DataFrame:
-    return stream_filter(stream, [fir_step(fs, low, high)], length)
+def stream_fir(
+    stream: DataFrame, fs: float = 160.0, low: float = 8.0, high: float = 30.0, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None
+) -> DataFrame:
+    return stream_filter(stream, [fir_step(fs, low, high)], length, slack, idle_ms)
 
 
-def stream_notch(stream: DataFrame, f0: float = 60.0, q: float = 30.0, fs: float = 160.0, length: int = SLICE) -> DataFrame:
-    return stream_filter(stream, [notch_step(f0, q, fs)], length)
+def stream_notch(
+    stream: DataFrame, f0: float = 60.0, q: float = 30.0, fs: float = 160.0, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None
+) -> DataFrame:
+    return stream_filter(stream, [notch_step(f0, q, fs)], length, slack, idle_ms)
 
 
 CHAIN_DDL = (
@@ -186,7 +226,7 @@ CHAIN_DDL = (
 
 
 def _windowed(
-    stream: DataFrame, stages: list[StreamStage], blocks: list, W: int, H: int, length: int = SLICE
+    stream: DataFrame, stages: list[StreamStage], blocks: list, W: int, H: int, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None
 ) -> DataFrame:
     """Every full window once, passed through ``blocks``; a window whose block
     fails yields one row that names the stage."""
@@ -197,16 +237,22 @@ def _windowed(
     def run(key, frames, state: GroupState):
         name, number = key
         lead = int(number) * per_slice
-        progress = _Progress(state, max(0, lead * H - history), stages)
+        progress = _Progress(state, max(0, lead * H - history), stages, idle_ms)
+        idle = idle_ms is not None and state.hasTimedOut
         progress.add(frames)
-        first, y = progress.advance()
+        first, y, seen = progress.advance(None if idle else slack)
+        y = np.concatenate([y, seen[:, None]], axis=1)  # the last column says which samples were there
         held = y if progress.buffer is None or not len(progress.buffer) else np.concatenate([progress.buffer, y])
         base = progress.next - len(held)
         out = []
         k = max(lead, -(-base // H))
         while k < lead + per_slice and k * H + W <= progress.next:
             at = k * H - base
-            w, failed, error = held[None, at : at + W], None, None
+            whole = held[at : at + W, -1].all()
+            w, failed, error = held[None, at : at + W, :-1], None, None
+            if not whole:
+                k += 1
+                continue
             for stage, block in enumerate(blocks):
                 try:
                     w = block(w)
@@ -219,8 +265,8 @@ def _windowed(
                 out.append(pd.DataFrame({"window_index": [k], "i": [0], "x": [None], "window_failed": [1],
                                          "failed_stage": [failed], "error": [error]}))
             k += 1
-        if k >= lead + per_slice:
-            state.remove()
+        if idle or k >= lead + per_slice:
+            progress.finish(state, (lead + per_slice - 1) * H + W)
         else:
             progress.buffer = held[max(0, k * H - base) :]
             progress.save(state)
@@ -232,16 +278,16 @@ def _windowed(
             pdf["failed_stage"] = pdf["failed_stage"].astype("Int32")
             yield pdf[["recording_id", "window_index", "i", "x", "window_failed", "failed_stage", "error"]]
 
-    parts = sliced(stream.select("recording_id", "t", "x"), span, before=history, after=max(0, W - H))
+    parts = sliced(stream.select("recording_id", "t", "x"), span, before=history, after=max(0, W - H) + slack)
     out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
-        run, CHAIN_DDL.replace("array<double>", "binary"), STATE_DDL, "append", GroupStateTimeout.NoTimeout
+        run, CHAIN_DDL.replace("array<double>", "binary"), STATE_DDL, "append", _timeout(idle_ms)
     )
     return _unpacked(out, CHAIN_DDL)
 
 
-def stream_sliding_windows(stream: DataFrame, W: int, H: int, length: int = SLICE) -> DataFrame:
+def stream_sliding_windows(stream: DataFrame, W: int, H: int, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None) -> DataFrame:
     """Every full window once, equal to the batch windows."""
-    return _windowed(stream, [], [], W, H, length).select("recording_id", "window_index", "i", "x")
+    return _windowed(stream, [], [], W, H, length, slack, idle_ms).select("recording_id", "window_index", "i", "x")
 
 
 def stream_warmup(windowed: DataFrame, warmup_s: float, fs: int, H: int) -> DataFrame:
@@ -251,7 +297,15 @@ def stream_warmup(windowed: DataFrame, warmup_s: float, fs: int, H: int) -> Data
 
 
 def stream_chain(
-    stream: DataFrame, kernels: list[Kernel], W: int, H: int, fs: float = 160.0, channels: int = 64, length: int = SLICE
+    stream: DataFrame,
+    kernels: list[Kernel],
+    W: int,
+    H: int,
+    fs: float = 160.0,
+    channels: int = 64,
+    length: int = SLICE,
+    slack: int = SLACK,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """A kernel chain over a stream: leading filters advance with the samples,
     the rest runs on each window; the first failing kernel ends its window."""
@@ -270,7 +324,7 @@ def stream_chain(
         else:
             blocks.append(k.window(rows, fs).block)
         rows, cols = k.output_shape(rows, cols)
-    return _windowed(stream, stages, blocks, W, H, length)
+    return _windowed(stream, stages, blocks, W, H, length, slack, idle_ms)
 
 
 def stream_samples(
