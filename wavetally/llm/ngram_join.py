@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.llm.bloom import MAX_BITS, contains, of_column
-from wavetally.llm.common import as_long, power_of_two, slices
+from wavetally.llm.common import as_long, mix64, power_of_two, slices
 from wavetally.llm.components import star_components
 from wavetally.llm.words import Words, shingle_sets
 from wavetally.session import materialize
@@ -169,7 +169,7 @@ def cuts(buckets: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int) -> DataFrame:
-    """(h, s, n, near) of prefix n-grams with which a set may reach another.
+    """(h, s, n, near): lists ``h`` of sets that share a prefix n-gram with which they may reach one another.
 
     Of two sets that reach the threshold, the larger has a common n-gram in its prefix that lies even in the shorter
     prefix of the smaller (``near``), for the smaller's partner cannot be smaller. Equal sizes rank by s."""
@@ -232,10 +232,16 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
             keep = (below >= 0) & (h[below] == h) & (100 * m[below] >= percent * m)
             keep[:-1] |= near[:-1] & (h[1:] == h[:-1]) & (100 * m[:-1] >= percent * m[1:])
             h, s, m, near = h[keep], s[keep], m[keep], near[keep]
+            if len(h):
+                # near copies share many n-grams: lists of the same members are one list, named by its members
+                starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                lengths = np.diff(np.append(starts, len(h)))
+                h = np.repeat(np.add.reduceat(mix64(s.view(np.uint64)), starts), lengths)
         return pa.table([pa.array(as_long(h)), pa.array(s), pa.array(m), pa.array(near)], names=["h", "s", "n", "near"])
 
     made = docs.select("text").mapInArrow(blocks, "piece long, grams binary, owners binary, sets binary, sizes binary")
-    return made.groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean").distinct()
+    lists = made.groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean")
+    return lists.groupBy("h", "s").agg(F.max("n").alias("n"), F.max("near").alias("near"))
 
 
 def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> DataFrame:
