@@ -81,6 +81,11 @@ def welch_kernel(n_fft: int = 256, n_overlap: int = 128) -> Kernel:
     )
 
 
+BUILT_IN = {
+    "noop": noop_kernel, "car": car_kernel, "bandpass_fir": fir_kernel, "notch_iir": notch_kernel, "csp": csp_kernel,
+    "ica": ica_kernel, "goertzel": goertzel_kernel, "fft": fft_kernel, "welch_psd": welch_kernel,
+}
+
 _REGISTERED: dict[str, Kernel] = {}
 
 
@@ -90,7 +95,9 @@ def register_kernel(
     output_shape: Callable[[int, int], tuple[int, int]] = lambda W, C: (W, C),
     input_shape: Shape = (None, None),
 ) -> Kernel:
-    """Make a Python function on one (W, C) window usable as a kernel."""
+    """Make a Python function on one (W, C) window usable as a kernel. Names of built-in kernels are taken."""
+    if name in BUILT_IN:
+        raise ValueError(f"{name} is a built-in kernel")
 
     def window(W: int, fs: float) -> WindowStage:
         return WindowStage(name, lambda w: np.stack([np.asarray(fn(one), dtype=float) for one in w]))
@@ -101,15 +108,11 @@ def register_kernel(
 
 def kernel(name: str, **params) -> Kernel:
     """A kernel by name, built in or registered."""
-    built_in = {
-        "noop": noop_kernel, "car": car_kernel, "bandpass_fir": fir_kernel, "notch_iir": notch_kernel, "csp": csp_kernel,
-        "ica": ica_kernel, "goertzel": goertzel_kernel, "fft": fft_kernel, "welch_psd": welch_kernel,
-    }
     if name in _REGISTERED:
         return _REGISTERED[name]
-    if name not in built_in:
+    if name not in BUILT_IN:
         raise ValueError(f"unknown kernel: {name}")
-    return built_in[name](**params)
+    return BUILT_IN[name](**params)
 
 
 def chain_shape_check(kernels: list[Kernel], W: int, C: int) -> tuple[int, int]:
