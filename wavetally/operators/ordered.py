@@ -251,7 +251,8 @@ def running_counts(
         *[(F.sum(f"_c_{m}").over(by_cell) - F.col(f"_c_{m}")).alias(f"_b1_{m}") for m in measures],
         *[F.sum(f"_c_{m}").over(Window.partitionBy(*gk)).alias(f"{m}_total") for m in measures],
     )
-    src = src.join(cells, [*gk, "_c1"]).withColumn("_c2", _part(v, F.col("_lo"), F.col("_hi")))
+    # counted cells and parts are broadcast: values that crowd into one cell stay where they are
+    src = src.join(broadcast_if_small(cells), [*gk, "_c1"]).withColumn("_c2", _part(v, F.col("_lo"), F.col("_hi")))
     by_part = Window.partitionBy(*gk, "_c1").orderBy("_c2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = src.groupBy(*gk, "_c1", "_c2").agg(*[F.sum(m).alias(f"_p_{m}") for m in measures])
     parts = parts.select(
@@ -260,7 +261,7 @@ def running_counts(
     by_value = (
         Window.partitionBy(*gk, "_c1", "_c2").orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = src.join(parts, [*gk, "_c1", "_c2"])
+    out = src.join(broadcast_if_small(parts), [*gk, "_c1", "_c2"])
     return out.select(
         *counts.columns,
         *[
