@@ -59,10 +59,17 @@ BLOCK_SETS = 4_000
 LEADER_ROUNDS = 2
 BROADCAST_SETS = 200_000
 MARK_BITS = 512
+SMALL_LIST = 16
 HOT_BUCKET = 124  # of counts from 46,000: lists that long are handled as rows, never as one task's array
 _SHIFT = np.uint64(56)
 
 
+def mark_of(s: np.ndarray) -> list[int]:
+    """``MARK_BITS`` bits, each the parity of the n-grams that fall on it."""
+    parity = np.bincount((s >> np.uint64(20)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+
+
 def required(size: int, percent: int) -> int:
     """Least overlap of a set of ``size`` with any partner."""
     return -(-percent * size // 100)
@@ -90,10 +97,11 @@ def _order(s: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
-    """A row per document (doc_id, n, s), and rows with a segment that carry counts of n-grams by hash."""
+    """A row per document (doc_id, n, s, mark), and rows with a segment that carry counts of n-grams by hash."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s", "segment", "counts"]
+        names = ["doc_id", "n", "s", "mark", "segment", "counts"]
+        marks = pa.list_(pa.int64())
         counts = np.zeros(counters, dtype=np.uint16)
         held, size, seen, kind = [], 0, set(), None
 
@@ -116,7 +124,7 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
             lengths = [len(s) for s in found]
             none = len(found)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(lengths, pa.int64()), pa.array([i if m else None for i, m in zip(ids, lengths)], pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())],
+                [part.column("doc_id"), pa.array(lengths, pa.int64()), pa.array([i if m else None for i, m in zip(ids, lengths)], pa.int64()), pa.array([mark_of(x) if len(x) > 2 else None for x in found], marks), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())],
                 names,
             )
         if held:
@@ -126,12 +134,12 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
         for k in range(0, counters, COUNTER_SEGMENT):
             raw = counts[k : k + COUNTER_SEGMENT].astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k // COUNTER_SEGMENT]), pa.array([zlib.compress(raw, 1)], pa.binary())],
+                [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, marks), pa.array([k // COUNTER_SEGMENT]), pa.array([zlib.compress(raw, 1)], pa.binary())],
                 names,
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n long, s long, segment long, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n long, s long, mark array<long>, segment long, counts binary")
 
 
 def frequency_buckets(found: DataFrame, counters: int) -> np.ndarray:
@@ -169,7 +177,7 @@ def cuts(buckets: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int) -> DataFrame:
-    """(h, s, n, near): lists ``h`` of sets that share a prefix n-gram with which they may reach one another.
+    """(h, s, n, near, size): lists ``h`` of sets that share a prefix n-gram with which they may reach one another.
 
     Of two sets that reach the threshold, the larger has a common n-gram in its prefix that lies even in the shorter
     prefix of the smaller (``near``), for the smaller's partner cannot be smaller. Equal sizes rank by s."""
@@ -232,22 +240,36 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
             keep = (below >= 0) & (h[below] == h) & (100 * m[below] >= percent * m)
             keep[:-1] |= near[:-1] & (h[1:] == h[:-1]) & (100 * m[:-1] >= percent * m[1:])
             h, s, m, near = h[keep], s[keep], m[keep], near[keep]
+            size = np.zeros(len(h), dtype=np.int64)
             if len(h):
                 # near copies share many n-grams: lists of the same members are one list, named by its members
                 starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 lengths = np.diff(np.append(starts, len(h)))
                 h = np.repeat(np.add.reduceat(mix64(s.view(np.uint64)), starts), lengths)
-        return pa.table([pa.array(as_long(h)), pa.array(s), pa.array(m), pa.array(near)], names=["h", "s", "n", "near"])
+                size = np.repeat(lengths, lengths)
+        else:
+            size = np.full(len(h), SMALL_LIST + 1)  # the rest of a hot list is elsewhere
+        return pa.table([pa.array(as_long(h)), pa.array(s), pa.array(m), pa.array(near), pa.array(size)], names=["h", "s", "n", "near", "size"])
 
     made = docs.select("text").mapInArrow(blocks, "piece long, grams binary, owners binary, sets binary, sizes binary")
-    lists = made.groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean")
-    return lists.groupBy("h", "s").agg(F.max("n").alias("n"), F.max("near").alias("near"))
+    lists = made.groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean, size long")
+    return lists.groupBy("h", "s").agg(*[F.max(c).alias(c) for c in ("n", "near", "size")])
 
 
-def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> DataFrame:
-    """(s, f, task, grams, mark): the sets in the filter ``wanted``, a row per fragment of the global order.
+def useful_postings(postings: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Without members of small lists that no other member can reach by size and mark."""
+    small = postings.where(F.col("size") <= SMALL_LIST).join(marks, "s")
+    lists = small.groupBy("h").agg(F.collect_list(F.struct("s", "n", "near", "mark")).alias("m"))
 
-    ``mark``, in a set's first row: ``MARK_BITS`` bits, each the parity of the n-grams that fall on it.
+    def has_partner(x):
+        return F.exists("m", lambda y: (x["s"] != y["s"]) & _fits(x["n"], y["n"], percent) & _may_reach(x["mark"], x["n"], y["mark"], y["n"], percent))
+
+    kept = lists.select("h", F.explode(F.filter("m", has_partner)).alias("x")).select("h", "x.s", "x.n", "x.near")
+    return kept.unionByName(postings.where(F.col("size") > SMALL_LIST).select("h", "s", "n", "near"))
+
+
+def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> DataFrame:
+    """(s, f, task, grams): the sets in the filter ``wanted``, a row per fragment of the global order.
 
     Every task gives a set once; copies in other tasks are told apart by the task's number."""
 
@@ -258,32 +280,28 @@ def fragments(docs: DataFrame, n: int, buckets, wanted, edges: np.ndarray) -> Da
             found = shingle_sets(Words(part.column("text")), n)
             ids = np.array([set_id(s) for s in found], dtype=np.int64)
             keep = contains(wanted.value, ids.view(np.uint64)) if len(ids) else np.zeros(0, bool)
-            rows_s, rows_f, lists, marks = [], [], [], []
+            rows_s, rows_f, lists = [], [], []
             for i, s, k in zip(ids.tolist(), found, keep):
                 if not k or i in seen or not len(s):
                     continue
                 seen.add(i)
                 place = np.searchsorted(edges, _order(s, buckets.value), side="right")
-                parity = np.bincount((s >> np.uint64(20)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS) & 1
-                mark = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
                 for f in np.unique(place):
-                    marks.append(mark)
-                    mark = None
                     rows_s.append(i)
                     rows_f.append(int(f))
                     lists.append(as_long(s[place == f]))
             if lists:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows_s, pa.int64()), pa.array(rows_f, pa.int32()), pa.array([task] * len(rows_s), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists))), pa.array(marks, pa.list_(pa.int64()))],
-                    ["s", "f", "task", "grams", "mark"],
+                    [pa.array(rows_s, pa.int64()), pa.array(rows_f, pa.int32()), pa.array([task] * len(rows_s), pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists)))],
+                    ["s", "f", "task", "grams"],
                 )
 
-    return docs.select("text").mapInArrow(cut, "s long, f int, task int, grams array<long>, mark array<long>")
+    return docs.select("text").mapInArrow(cut, "s long, f int, task int, grams array<long>")
 
 
-def _fits(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _fits(a, b, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -292,7 +310,7 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     small = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
     # the copy to take of every set in the pairs; sets in no pair stay where they are
     copy = parts.select("s", "task").join(F.broadcast(wanted) if small else wanted, "s", "left_semi").groupBy("s").agg(F.min("task").alias("task"))
-    some = parts.drop("mark").join(F.broadcast(copy) if small else copy, ["s", "task"])
+    some = parts.join(F.broadcast(copy) if small else copy, ["s", "task"])
     right = some.select(F.col("s").alias("b"), "f", F.col("grams").alias("gb"))
     left = some.select(F.col("s").alias("a"), "f", F.col("grams").alias("ga"))
     partial = pairs.join(right, "b").join(left, ["a", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("o"))
@@ -300,10 +318,11 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _may_reach(a: str, na: str, b: str, nb: str, percent: int):
+def _may_reach(a, na, b, nb, percent: int):
     """The marks of two sets differ in no more bits than sets that reach the threshold differ in n-grams."""
-    both = F.col(na) + F.col(nb)
-    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, MARK_BITS // 64)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    a, na, b, nb = (F.col(x) if isinstance(x, str) else x for x in (a, na, b, nb))
+    both = na + nb
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, MARK_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
     return differ <= both - 2 * F.ceil(percent * both / (100 + percent))
 
 
@@ -317,11 +336,10 @@ def _as_pair(s: str, n: str, t: str, m: str) -> list:
     ]
 
 
-def set_components(postings: DataFrame, parts: DataFrame, percent: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
+def set_components(postings: DataFrame, parts: DataFrame, marks: DataFrame, percent: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(s, c): the component of every set of the postings that links to another."""
     rank = postings.groupBy("s").agg((-F.count("*")).alias("rank"))  # sets with most shared n-grams are most central
     state = materialize(rank.withColumn("c", F.col("s")), "components")
-    marks = materialize(parts.where("mark IS NOT NULL").groupBy("s").agg(F.first("mark").alias("mark")), "marks")
     tried = None
     for k in range(rounds + 1):
         lists = postings.join(state, "s")
@@ -372,12 +390,15 @@ def components(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFr
     rows = found.where("segment IS NULL").select("doc_id", "n", "s")
     total = rows.agg(F.sum("n")).first()[0] or 0
     pieces = max(1, -(-total * (100 - percent) // (100 * FRAGMENT_POSTINGS)))
-    postings = materialize(shared_postings(docs, n, percent, shared, pieces), "postings")
+    candidates = materialize(shared_postings(docs, n, percent, shared, pieces), "candidates")
+    marks = found.where("mark IS NOT NULL").select("s", "mark").join(candidates.select("s").distinct(), "s", "left_semi")
+    marks = materialize(marks.groupBy("s").agg(F.first("mark").alias("mark")), "marks")
+    postings = materialize(useful_postings(candidates, marks, percent), "postings")
     members = postings.select("s").distinct()
     bits = power_of_two(12 * members.count(), 1 << 10, MAX_BITS)
     wanted = spark.sparkContext.broadcast(of_column(members, "s", bits))
     parts = materialize(fragments(docs, n, shared, wanted, cuts(buckets, FRAGMENTS)), "fragments")
-    roots = set_components(postings, parts, percent)
+    roots = set_components(postings, parts, marks, percent)
     # from sets to documents: a component's id is its least doc_id
     per_set = rows.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("d")).join(roots, "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))
     per_set = materialize(per_set, "sets")
