@@ -205,6 +205,23 @@ def test_blocks_of_a_page(source, text):
     assert html_text.Page(source).text == text
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT>s='<!--'</Script\n>",
+        "<script>if(a<b)f()</script>",
+        "<title>a <b & c</title>",
+        "<style>a<b{}</style><script>x='</scripts>'; y<z</script>",
+        "<textarea><p title=\"</textarea>",
+    ],
+)
+def test_text_behind_raw_elements_stays(raw):
+    assert html_text.Page(f"<p>a{raw}b<p>c").text == "ab\nc"
+    assert html_text.Page(f"<head>{raw}</head><article>b<p>c</article><script>1</script>").text == "b\nc"
+    assert html_text.Page("<p>a<script>i<n").text == "a"
+
+
 def test_recurring_subtrees_of_a_host_go(spark):
     page = lambda i: f"<body><div><p>Site name</p><p>Offer {i % 2}</p></div><div><p>Own text {i}</p><p>Site name</p></div></body>"
     rows = [(i, f"https://www.a.b:80/{i}?x", page(i)) for i in range(12)] + [(20, "http://c.d/", page(1)), (21, None, None), (22, "nonsense", ""), (0, "https://a.b/0", page(0))]

@@ -45,6 +45,7 @@ TOKEN = re.compile(
 )
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe"}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
@@ -146,23 +147,17 @@ class Page:
             self._stack.append(_Open(tag, dropped, main, len(self.blocks)))
 
     def _parse(self, source: str) -> None:
-        at, raw_end = 0, None
-        for m in TOKEN.finditer(source):
-            if m.start() < at:
-                continue
+        at = 0
+        while m := TOKEN.search(source, at):
             tag, end = (m["tag"] or "").lower(), bool(m["end"])
-            if raw_end is not None:
-                if not (end and tag == raw_end):
-                    continue
-                raw_end, at = None, m.end()
-                continue
             self._say(source[at : m.start()])
             at = m.end()
             if not tag:
                 continue
             if tag in RAW:
                 if not end and not m["attrs"].endswith("/"):
-                    raw_end = tag
+                    close = RAW_END[tag].search(source, at)  # what stands before it is no markup
+                    at = close.end() if close else len(source)
                 continue
             if tag == "br":
                 self._say(" ")
@@ -176,8 +171,7 @@ class Page:
                 self._close()
             else:
                 self._end_block()
-        if raw_end is None:
-            self._say(source[at:])
+        self._say(source[at:])
         while len(self._stack) > 1:
             self._close()
         self._end_block()
