@@ -230,3 +230,30 @@ def test_recurring_subtrees_of_a_host_go(spark):
     want = [(i, f"Own text {i}") for i in range(12)] + [(0, "Own text 0"), (20, "Site name\nOffer 1\nOwn text 1\nSite name"), (21, ""), (22, "")]
     assert got == sorted(want)
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def extracted(spark, sources):
+    rows = [(i, "https://a.b/", source) for i, source in enumerate(sources)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in sorted(html_text.main_text(df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_recurring_blocks_inside_articles_go(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><div><p>Join our list</p></div><p>Own text of page {i}</p></article>"
+    assert extracted(spark, [page(i) for i in range(8)]) == [f"Title {i}\nOwn text of page {i}" for i in range(8)]
+
+
+def test_copied_articles_stay(spark):
+    page = lambda i, k=0: f"<nav>{k}</nav><article><h1>Title {i}</h1><p>Own text of page {i}</p></article>"
+    got = extracted(spark, [page(0, k) for k in range(20)] + [page(i) for i in range(1, 7)])
+    assert got == [f"Title {i}\nOwn text of page {i}" for i in [0] * 20 + [*range(1, 7)]]
+
+
+def test_main_content_has_most_of_the_text_that_is_left(spark):
+    page = lambda i: f"<article>Our paper, now in print every day and on every table</article><div>Real text of page {i}</div><article>Tip {i}</article>"
+    assert extracted(spark, [page(i) for i in range(8)]) == [f"Real text of page {i}\nTip {i}" for i in range(8)]
+
+
+@pytest.mark.parametrize("mark", ["class=comment", "class='odd comment'", "id='comment-12'", "class=comment-body"])
+def test_reader_comments_marked_as_articles_go(mark):
+    assert html_text.Page(f"<article class='post category-social'>Own text</article><article {mark}>I am first</article>").text == "Own text"

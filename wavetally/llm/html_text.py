@@ -1,16 +1,21 @@
 """Main text of web pages by removal of site templates.
 
 Every element's subtree is hashed from its tag, its children and its text. Spark
-counts per host on how many pages a subtree occurs; subtrees that recur on many
-pages of their host are template and are deleted, with everything in them. What
-says itself that it is no content (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) goes as well. Where a page marks
-its article, the article alone is its content, and template deletion works around
-it, never inside: paragraphs that two articles share are text of both.
-
-A host's subtrees are counted before anything moves, so a host with a third of all
-pages costs no more than others. Recurring subtrees per host are few: each is on at
-least ``MIN_SHARE`` of the host's pages, so there are at most 1 / MIN_SHARE times the
+counts per host on how many different pages a subtree occurs; subtrees that recur
+on many pages of their host are template and are deleted, with everything in them,
+inside articles as well. What says itself that it is no content (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) goes
+too. Where elements marked as article or main hold at least ``MAIN_SHARE`` of the text
+that is left, they alone are the content; otherwise all that is left is.
+
+Pages of a host with the same text (before template deletion) count as one page, so
+what is copied as a whole is not template. Paragraphs that a few articles share stay
+in each; on ``MIN_PAGES`` different pages and ``MIN_SHARE`` of the host's they are template.
+
+A page's subtrees are a short list of hashes, and copies of a page and a host's
+subtrees are counted before anything moves, so a host with a third of all pages costs
+no more than others. Recurring subtrees per host are few: each is on at least
+``MIN_SHARE`` of the host's pages, so there are at most 1 / MIN_SHARE times the
 elements of a page.
 
 Blocks are what block-level tags set apart; white space within a block becomes one
@@ -37,6 +42,7 @@ from wavetally.session import materialize
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+MAIN_SHARE = 0.5
 BROADCAST_ROWS = 100_000
 
 TOKEN = re.compile(
@@ -63,6 +69,8 @@ NOT_CONTENT = {
     "sidebar", "complementary", "contentinfo", "footer", "header", "search", "comment", "comments", "disqus", "replies", "reply", "share",
     "sharing", "social", "related", "newsletter", "subscribe", "pagination",
 }
+#: Articles carry category words in their classes, so only a whole class, id or role says what they are, or one of these.
+REMARK = re.compile(r"(?:div-)?(?:comment|reply)[_-](?:body|item|\d+)")
 #: A start tag that ends an open element of these tags.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -81,27 +89,35 @@ class _Open:
 def _is_dropped(tag: str, attrs: str) -> bool:
     if tag in DROPPED:
         return True
-    if not attrs or tag in MAIN or tag in ("body", "html"):
+    if not attrs or tag in ("main", "body", "html"):
         return False
     said = " ".join("".join(m) for m in MARKS.findall(attrs)).lower()
+    if tag in MAIN:
+        return any(w in NOT_CONTENT or REMARK.fullmatch(w) for w in said.split())
     return bool(said) and not NOT_CONTENT.isdisjoint(re.split(r"[\s_-]+", said))
 
 
 class Page:
-    """A parsed page. ``subtrees``: hashes of the subtrees outside the main content; ``text``: what stays."""
+    """A parsed page. ``subtrees``: hashes of the subtrees with text that is not dropped; ``text``: what stays."""
 
     def __init__(self, source: str, recurring: frozenset[int] | set[int] = frozenset()):
         self.recurring = recurring
         self.subtrees: set[int] = set()
         self.blocks: list[tuple[str, bool]] = []  # text, whether inside the main content
-        self.has_main = False
         self._stack: list[_Open] = [_Open("", False, False, 0)]
         self._held: list[str] = []
         self._parse(source)
 
     @property
     def text(self) -> str:
-        return "\n".join(t for t, main in self.blocks if main or not self.has_main)
+        marked = sum(len(t) for t, main in self.blocks if main)
+        only = marked > 0 and marked >= MAIN_SHARE * sum(len(t) for t, _ in self.blocks)
+        return "\n".join(t for t, main in self.blocks if main or not only)
+
+    @property
+    def key(self) -> int:
+        """The same for pages of the same text."""
+        return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in self.blocks)) - (1 << 63)
 
     def _say(self, raw: str) -> None:
         if raw:
@@ -123,12 +139,12 @@ class Page:
         if done.around is not None:
             self._held = done.around
             return
-        if not done.main:
-            key = done.digest.intdigest() - (1 << 63)
+        key = done.digest.intdigest() - (1 << 63)
+        if len(self.blocks) > done.blocks:
             self.subtrees.add(key)
-            if key in self.recurring and not done.dropped:
-                self.blocks[done.blocks :] = [b for b in self.blocks[done.blocks :] if b[1]]
-            self._stack[-1].digest.update(key.to_bytes(8, "little", signed=True))
+            if key in self.recurring:
+                del self.blocks[done.blocks :]
+        self._stack[-1].digest.update(key.to_bytes(8, "little", signed=True))
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in INLINE:  # only what is dropped is opened
@@ -142,7 +158,6 @@ class Page:
         top = self._stack[-1]
         dropped = top.dropped or _is_dropped(tag, attrs)
         main = not dropped and (top.main or tag in MAIN)
-        self.has_main |= main
         if tag not in VOID:
             self._stack.append(_Open(tag, dropped, main, len(self.blocks)))
 
@@ -183,19 +198,22 @@ def host():
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, recurring): hashes of the subtrees on at least ``min_pages`` pages and ``min_share`` of the host's pages."""
+    """(host, recurring): hashes of the subtrees on at least ``min_pages`` pages and ``min_share`` of the host's pages.
+
+    Pages are those of different text: of copies, one counts."""
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            rows, keys = [], []
-            for i, source in enumerate(part.column("html").to_pylist()):
-                own = Page(source or "").subtrees
-                rows.extend([i] * (len(own) + 1))
-                keys.extend([*own, None])  # null counts the page
-            yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64())], ["host", "subtree"])
-
-    found = pages.select(host().alias("host"), "html").mapInArrow(subtrees, "host string, subtree long")
-    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("subtree").isNull())
+            read = [Page(source or "") for source in part.column("html").to_pylist()]
+            lists = [sorted(p.subtrees) for p in read]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("host"), pa.array([p.key for p in read], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["host", "page", "subtrees"]
+            )
+
+    found = pages.select(host().alias("host"), "html").mapInArrow(subtrees, "host string, page long, subtrees array<long>")
+    different = found.groupBy("host", "page").agg(F.min("subtrees").alias("subtrees"))
+    each = different.select("host", F.explode(F.concat("subtrees", F.array(F.lit(None).cast("long")))).alias("subtree"))  # null counts the page
+    counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("subtree").isNull())
     counts = materialize(counts, "subtrees")
     totals = counts.where("subtree IS NULL").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
     often = counts.where("subtree IS NOT NULL").join(totals, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") >= min_share * F.col("pages"))
