@@ -182,6 +182,36 @@ def test_copies_and_edited_copies_are_found_and_nothing_else(spark):
         decontamination.load_items(bench, max_words=10)
 
 
+def test_leaks_are_those_of_plain_alignment_of_all_pairs(spark):
+    rnd = random.Random(5)
+    text = lambda n: [f"w{int(400 * rnd.random() ** 3)}" for _ in range(n)]
+    items = [text(rnd.randint(3, 40)) for _ in range(60)]
+    docs = []
+    for k in range(240):
+        copy, step = list(items[k % 60]), 2 + k % 5
+        if k < 120:  # every step-th word is another one
+            copy[step - 1 :: step] = [f"x{k}"] * len(copy[step - 1 :: step])
+        elif k < 180:  # a word behind every word, or behind all but a few
+            copy = [x for j, w in enumerate(copy) for x in ([w, f"x{k}"] if j % (4 * step) or k % 2 else [w])]
+        else:
+            copy = [w for w in copy if rnd.random() > step / 16]
+        docs.append(text(rnd.randint(0, 60)) + copy + text(rnd.randint(0, 60)))
+    number = {}
+    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in t])
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            score = decontamination.align(ids(item), ids(doc))[0]
+            if score >= len(item):
+                want[d, i] = score / (2 * len(item))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    found = decontamination.with_leaks(df, bench).collect()
+    assert {(r["doc_id"], x["item_id"]): x["similarity"] for r in found for x in r["leaks"]} == want
+    with pytest.raises(ValueError, match="too low"):
+        decontamination.with_leaks(df, bench, 0.3)
+
+
 # ------------------------------------------------------------------ pages
 
 

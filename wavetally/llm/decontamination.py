@@ -1,18 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Every item gives its word n-grams; among ``WINDOW`` consecutive ones the rarest in
-the training documents is a seed. So seeds are rare wherever the item allows it,
-yet any ``WINDOW + SEED_WORDS - 1`` words copied in a row hold one, also where an
-item is leaked so often that all its n-grams are frequent. A document's passage
-around a seed is aligned with the item; the score is the alignment's share of the
-best possible one, so replaced, dropped and added words lower it a little each.
+"""Benchmark decontamination: rare word pairs as seeds, then Smith-Waterman alignment of words.
+
+The score of an alignment is its share of the best possible one, so replaced,
+dropped and added words lower it a little each. Seeds are complete for it: take an
+alignment of m of an item's n words with score 2m - p >= 2tn, t the threshold and p
+the penalties. Of its m - 1 steps from a match to the next, those with two or more
+penalties are at most p / 2 <= m - tn. The others, at least tn - 1, have one at
+most, so they lead one or two words on in the item and in the document. So at
+least ceil(tn) - 1 of the item's n - 1 first places of pairs (words one or two
+apart) occur in the document, one or two words apart; among all but
+ceil(tn) - 2 places, whichever are chosen, one does. Chosen are the places whose
+pairs are rarest in the training documents, so seeds are as rare as the item
+allows. The alignment lies within p <= 2n(1 - t) words of the seed's diagonal;
+this passage is counted for places of pairs, and aligned if there are enough.
 
 Items are broadcast, with their words bounded by ``MAX_ITEM_WORDS`` (checked);
 documents never move.
 
 Defined results: words are runs of letters and digits (and non-ASCII bytes) with
 A-Z lower-cased; a null text has no leak; a null or short item (fewer than
-``SEED_WORDS`` words) matches nothing; equal items are reported each; per
+``MIN_WORDS`` words) matches nothing; equal items are reported each; per
 document and item the best alignment counts, of equal ones the first; rows repeat
 as in the input and all columns pass through (a column named as the result's is
 replaced).
@@ -20,6 +26,7 @@ replaced).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,39 +35,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavetally.llm.common import slices
-from wavetally.llm.words import PUNCTUATION, Words, ngrams
+from wavetally.llm.common import mix64, power_of_two, slices
+from wavetally.llm.words import PUNCTUATION, Words
 
-SEED_WORDS = 3
-WINDOW = 4
+MIN_WORDS = 3
+STEPS = (1, 2)  # how far apart the words of a pair are
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 MAX_ITEM_WORDS = 5_000_000
 LEAK = "item_id long, similarity double, doc_start long, doc_end long, item_start long, item_end long"
 
 
+def pairs(words: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of every word with the one ``step`` words on."""
+    return mix64(words[:-step] * np.uint64(0x9E3779B97F4A7C15) ^ words[step:])
+
+
+def least_places(n: int, threshold: float) -> int:
+    """How many first places of pairs of an item of ``n`` words an alignment of that score has in common with the text."""
+    return math.ceil(threshold * n - 1e-9) - 1
+
+
 class Items:
-    """Benchmark items as word hashes, and the n-grams they are made of."""
+    """Benchmark items as word hashes, and the pairs of words they are made of."""
 
     def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
-        grams = [ngrams(w, SEED_WORDS) for w in words]
-        self.of = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-        self.at = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
-        self.gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
-
-    def seeds(self, frequency: dict[int, int]) -> Items:
-        """With only the rarest n-gram of every window."""
+        of, at, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for i, w in enumerate(words):
+            for step in STEPS if len(w) >= MIN_WORDS else ():
+                gram.append(pairs(w, step))
+                at.append(np.arange(len(w) - step))
+                of.append(np.full(len(w) - step, i))
+        self.of, self.at, self.gram = np.concatenate(of), np.concatenate(at), np.concatenate(gram)
+
+    def seeds(self, grams: np.ndarray, frequency: np.ndarray, threshold: float) -> Items:
+        """With only the places of rarest pairs, as many as an alignment of that score cannot miss; ``frequency`` of sorted ``grams``."""
         out = Items.__new__(Items)
         out.ids, out.words = self.ids, self.words
-        rank = np.array([frequency.get(g, 0) for g in self.gram.tolist()], dtype=np.int64)
-        keep = np.zeros(len(rank), dtype=bool)
-        for i in range(len(self.words)):
-            own = np.flatnonzero(self.of == i) if len(self.words) < 2 else np.arange(*np.searchsorted(self.of, [i, i + 1]))
-            for k in range(max(1, len(own) - WINDOW + 1) if len(own) else 0):
-                part = own[k : k + WINDOW]
-                keep[part[rank[part].argmin()]] = True
-        out.of, out.at, out.gram = self.of[keep], self.at[keep], self.gram[keep]
+        counts = frequency[np.searchsorted(grams, self.gram)]
+        first = np.cumsum([0, *[len(w) for w in self.words]])
+        place = first[self.of] + self.at  # among all items' words
+        keep = np.zeros(first[-1], dtype=bool)
+        rank = np.zeros(first[-1], dtype=np.int64)
+        np.add.at(rank, place, counts)
+        for a, w in zip(first.tolist(), self.words):
+            n = len(w)
+            if n >= MIN_WORDS:
+                keep[a + np.argsort(rank[a : a + n - 1], kind="stable")[: n - least_places(n, threshold)]] = True
+        kept = keep[place]
+        out.of, out.at, out.gram = self.of[kept], self.at[kept], self.gram[kept]
         return out
 
     def sorted(self) -> Items:
@@ -77,12 +101,28 @@ def hits(grams: np.ndarray, wanted: np.ndarray, quick: np.ndarray) -> np.ndarray
     return at[wanted[found] == grams[at]] if len(wanted) else at[:0]
 
 
-def quick_flags(wanted: np.ndarray, bits: int = 20) -> np.ndarray:
-    flags = np.zeros(1 << bits, dtype=bool)
-    flags[wanted & np.uint64((1 << bits) - 1)] = True
+def quick_flags(wanted: np.ndarray) -> np.ndarray:
+    flags = np.zeros(power_of_two(8 * len(wanted), 1 << 20, 1 << 26), dtype=bool)
+    flags[wanted & np.uint64(len(flags) - 1)] = True
     return flags
 
 
+def found_pairs(w: Words, wanted: np.ndarray, quick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs within a text that are ``wanted``: text, place among all words and hash, in order of place; and the words' hashes."""
+    h = w.hashes(lower=True)
+    places, grams = [], []
+    for step in STEPS:
+        g = pairs(h, step)
+        at = hits(g, wanted, quick)
+        at = at[at + step < w.first[np.searchsorted(w.first, at, side="right")]]
+        places.append(at)
+        grams.append(g[at])
+    at, g = np.concatenate(places), np.concatenate(grams)
+    order = np.argsort(at, kind="stable")
+    at, g = at[order], g[order]
+    return np.searchsorted(w.first, at, side="right") - 1, at, g, h
+
+
 def _best_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Score and end (in a, in b) of the best local alignment; of equal ones the first by a's end, then b's."""
     steps = GAP * np.arange(len(b) + 1)
@@ -110,13 +150,14 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
     return score, end_a - back_a, end_a, end_b - back_b, end_b
 
 
-def _passages(of: np.ndarray, diagonal: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+def _passages(of: np.ndarray, diagonal: np.ndarray, items: Items, threshold: float) -> Iterator[tuple[int, int, int]]:
     """(item, start, end) of the stretches of a document that seeds point to, overlapping ones joined."""
     order = np.lexsort((diagonal, of))
     item, start, end = -1, 0, 0
     for i, d in zip(of[order].tolist(), diagonal[order].tolist()):
         n = len(items.words[i])
-        a, b = d - n // 2, d + n + n // 2
+        wide = int(MATCH * n * (1 - threshold)) + 1
+        a, b = d - wide, d + n + wide
         if i == item and a <= end:
             end = max(end, b)
             continue
@@ -128,17 +169,22 @@ def _passages(of: np.ndarray, diagonal: np.ndarray, items: Items) -> Iterator[tu
 
 
 def leaks_in(words: np.ndarray, found: np.ndarray, grams: np.ndarray, items: Items, threshold: float) -> list[dict]:
-    """Items leaked into one document; ``found``: places of seeds among its n-grams."""
-    lo = np.searchsorted(items.gram, grams[found], side="left")
-    n = np.searchsorted(items.gram, grams[found], side="right") - lo
+    """Items leaked into one document; ``found``: places of seeds in it, ``grams``: their hashes."""
+    lo = np.searchsorted(items.gram, grams, side="left")
+    n = np.searchsorted(items.gram, grams, side="right") - lo
     entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     best: dict[int, dict] = {}
-    for i, a, b in _passages(items.of[entry], np.repeat(found, n) - items.at[entry], items):
+    for i, a, b in _passages(items.of[entry], np.repeat(found, n) - items.at[entry], items, threshold):
         own, a = items.words[i], max(a, 0)
         passage = words[a:b]
         least = threshold * MATCH * len(own)
         if MATCH * np.isin(own, passage).sum() < least:  # no alignment can score more
             continue
+        there = np.concatenate([pairs(passage, step) for step in STEPS])
+        common = np.isin(pairs(own, 1), there)
+        common[:-1] |= np.isin(pairs(own, 2), there)
+        if common.sum() < least_places(len(own), threshold):
+            continue
         score, item_start, item_end, start, end = align(own, passage)
         if score >= least and score / (MATCH * len(own)) > best.get(i, {"similarity": -1})["similarity"]:
             best[i] = {
@@ -164,34 +210,35 @@ def load_items(benchmark: DataFrame, max_words: int = MAX_ITEM_WORDS) -> Items:
     return Items(table.column("item_id").to_pylist(), [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])])
 
 
-def gram_frequency(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """In how many documents each of the benchmark's n-grams occurs."""
+def gram_frequency(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """In how many documents each of the benchmark's pairs occurs."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, total = shared.value, np.zeros(len(shared.value), dtype=np.int64)
         quick = quick_flags(grams)
         for part in slices(batches):
-            w = Words(part.column("text"), PUNCTUATION)
-            g = ngrams(w.hashes(lower=True), SEED_WORDS)
-            at = hits(g, grams, quick)
-            text = np.searchsorted(w.first, at, side="right") - 1
-            inside = at + SEED_WORDS <= w.first[text + 1]
-            pairs = np.unique(np.stack([text[inside], np.searchsorted(grams, g[at[inside]])]), axis=1)
-            total += np.bincount(pairs[1].astype(np.int64), minlength=len(total))
+            text, _, g, _ = found_pairs(Words(part.column("text"), PUNCTUATION), grams, quick)
+            once = np.unique(text * len(grams) + np.searchsorted(grams, g))
+            total += np.bincount(once % len(grams), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["gram", "n"])
 
     if not len(wanted):
-        return {}
+        return np.zeros(0, np.int64)
     rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(wanted[np.asarray(rows.column("gram"))].tolist(), rows.column("n").to_pylist()))
+    out = np.zeros(len(wanted), dtype=np.int64)
+    out[np.asarray(rows.column("gram"))] = np.asarray(rows.column("n"))
+    return out
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with ``leaks``, an array with the best alignment of every item found in the text."""
+    if least_places(MIN_WORDS, threshold) < 1:
+        raise ValueError(f"threshold {threshold} is too low: an alignment of {MIN_WORDS} words must have a pair in common")
     items = load_items(benchmark)
-    seeds = items.seeds(gram_frequency(docs, np.unique(items.gram))).sorted()
+    grams = np.unique(items.gram)
+    seeds = items.seeds(grams, gram_frequency(docs, grams), threshold).sorted()
     shared = docs.sparkSession.sparkContext.broadcast((seeds.ids, seeds.words, seeds.of, seeds.at, seeds.gram))
     docs = docs.drop("leaks")
     schema = T.StructType([*docs.schema.fields, T.StructField("leaks", T.ArrayType(T.StructType.fromDDL(LEAK)))])
@@ -204,18 +251,13 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         quick = quick_flags(items.gram)
         for part in slices(batches):
             w = Words(part.column(at_text), PUNCTUATION)
-            h = w.hashes(lower=True)
-            g = ngrams(h, SEED_WORDS)
-            at = hits(g, items.gram, quick)
-            text = np.searchsorted(w.first, at, side="right") - 1
-            inside = at + SEED_WORDS <= w.first[text + 1]
-            at, text = at[inside], text[inside]
+            text, at, g, h = found_pairs(w, items.gram, quick)
             found: list[list] = [[] for _ in range(len(w))]
             edges = np.flatnonzero(np.append(True, np.diff(text) != 0)) if len(text) else []
             for a, b in zip(edges, [*edges[1:], len(text)]):
                 i = int(text[a])
                 lo, hi = w.first[i], w.first[i + 1]
-                found[i] = leaks_in(h[lo:hi], at[a:b] - lo, g[lo:hi], items, threshold)
+                found[i] = leaks_in(h[lo:hi], at[a:b] - lo, g[a:b], items, threshold)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], schema.names)
 
     return docs.mapInArrow(scan, schema)
