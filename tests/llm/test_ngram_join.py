@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,18 @@ def test_other_thresholds_and_frequent_ngrams_as_rows(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_hot_ngrams_are_spread_over_all_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_BUCKET", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 50)
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{rnd.randrange(999)}" for _ in range(20))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    blocks = ngram_join.posting_blocks(df, 5, 75, spark.sparkContext.broadcast(np.zeros(1 << 16, np.uint8)), 16)
+    held = {r["piece"]: r["b"] for r in blocks.groupBy("piece").agg(F.sum(F.length("grams")).alias("b")).collect()}
+    assert set(held) == set(range(16, 32))
+    assert max(held.values()) < 2 * sum(held.values()) / 16
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "a b c"), (5, "A  b\tc"), (6, "a b"), (6, "a b"), (None, "a b"), (8, "x " * 3000), (9, "x " * 2000)]
     rows += [(10, "p q r s t u v w x"), (10, "other words that are here alone")]

@@ -176,20 +176,18 @@ def cuts(buckets: np.ndarray, fragments: int) -> np.ndarray:
     return np.array([(int(b) << 56) + int(x * (1 << 56)) for b, x in zip(bucket, share)], dtype=np.uint64)
 
 
-def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int) -> DataFrame:
-    """(h, s, n, near, size): lists ``h`` of sets that share a prefix n-gram with which they may reach one another.
-
-    Of two sets that reach the threshold, the larger has a common n-gram in its prefix that lies even in the shorter
-    prefix of the smaller (``near``), for the smaller's partner cannot be smaller. Equal sizes rank by s."""
+def posting_blocks(docs: DataFrame, n: int, percent: int, buckets, pieces: int) -> DataFrame:
+    """(piece, grams, owners, sets, sizes): prefix n-grams of sets, packed by piece; hot ones lie in as many pieces more, by set."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        ids, sizes, grams, owners, number = [], [], [], [], 0
+        ids, sizes, grams, owners = [], [], [], []
 
         def flush():
             h, o = np.concatenate(grams), np.concatenate(owners)  # an owner's lowest bit says near
             hot = buckets.value[h & np.uint64(len(buckets.value) - 1)] >= HOT_BUCKET
-            place = np.where(hot, pieces + number % pieces, (h >> np.uint64(32)).astype(np.int64) % pieces)
+            spread = (mix64(np.array(ids, np.int64).view(np.uint64)) % np.uint64(pieces)).astype(np.int64)
+            place = np.where(hot, pieces + spread[o >> 1], (h >> np.uint64(32)).astype(np.int64) % pieces)
             order = np.argsort(place, kind="stable")
             edges = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
             for a, b in zip(edges, np.append(edges[1:], len(order))):
@@ -217,10 +215,19 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
                 sizes.append(len(s))
                 if len(ids) == BLOCK_SETS:
                     yield from flush()
-                    ids, sizes, grams, owners, number = [], [], [], [], number + 1
+                    ids, sizes, grams, owners = [], [], [], []
         if ids:
             yield from flush()
 
+    return docs.select("text").mapInArrow(blocks, "piece long, grams binary, owners binary, sets binary, sizes binary")
+
+
+def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int) -> DataFrame:
+    """(h, s, n, near, size): lists ``h`` of sets that share a prefix n-gram with which they may reach one another.
+
+    Of two sets that reach the threshold, the larger has a common n-gram in its prefix that lies even in the shorter
+    prefix of the smaller (``near``), for the smaller's partner cannot be smaller. Equal sizes rank by s."""
+
     def shared(table: pa.Table) -> pa.Table:
         """Of one piece, what has a partner of fitting size in its n-gram's list."""
         read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
@@ -251,8 +258,7 @@ def shared_postings(docs: DataFrame, n: int, percent: int, buckets, pieces: int)
             size = np.full(len(h), SMALL_LIST + 1)  # the rest of a hot list is elsewhere
         return pa.table([pa.array(as_long(h)), pa.array(s), pa.array(m), pa.array(near), pa.array(size)], names=["h", "s", "n", "near", "size"])
 
-    made = docs.select("text").mapInArrow(blocks, "piece long, grams binary, owners binary, sets binary, sizes binary")
-    lists = made.groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean, size long")
+    lists = posting_blocks(docs, n, percent, buckets, pieces).groupBy("piece").applyInArrow(shared, "h long, s long, n long, near boolean, size long")
     return lists.groupBy("h", "s").agg(*[F.max(c).alias(c) for c in ("n", "near", "size")])
 
 
