@@ -14,7 +14,7 @@ from wavetally.llm.common import table
 from wavetally.llm.decontamination import decontaminated
 from wavetally.llm.language_id import UNKNOWN, held_out, identify, train
 from wavetally.llm.line_dedup import drop_repeated_lines
-from wavetally.llm.ngram_join import components
+from wavetally.llm.ngram_join import one_of_each
 from wavetally.llm.packing import Capacity, cut, pack
 from wavetally.session import materialize
 
@@ -38,9 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of every group of near copies."""
-    kept = components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of every group of near copies: that of least doc_id (null last), ties by a hash of id and text."""
+    return one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

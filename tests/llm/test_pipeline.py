@@ -53,6 +53,18 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(d for d, _ in rows(after)) == sorted({c for _, _, c in plain_components(rows(before))})
 
 
+def test_null_and_repeated_ids_in_the_join_stage(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    near = text(1) + " end"
+    data = [(None, text(0)), (None, text(9)), (3, text(1)), (2, near), (None, near), (5, text(2)), (5, text(2)), (5, text(2)), (2, text(4)), (1, text(4)), (7, text(5)), (7, text(6))]
+    data += [(None, text(7)), (None, text(7)), (8, "\n"), (9, "\n"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs.repartition(3), SF)
+    want = [(None, text(0)), (None, text(9)), (2, near), (5, text(2)), (1, text(4)), (7, text(5)), (7, text(6)), (None, text(7)), (8, "\n"), (9, "\n"), (None, None)]
+    assert got.columns == COLUMNS
+    assert sorted(rows(got), key=repr) == sorted(want, key=repr)
+
+
 def test_leaks_go(stages):
     before, after = stages["decontamination"]
     items = [t for (t,) in duckdb.connect().execute(f"select text from '{SF}/benchmark.parquet'").fetchall()]

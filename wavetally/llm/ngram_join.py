@@ -96,11 +96,16 @@ def _order(s: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return (bucket << _SHIFT) | (s >> np.uint64(8))
 
 
+def row_key():
+    """Column: the same for rows of the same doc_id and text, nulls included."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
-    """A row per document (doc_id, n, s, mark), and rows with a segment that carry counts of n-grams by hash."""
+    """A row per document (doc_id, row_key, n, s, mark), and rows with a segment that carry counts of n-grams by hash."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "s", "mark", "segment", "counts"]
+        names = ["doc_id", "row_key", "n", "s", "mark", "segment", "counts"]
         marks = pa.list_(pa.int64())
         counts = np.zeros(counters, dtype=np.uint16)
         held, size, seen, kind = [], 0, set(), None
@@ -124,7 +129,7 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
             lengths = [len(s) for s in found]
             none = len(found)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(lengths, pa.int64()), pa.array([i if m else None for i, m in zip(ids, lengths)], pa.int64()), pa.array([mark_of(x) if len(x) > 2 else None for x in found], marks), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())],
+                [part.column("doc_id"), part.column("row_key"), pa.array(lengths, pa.int64()), pa.array([i if m else None for i, m in zip(ids, lengths)], pa.int64()), pa.array([mark_of(x) if len(x) > 2 else None for x in found], marks), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())],
                 names,
             )
         if held:
@@ -134,12 +139,12 @@ def sets(docs: DataFrame, n: int, counters: int) -> DataFrame:
         for k in range(0, counters, COUNTER_SEGMENT):
             raw = counts[k : k + COUNTER_SEGMENT].astype("<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, marks), pa.array([k // COUNTER_SEGMENT]), pa.array([zlib.compress(raw, 1)], pa.binary())],
+                [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, marks), pa.array([k // COUNTER_SEGMENT]), pa.array([zlib.compress(raw, 1)], pa.binary())],
                 names,
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n long, s long, mark array<long>, segment long, counts binary")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(sketch, f"doc_id {kind}, row_key long, n long, s long, mark array<long>, segment long, counts binary")
 
 
 def frequency_buckets(found: DataFrame, counters: int) -> np.ndarray:
@@ -385,15 +390,15 @@ def set_components(postings: DataFrame, parts: DataFrame, marks: DataFrame, perc
     return state.select("s", "c")
 
 
-def components(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _sets_and_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row_key, n and s of every row, and of every set s its least doc_id d and its component c."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     counters = power_of_two(chars / 16, 1 << 16, COUNTERS)
     found = materialize(sets(docs, n, counters), "sets")
     buckets = frequency_buckets(found, counters)
     shared = spark.sparkContext.broadcast(buckets)
-    rows = found.where("segment IS NULL").select("doc_id", "n", "s")
+    rows = found.where("segment IS NULL").select("doc_id", "row_key", "n", "s")
     total = rows.agg(F.sum("n")).first()[0] or 0
     pieces = max(1, -(-total * (100 - percent) // (100 * FRAGMENT_POSTINGS)))
     candidates = materialize(shared_postings(docs, n, percent, shared, pieces), "candidates")
@@ -405,11 +410,29 @@ def components(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFr
     wanted = spark.sparkContext.broadcast(of_column(members, "s", bits))
     parts = materialize(fragments(docs, n, shared, wanted, cuts(buckets, FRAGMENTS)), "fragments")
     roots = set_components(postings, parts, marks, percent)
-    # from sets to documents: a component's id is its least doc_id
     per_set = rows.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("d")).join(roots, "s", "left").select("s", "d", F.coalesce("c", "s").alias("c"))
-    per_set = materialize(per_set, "sets")
+    return rows, materialize(per_set, "sets")
+
+
+def components(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, per_set = _sets_and_components(docs, n, percent)
+    # from sets to documents: a component's id is its least doc_id
     least = per_set.groupBy("c").agg(F.min("d").alias("component_id"))
     named = per_set.join(least, "c").select("s", "component_id")
     return rows.join(named, "s", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, n: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row of every component: that of least doc_id (null last), of equal ones the one of least ``row_key``.
+
+    Rows of the same doc_id and text are one document; of them the least row stays. Texts without words are components
+    of their own."""
+    rows, per_set = _sets_and_components(docs, n, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("m")
+    chosen = rows.join(per_set.select("s", "c"), "s").groupBy("c").agg(first).select("m.row_key")
+    chosen = chosen.union(rows.where("s IS NULL").select("row_key")).distinct()
+    one = docs.groupBy(row_key().alias("_row_key")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return one.join(chosen.toDF("_row_key"), "_row_key", "left_semi").select("_row.*")
