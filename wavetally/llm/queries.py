@@ -7,6 +7,7 @@ from wavetally.llm import (  # noqa: F401
     line_dedup_query,
     ngram_join_query,
     packing_query,
+    periodic_runs_query,
     quality_classifier_query,
     quality_rules_query,
     token_counts_query,
