@@ -6,6 +6,7 @@ from wavetally.llm import (  # noqa: F401
     language_id_query,
     line_dedup_query,
     ngram_join_query,
+    nnls_packing_query,
     packing_query,
     periodic_runs_query,
     quality_classifier_query,
