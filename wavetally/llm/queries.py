@@ -13,6 +13,7 @@ from wavetally.llm import (  # noqa: F401
     quality_rules_query,
     token_counts_query,
     token_files_query,
+    whitening_query,
 )
 from wavetally.llm.registry import ORACLES, QUERIES
 
