@@ -50,6 +50,9 @@ NEAR = 0.9
 
 ID_BYTES = 4
 
+# Words whose ids a task keeps (some 200 bytes each): more than a split of text commonly holds.
+CACHED_WORDS = 600_000
+
 
 def combinations(window: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """All multisets of up to three lengths that fill a power of two up to ``window``: the lengths, ascending behind zeros,
@@ -226,12 +229,12 @@ def cuts(plan: Plan, start: int, end: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, cached: int = CACHED_WORDS) -> DataFrame:
     """Full pieces and tails: row, doc_id, start, length, ids_crc32, doc_tokens; of tails also the number among those of
     this length in this task, and the ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path, cached)
         end = np.array([end_id], dtype="<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
         for part in slices(batches):
