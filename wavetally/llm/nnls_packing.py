@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from wavetally.llm.common import mix64, slices
 from wavetally.llm.tokens import WordEncoder
+from wavetally.operators.ordered import broadcast_if_small
 from wavetally.session import materialize
 
 DEPTH = 3
@@ -338,6 +339,7 @@ def pack_by_histogram(docs: DataFrame, tokenizer_path: str, size: int = 2048, en
     numbered = pieces.drop("ids").join(shift, ["task", "length"]).withColumn("number", F.col("number") + F.col("shift"))
     out = materialize(placed(numbered, plan), "placed-pieces")
     ids = pieces.where("ids IS NOT NULL").select("row", "ids")
-    parts = _crc_of_part(out.where("skip >= 0").join(ids, "row"))
+    # few documents are cut anew; counted, they go to where the ids lie
+    parts = _crc_of_part(ids.join(broadcast_if_small(out.where("skip >= 0")), "row"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return out.where("skip < 0").select(*columns).unionByName(parts.select(*columns))
