@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavetally.operators import q15_notch
 from wavetally.operators import blocks, filters, generators, q15, spatial, spectral, tolerance, training, windows
 from wavetally.plans import chain
 from wavetally.sources import recording
@@ -146,10 +147,21 @@ def test_bands_are_validated():
 # ----------------------------------------------------------------- fixed point
 
 
-def naive_notch_q15(x):
+def notch_q15_coefficients():
     b, a = filters.notch_coefficients(60, 30, 160, "compat")
-    c = [q15.as_q14(v) for v in (*b, *a)]
-    return q15._notch_steps(x, np.zeros((4, x.shape[1]), dtype=np.int64), c)[0]
+    return [q15.as_q14(v) for v in (*b, *a)]
+
+
+def naive_notch_q15(x, state=None):
+    """One step at a time; x1, x2, y1, y2 before the first."""
+    b0, b1, b2, a1, a2 = notch_q15_coefficients()
+    x1, x2, y1, y2 = np.zeros((4, x.shape[1]), dtype=np.int64) if state is None else state
+    out = np.empty_like(x)
+    for n in range(len(x)):
+        acc = b0 * x[n] + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
+        x2, x1, y2, y1 = x1, x[n], y1, np.clip((acc + 8192) >> 14, -32768, 32767)
+        out[n] = y1
+    return (out, np.stack([x1, x2, y1, y2])) if state is not None else out
 
 
 @pytest.mark.parametrize("warm", [0, 40, 1024])
@@ -161,6 +173,53 @@ def test_integer_notch_never_depends_on_the_guess(spark, warm):
     assert (got == naive_notch_q15(x)).all()
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_integer_recursion_in_blocks_and_through_constant_input(seed):
+    c, rng = notch_q15_coefficients(), np.random.default_rng(seed)
+    n, k = int(rng.integers(1, 9000)), int(rng.integers(1, 5))
+    x = rng.integers(-32768, 32768, (n, k))
+    if seed % 2:
+        x[n // 8 :] = rng.integers(-3, 4) * 1000
+    state, other = rng.integers(-32768, 32768, (2, 4, k))
+    y, end = naive_notch_q15(x, state)
+    tried = [q15_notch.steps(x, state, c), q15_notch.side_by_side(x, state, c), q15_notch.side_by_side(x, state, c, 300, 100)]
+    tried.append(q15_notch.mended(x, state, *naive_notch_q15(x, other), c))
+    for got_y, got_end in tried:
+        assert (got_y == y).all() and (got_end == end).all()
+    for gap in (1, 5, 2047, 2049, 30011):
+        assert (q15_notch.silence(state, gap, c) == naive_notch_q15(np.zeros((gap, k), dtype=np.int64), state)[1]).all()
+    q15_notch.silence(state, 10**15, c)  # does not take longer
+
+
+def test_integer_notch_rings_on_through_silent_slices(spark):
+    """An impulse ends in a limit cycle; 64 silent slices behind it are mended in a few passes, whatever the slices guessed."""
+    x = np.zeros((64 * 128, 3), dtype=np.int64)
+    x[5] = [30000, -20000, 777]
+    want = naive_notch_q15(x)
+    assert (want[-1000:] != 0).any()
+    sig = make(spark, x)
+    out, passes = q15_notch.run_notch(sig, notch_q15_coefficients(), 128, 64)
+    assert (back(out) == want).all() and passes <= 4
+
+
+def test_integer_notch_runs_on_through_gaps(spark):
+    """Missing samples and whole missing slices are silence without output rows."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-30000, 30000, (3000, 2))
+    gone = np.zeros(3000, dtype=bool)
+    gone[[7, 99, 100]] = gone[250:420] = gone[900:1900] = True
+    x[gone] = 0
+    rows = [("a", int(t), [float(v) for v in x[t]]) for t in np.flatnonzero(~gone)] + [("b", 5000, [1e4]), ("b", 5001, None)]
+    sig = spark.createDataFrame(rows, "recording_id string, t long, x array<double>").withColumn("slice", F.lit("clash"))
+    out = q15.notch_iir_q15(sig, length=100, warm=50)
+    got = {r["t"]: r["x"] for r in out.where("recording_id = 'a'").collect()}
+    want = naive_notch_q15(x)
+    assert sorted(got) == np.flatnonzero(~gone).tolist()
+    assert all(got[t] == want[t].tolist() for t in got)
+    assert [(r["t"], r["x"]) for r in out.where("recording_id = 'b'").collect()] == [(5000, naive_notch_q15(np.array([[10000]]))[0].tolist())]
+    assert q15.notch_iir_q15(sig.limit(0)).count() == 0
+
+
 def test_q15_rounding(spark):
     vals = [0.5 / 32768, -0.5 / 32768, 1.0, -1.0, 2.0, -2.0, float("nan"), 0.49 / 32768]
     got = q15.quantize_signal(make(spark, [vals])).first()["x"]

@@ -5,22 +5,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.functions.fixedpoint import Q15_HALF, Q15_MAX, Q15_MIN, Q15_SCALE, q15_sat_sub, quantize_q15
-from wavetally.operators.blocks import SLICE, Stage, WindowStage, apply_stages, apply_windows, dense, sliced, to_lists
+from wavetally.operators.blocks import SLICE, Stage, WindowStage, apply_stages, apply_windows
 from wavetally.operators.filters import causal_fir, fir_taps, notch_coefficients
+from wavetally.operators.q15_notch import Q14_BITS, Q14_HALF, WARM, run_notch
 from wavetally.operators.spatial import model_matrix
 from wavetally.operators.spectral import BANDS, band_bins
 from wavetally.operators.windows import check_window
-from wavetally.session import materialize
 
 # Coefficients of recursions are Q14 so that values up to 2 fit; fixed values.
 Q14_SCALE = 16384
-Q14_BITS = 14
-Q14_HALF = 8192
 
 
 def quantize_signal(signal: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -129,97 +126,10 @@ def goertzel_q15(signal: DataFrame, W: int = 160, H: int = 80, fs: float = 160.0
 # ---------------------------------------------------------------------- notch
 
 
-def _notch_steps(x: np.ndarray, state: np.ndarray, c: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Integer recursion over (samples, channels); state is x1, x2, y1, y2."""
-    b0, b1, b2, a1, a2 = c
-    x1, x2, y1, y2 = state
-    out = np.empty_like(x)
-    for n in range(len(x)):
-        acc = b0 * x[n] + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
-        y = np.clip((acc + Q14_HALF) >> Q14_BITS, Q15_MIN, Q15_MAX)
-        x2, x1, y2, y1 = x1, x[n], y1, y
-        out[n] = y
-    return out, np.stack([x1, x2, y1, y2])
-
-
-_STATE_DDL = "recording_id string, slice long, s_in array<long>, s_out array<long>"
-
-
 def notch_iir_q15(
-    signal: DataFrame, f0: float = 60.0, q: float = 30.0, fs: float = 160.0, length: int = SLICE, warm: int = 1024
+    signal: DataFrame, f0: float = 60.0, q: float = 30.0, fs: float = 160.0, length: int = SLICE, warm: int = WARM
 ) -> DataFrame:
-    """Integer notch filter, bit-exact over recordings of any length.
-
-    Rounding and saturation make the recursion non-linear. Every slice first
-    starts from a state warmed up on the samples before it; slices whose start
-    differs from the true end of the slice before are run again from that end
-    until none differs. The guess is nearly always right, so slices run side by
-    side, and the result never depends on it.
-    """
+    """Integer notch filter, bit-exact over recordings of any length (see ``q15_notch``)."""
     b, a = notch_coefficients(f0, q, fs, "compat")
     coeffs = [as_q14(v) for v in (*b, *a)]
-    parts = sliced(_doubles(signal.select("recording_id", "t", "x")), length, before=warm)
-    keys = ["recording_id", "slice"]
-
-    def split(key, rows: pa.Table):
-        first, x, _ = dense(rows)
-        x = np.nan_to_num(x, nan=0.0).astype(np.int64)
-        lead = max(0, key[1].as_py() * length - first)
-        return x[:lead], x[lead:]
-
-    def state_row(key, s_in, s_out) -> pa.Table:
-        ints = pa.list_(pa.int64())
-        return pa.table(
-            {
-                "recording_id": [key[0].as_py()],
-                "slice": [key[1].as_py()],
-                "s_in": pa.array([s_in.ravel().tolist()], ints),
-                "s_out": pa.array([s_out.ravel().tolist()], ints),
-            }
-        )
-
-    def guess(key: tuple, rows: pa.Table) -> pa.Table:
-        lead, own = split(key, rows)
-        zero = np.zeros((4, lead.shape[1]), dtype=np.int64)
-        _, s_in = _notch_steps(lead, zero, coeffs)
-        _, s_out = _notch_steps(own, s_in, coeffs)
-        return state_row(key, s_in, s_out)
-
-    def rerun(key: tuple, rows: pa.Table, given: pa.Table) -> pa.Table:
-        if rows.num_rows == 0 or given.num_rows == 0:
-            return pa.table({"recording_id": pa.array([], pa.string()), "slice": pa.array([], pa.int64()),
-                             "s_in": pa.array([], pa.list_(pa.int64())), "s_out": pa.array([], pa.list_(pa.int64()))})
-        _, own = split(key, rows)
-        s_in = np.array(given.column("s")[0].as_py(), dtype=np.int64).reshape(4, -1)
-        _, s_out = _notch_steps(own, s_in, coeffs)
-        return state_row(key, s_in, s_out)
-
-    states = materialize(parts.groupBy(*keys).applyInArrow(guess, _STATE_DDL), "q15-notch-states")
-    while True:
-        ends = states.select("recording_id", (F.col("slice") + 1).alias("slice"), F.col("s_out").alias("s"))
-        wrong = states.join(ends, keys).where(F.col("s") != F.col("s_in")).select(*keys, "s")
-        if wrong.isEmpty():
-            break
-        again = parts.join(wrong.select(*keys), keys, "left_semi").groupBy(*keys)
-        fixed = again.cogroup(wrong.groupBy(*keys)).applyInArrow(rerun, _STATE_DDL)
-        states = materialize(states.join(wrong, keys, "left_anti").unionByName(fixed), "q15-notch-states")
-
-    def run(key: tuple, rows: pa.Table, given: pa.Table) -> pa.Table:
-        empty = rows.num_rows == 0 or given.num_rows == 0
-        lead, own = (np.zeros((0, 1)), np.zeros((0, 1))) if empty else split(key, rows)
-        if len(own) == 0:
-            return pa.table({"recording_id": pa.array([], pa.string()), "t": pa.array([], pa.int64()),
-                             "x": pa.array([], pa.list_(pa.float64()))})
-        s_in = np.array(given.column("s_in")[0].as_py(), dtype=np.int64).reshape(4, -1)
-        y, _ = _notch_steps(own, s_in, coeffs)
-        t = key[1].as_py() * length + np.arange(len(own))
-        return pa.table(
-            {
-                "recording_id": pa.array([key[0].as_py()] * len(t), pa.string()),
-                "t": pa.array(t, pa.int64()),
-                "x": to_lists(y.astype(float)),
-            }
-        )
-
-    out = parts.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInArrow(run, "recording_id string, t long, x array<double>")
-    return _smallint(out)
+    return run_notch(_doubles(signal.select("recording_id", "t", "x")), coeffs, length, warm)[0]
