@@ -6,6 +6,10 @@ only; the driver decomposes these channel x channel matrices.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -63,59 +67,108 @@ def _vector(means: DataFrame) -> np.ndarray:
     return np.array([r["mean"] for r in sorted(means.collect(), key=lambda r: r["ch"])])
 
 
+# Matrices leave a task in blocks of rows of about this size.
+BLOCK_BYTES = 1 << 18
+# Partial sums of so many groups of tasks are added up first.
+FAN = 32
+
+SUMS_DDL = "label int, block int, task int, n long, width int, data binary"
+_SUMS = ["label", "block", "task", "n", "width", "data"]
+
+
+def _sum_rows(sums: dict[tuple[int, int], tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for (label, block), (task, n, width, values) in sums.items():
+        cells = [[label], [block], [task], [n], [width], [np.ascontiguousarray(values).tobytes()]]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], _SUMS)
+
+
+def summed(parts: DataFrame, tasks: int = FAN + 1) -> DataFrame:
+    """Sums of the blocks that tasks return, per label and block.
+
+    Beyond ``FAN`` tasks a tree of two levels: tasks by groups, then the groups. Blocks are added as they stream by, in the
+    order of tasks, so a reducer holds one block at a time and the result does not change from run to run."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                label, block, task, n, width = (batch.column(j)[i].as_py() for j in range(5))
+                values = np.frombuffer(batch.column(5)[i].as_buffer())
+                if (label, block) == key:
+                    if held[2] != width:
+                        raise ValueError("training needs recordings of one channel count")
+                    held = (held[0], held[1] + n, width, held[3] + values)
+                    continue
+                if held is not None:
+                    yield from _sum_rows({key: held})
+                key, held = (label, block), (task, n, width, values)
+        if held is not None:
+            yield from _sum_rows({key: held})
+
+    found = parts.withColumn("task", F.spark_partition_id())
+    if tasks > FAN:
+        group = F.col("task") % FAN
+        found = found.repartition("label", "block", group).sortWithinPartitions("label", "block", group, "task").mapInArrow(add, SUMS_DDL)
+    return found.repartition("label", "block").sortWithinPartitions("label", "block", "task").mapInArrow(add, SUMS_DDL)
+
+
+def _row_blocks(size: int) -> list[tuple[int, int]]:
+    rows = max(1, BLOCK_BYTES // (8 * size))
+    return [(at, min(size, at + rows)) for at in range(0, size, rows)]
+
+
 def gram(signal: DataFrame, centre: np.ndarray | None = None, label: str | None = None) -> DataFrame:
-    """Sums of x_i x_j (i <= j) per label over all samples, NaN as 0 after
-    centring, with the number of samples. One small table per task is shuffled."""
+    """Sums of x_i x_j per label over all samples, NaN as 0 after centring, with the number of samples.
+
+    A task returns the upper triangle in blocks of rows, at most 8 C^2 bytes and one block; see ``summed``."""
 
     def partial(batches):
-        sums: dict[tuple[int, int], list] = {}
+        sums: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for rows, x in by_width(batch):
                 x = zero_nan(x if centre is None else x - centre)
                 marks = rows.column("label").to_numpy(zero_copy_only=False)
-                for m in np.unique(marks):
+                for m in np.unique(marks).tolist():
                     part = x[marks == m]
-                    acc = sums.setdefault((int(m), x.shape[1]), [0, 0.0])
-                    acc[0] += len(part)
-                    acc[1] = acc[1] + part.T @ part
-        for (m, width), (n, g) in sums.items():
-            i, j = np.triu_indices(len(g))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(i), m, dtype=np.int32)),
-                    pa.array(i.astype(np.int32)),
-                    pa.array(j.astype(np.int32)),
-                    pa.array(np.full(len(i), n, dtype=np.int64)),
-                    pa.array(g[i, j]),
-                    pa.array(np.full(len(i), width, dtype=np.int32)),
-                ],
-                ["label", "i", "j", "n", "s", "width"],
-            )
+                    n, g = sums.get(m, (0, 0.0))
+                    if n and len(g) != x.shape[1]:
+                        raise ValueError("training needs recordings of one channel count")
+                    sums[m] = (n + len(part), g + part.T @ part)
+        for m, (n, g) in sums.items():
+            for b, (lo, hi) in enumerate(_row_blocks(len(g))):
+                yield from _sum_rows({(m, b): (0, n, len(g), g[lo:hi, lo:])})
 
     mark = F.lit(0) if label is None else F.col(label)
-    parts = signal.select("x", mark.cast("int").alias("label")).mapInArrow(
-        partial, "label int, i int, j int, n long, s double, width int"
-    )
-    return parts.groupBy("label", "i", "j").agg(F.sum("n").alias("n"), one_width(F.sum("s")).alias("s"))
+    return summed(signal.select("x", mark.cast("int").alias("label")).mapInArrow(partial, SUMS_DDL))
 
 
 def covariance(signal: DataFrame, centred: bool = True, label: str | None = None) -> DataFrame:
     """Rows (label, i, j, cov), i <= j: centred or raw second moments / n."""
     centre = _vector(channel_means(signal)) if centred else None
-    return gram(signal, centre, label).select("label", "i", "j", (F.col("s") / F.col("n")).alias("cov"))
-
-
-def _matrices(cov: DataFrame) -> dict[int, np.ndarray]:
-    """Symmetric matrices per label; channel x channel values, moved as Arrow columns."""
-    table = cov.toArrow()
-    label, i, j, v = (table.column(c).to_numpy() for c in ("label", "i", "j", "cov"))
-    size = int(i.max()) + 1
-    out = {}
-    for m in np.unique(label).tolist():
-        at = label == m
-        full = np.zeros((size, size))
-        full[i[at], j[at]] = full[j[at], i[at]] = v[at]
-        out[m] = full
+
+    def rows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                label, block, _, n, width = (batch.column(j)[k].as_py() for j in range(5))
+                lo, hi = _row_blocks(width)[block]
+                values = np.frombuffer(batch.column(5)[k].as_buffer()).reshape(hi - lo, width - lo)
+                i, j = np.triu_indices(hi - lo, m=width - lo)
+                cells = [np.full(len(i), label, np.int32), (i + lo).astype(np.int32), (j + lo).astype(np.int32), values[i, j] / n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["label", "i", "j", "cov"])
+
+    return gram(signal, centre, label).mapInArrow(rows, "label int, i int, j int, cov double")
+
+
+def _matrices(sums: DataFrame) -> dict[int, np.ndarray]:
+    """Symmetric matrices of second moments per label; channel x channel values reach the driver, as blocks."""
+    out: dict[int, np.ndarray] = {}
+    for r in sums.select("label", "block", "n", "width", "data").toArrow().to_pylist():
+        full = out.setdefault(r["label"], np.zeros((r["width"], r["width"])))
+        lo, hi = _row_blocks(r["width"])[r["block"]]
+        values = np.triu(np.frombuffer(r["data"]).reshape(hi - lo, -1)) / r["n"]
+        full[lo:hi, lo:] = values
+        full[lo:, lo:hi] = np.where(values.T != 0, values.T, full[lo:, lo:hi])
     return out
 
 
@@ -128,14 +181,10 @@ def whitening_matrix(cov: np.ndarray) -> np.ndarray:
 def whiten(signal: DataFrame) -> DataFrame:
     """Centred samples times the whitening matrix of the signal."""
     mean = _vector(channel_means(signal))
-    k = whitening_matrix(_matrices(covariance_around(signal, mean))[0])
+    k = whitening_matrix(_matrices(gram(signal, mean))[0])
     return apply_stages(signal, [Stage("whiten", 0, lambda x: zero_nan(x - mean) @ k)])
 
 
-def covariance_around(signal: DataFrame, mean: np.ndarray) -> DataFrame:
-    return gram(signal, mean).select("label", "i", "j", (F.col("s") / F.col("n")).alias("cov"))
-
-
 def _signed(filters: np.ndarray) -> np.ndarray:
     """Eigenvectors have no sign: make the largest weight of each positive."""
     top = np.abs(filters).argmax(axis=1)
@@ -172,7 +221,7 @@ def csp_calibrate(signal: DataFrame, labels: DataFrame, W: int, n_components: in
     whole = signal.groupBy("recording_id", F.floor(F.col("t") / W).alias("window_index")).agg(F.count("*").alias("n")).where(F.col("n") == W)
     wanted = broadcast_if_small(whole.drop("n").join(labels.select("window_index", "label"), "window_index"))
     marked = signal.withColumn("window_index", F.floor(F.col("t") / W)).join(wanted, ["recording_id", "window_index"])
-    found = _matrices(covariance(marked, centred=False, label="label"))
+    found = _matrices(gram(marked, label="label"))
     filters = csp_filters(found[classes[0]], found[classes[1]], n_components)
     rows = [(i, [float(v) for v in f]) for i, f in enumerate(filters)]
     return signal.sparkSession.createDataFrame(rows, "component int, x array<double>")
@@ -180,59 +229,126 @@ def csp_calibrate(signal: DataFrame, labels: DataFrame, W: int, n_components: in
 
 def decorrelated(w: np.ndarray) -> np.ndarray:
     """(W W^T)^-1/2 W."""
-    d, v = np.linalg.eigh(w @ w.T)
-    return (v / np.sqrt(np.maximum(d, EIGEN_FLOOR))) @ v.T @ w
+    u, _, v = np.linalg.svd(w)
+    return u @ v
 
 
-def _contrast_sums(signal: DataFrame, mean: np.ndarray, k: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """One pass: samples, sum of g(w.z) z and sum of g'(w.z) for every w."""
+@dataclass(frozen=True)
+class Contrast:
+    """What one pass over whitened samples z says about an unmixing W: means of tanh(y_i) y_j, of 1 - tanh(y_i)^2 and of
+    log cosh(y_i), for y = W z."""
 
-    def partial(batches):
-        n, eg, edg = 0, None, None
-        for batch in batches:
-            for _, x in by_width(batch):
-                z = zero_nan(x - mean) @ k
-                g = np.tanh(z @ w.T)
-                a, b = g.T @ z, (1.0 - g * g).sum(axis=0)
-                n += len(z)
-                eg, edg = (a, b) if eg is None else (eg + a, edg + b)
-        if eg is not None:
-            c = len(edg)
-            row = np.repeat(np.arange(c, dtype=np.int32), c + 1)
-            col = np.tile(np.arange(c + 1, dtype=np.int32), c)
-            vals = np.concatenate([eg, edg[:, None]], axis=1).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(col), pa.array(np.full(len(row), n, dtype=np.int64)), pa.array(vals)],
-                ["i", "j", "n", "s"],
-            )
+    cross: np.ndarray
+    slope: np.ndarray
+    value: np.ndarray
+
+    @property
+    def excess(self) -> np.ndarray:
+        """Above 0 where a component is flatter than a normal variable, below where it is more peaked."""
+        return np.diag(self.cross) - self.slope
+
+    def gradient(self, sign: np.ndarray) -> np.ndarray:
+        """Of the signed sum of values, along rotations."""
+        g = sign[:, None] * self.cross
+        return (g - g.T) / 2
+
+    def distance(self) -> float:
+        """How far the fixed-point rule would turn a component, as 1 - |cosine|: its sign does not matter."""
+        turned = decorrelated(self.cross - np.diag(self.slope))
+        return float(np.abs(np.abs(np.diag(turned)) - 1).max())
 
-    parts = signal.select("x").mapInArrow(partial, "i int, j int, n long, s double")
-    table = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
-    c = len(mean)
-    sums = np.zeros((c, c + 1))
-    sums[table.column("i").to_numpy(), table.column("j").to_numpy()] = table.column("s").to_numpy()
-    return int(table.column("n")[0].as_py()), sums[:, :c], sums[:, c]
 
+def _contrast(signal: DataFrame, tasks: int, mean: np.ndarray, k: np.ndarray, w: np.ndarray) -> Contrast:
+    """All sums of an iteration in one pass."""
+    unmix = (w @ k.T).T  # z = (x - mean) k, y = z w^T
 
-def fastica(signal: DataFrame, max_iter: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symmetric FastICA (tanh) from a fixed start: unmixing matrix, channel
-    means and iterations. Every iteration is one pass over the samples."""
+    def partial(batches):
+        n, total = 0, 0.0
+        for batch in batches:
+            for _, x in by_width(batch):
+                y = zero_nan(x - mean) @ unmix
+                g = np.tanh(y)
+                size = np.abs(y)
+                log_cosh = size + np.log1p(np.exp(-2 * size)) - np.log(2.0)
+                n += len(y)
+                total = total + np.concatenate([g.T @ y, (1.0 - g * g).sum(axis=0)[:, None], log_cosh.sum(axis=0)[:, None]], axis=1)
+        if n:
+            for b, (lo, hi) in enumerate(_row_blocks(len(mean))):
+                yield from _sum_rows({(0, b): (0, n, len(mean), total[lo:hi])})
+
+    found = summed(signal.select("x").mapInArrow(partial, SUMS_DDL), tasks).select("block", "n", "data").toArrow().to_pylist()
+    found.sort(key=lambda r: r["block"])
+    sums = np.concatenate([np.frombuffer(r["data"]).reshape(-1, len(mean) + 2) for r in found]) / found[0]["n"]
+    return Contrast(sums[:, :-2], sums[:, -2], sums[:, -1])
+
+
+def _rotation(a: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix near I + A for a skew A (Cayley)."""
+    one = np.eye(len(a))
+    return np.linalg.solve(one - a / 2, one + a / 2)
+
+
+# Memory of the quasi-Newton step, least curvature of a pair of components, longest turn, least share of the foreseen gain.
+MEMORY = 10
+LEAST_CURVATURE = 1e-2
+LONGEST_TURN = 0.5
+ARMIJO = 1e-4
+
+
+def _ascent(gradient: np.ndarray, curvature: np.ndarray, past: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """The two-loop recursion of limited-memory BFGS with the curvature of each pair of components to start from."""
+    q, used = gradient.copy(), []
+    for turn, change, r in reversed(past):
+        used.append(r * (turn * q).sum())
+        q -= used[-1] * change
+    q /= curvature
+    for (turn, change, r), a in zip(past, reversed(used)):
+        q += turn * (a - r * (change * q).sum())
+    return q
+
+
+def fastica(signal: DataFrame, max_iter: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Symmetric ICA (tanh) from a fixed start: unmixing matrix, channel means, passes over the samples, and how far the
+    fixed-point rule would still turn a component (1 - |cosine|).
+
+    The fixed points of the symmetric rule ``W <- decorrelated(E[g(y) z] - E[g'(y)] W)`` are the rotations at which the sum
+    of ``s_i E[log cosh y_i]`` is stationary, where ``s_i`` says whether component ``i`` is flatter or more peaked than a
+    normal variable. The plain rule goes round in circles where components are close to normal; here that sum is made larger from
+    pass to pass by quasi-Newton turns with a line search, until the rule itself would turn no component by more than ``tol``."""
     rows = signal.select("x").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         mean = _vector(channel_means(rows))
-        k = whitening_matrix(_matrices(covariance_around(rows, mean))[0])
+        tasks = rows.rdd.getNumPartitions()
+        k = whitening_matrix(_matrices(gram(rows, mean))[0])
         c = len(mean)
         i, j = np.meshgrid(np.arange(c), np.arange(c), indexing="ij")
         w = decorrelated(np.eye(c) + 0.01 * np.sin(37 * i + 17 * j))
-        used = 0
-        for used in range(1, max_iter + 1):
-            n, eg, edg = _contrast_sums(rows, mean, k, w)
-            new = decorrelated(eg / n - (edg / n)[:, None] * w)
-            change = np.abs(new - w).max()
-            w = new
-            if change < tol:
-                break
-        return w @ k, mean, used
+        now, passes, past, sign = _contrast(rows, tasks, mean, k, w), 1, [], None
+        while now.distance() > tol and passes < max_iter:
+            old, sign = sign, np.where(now.excess >= 0, 1.0, -1.0)
+            if old is not None and (old != sign).any():
+                past = []  # another sum is made larger now
+            gradient = now.gradient(sign)
+            size = np.abs(now.excess)
+            curvature = np.maximum((size[:, None] + size[None, :]) / 2, LEAST_CURVATURE)
+            turn = _ascent(gradient, curvature, past)
+            gain = (turn * gradient).sum()
+            if gain <= 0:
+                past, turn = [], gradient / curvature
+                gain = (turn * gradient).sum()
+            step = min(1.0, LONGEST_TURN / max(np.abs(turn).max(), 1e-300))
+            while True:
+                tried = _rotation(step * turn) @ w
+                found = _contrast(rows, tasks, mean, k, tried)
+                passes += 1
+                if (sign * (found.value - now.value)).sum() >= ARMIJO * step * gain or step < 1e-3 or passes >= max_iter:
+                    break
+                step /= 4
+            moved, change = step * turn, gradient - found.gradient(sign)
+            if (moved * change).sum() > 0:
+                past = [*past, (moved, change, 1 / (moved * change).sum())][-MEMORY:]
+            w, now = tried, found
+        return w @ k, mean, passes, now.distance()
     finally:
         rows.unpersist()
 
@@ -245,5 +361,7 @@ def ica_model(spark: SparkSession, unmixing: np.ndarray, mean: np.ndarray) -> Da
 
 def fastica_calibrate(signal: DataFrame, max_iter: int = 200, tol: float = 1e-4) -> DataFrame:
     """Trained model: row, weights, mean."""
-    unmixing, mean, _ = fastica(signal, max_iter, tol)
+    unmixing, mean, passes, distance = fastica(signal, max_iter, tol)
+    if distance > tol:
+        warnings.warn(f"ICA stopped after {passes} passes at {distance:.1e}, above the tolerance {tol:.1e}", stacklevel=2)
     return ica_model(signal.sparkSession, unmixing, mean)

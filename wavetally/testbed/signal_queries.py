@@ -389,9 +389,37 @@ def _(spark, d):
     return rounded(training.covariance(marked, centred=False, label="label"), 8)
 
 
-@query("whiten")
+def product_sql(name: str, a: str, b: str, scale: str = "1.0") -> str:
+    """A table (i, j, v) with the product of two matrices kept as such tables."""
+    return f"""{name} AS MATERIALIZED (SELECT a.i, b.j, {scale} * sum(a.v * b.v) AS v FROM {a} a JOIN {b} b ON a.j = b.i GROUP BY a.i, b.j)"""
+
+
+def inverse_root_sql(name: str, source: str, steps: int = 22) -> str:
+    """The inverse square root of a symmetric matrix by coupled Newton-Schulz steps."""
+    p, out = f"{name}_", [f"{name}_s AS MATERIALIZED (SELECT sqrt(sum(v * v)) AS s FROM {source})"]
+    out.append(f"{p}y0 AS MATERIALIZED (SELECT i, j, v / s AS v FROM {source}, {name}_s)")
+    out.append(f"{p}z0 AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM {source})")
+    for k in range(steps):
+        out.append(product_sql(f"{p}p{k}", f"{p}z{k}", f"{p}y{k}"))
+        out.append(f"{p}t{k} AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END - v / 2 AS v FROM {p}p{k})")
+        out.append(product_sql(f"{p}y{k + 1}", f"{p}y{k}", f"{p}t{k}"))
+        out.append(product_sql(f"{p}z{k + 1}", f"{p}t{k}", f"{p}z{k}"))
+    out.append(f"{name} AS MATERIALIZED (SELECT i, j, v / sqrt(s) AS v FROM {p}z{steps}, {name}_s)")
+    return ",\n    ".join(out)
+
+
+WHITEN_SQL = f"""c AS MATERIALIZED (SELECT t, ch, v - avg(v) OVER (PARTITION BY ch) AS v FROM sig),
+    cov AS MATERIALIZED (SELECT a.ch AS i, b.ch AS j, avg(a.v * b.v) AS v FROM c a JOIN c b ON a.t = b.t GROUP BY a.ch, b.ch),
+    {inverse_root_sql('k', 'cov')}"""
+
+
+@query(
+    "whiten",
+    f"""WITH {F3}, {WHITEN_SQL}
+    SELECT t, CAST(k.j AS INTEGER) AS ch, {r('sum(c.v * k.v)', 'v')} FROM c JOIN k ON c.ch = k.i GROUP BY t, k.j""",
+)
 def _(spark, d):
-    return rounded(training.whiten(sig(spark, d)))
+    return flat(training.whiten(sig(spark, d)))
 
 
 IDENTITY = """SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cov
@@ -409,9 +437,44 @@ def block_labels(spark, d, span=50):
     )
 
 
-@query("csp_calibrate")
+def extreme_sql(name: str, source: str, squarings: int = 16) -> str:
+    """The eigenvector of the largest eigenvalue of a positive matrix: a column of the matrix squared again and again."""
+    out, last = [], source
+    for k in range(squarings):
+        out.append(product_sql(f"{name}_r{k}", last, last))
+        out.append(f"{name}_q{k} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {name}_r{k}) AS v FROM {name}_r{k})")
+        last = f"{name}_q{k}"
+    top = f"(SELECT j FROM {last} WHERE i = j ORDER BY v DESC, j LIMIT 1)"
+    out.append(f"{name}_u AS MATERIALIZED (SELECT i, v FROM {last} WHERE j = {top})")
+    out.append(f"{name} AS MATERIALIZED (SELECT i, v / sqrt((SELECT sum(v * v) FROM {name}_u)) AS v FROM {name}_u)")
+    return ",\n    ".join(out)
+
+
+def without_sql(name: str, source: str, vector: str) -> str:
+    """A matrix without one eigenvector."""
+    value = f"(SELECT sum(a.v * m.v * b.v) FROM {source} m JOIN {vector} a ON a.i = m.i JOIN {vector} b ON b.i = m.j)"
+    return f"""{name} AS MATERIALIZED (SELECT m.i, m.j, m.v - {value} * a.v * b.v AS v FROM {source} m JOIN {vector} a ON a.i = m.i
+      JOIN {vector} b ON b.i = m.j)"""
+
+
+CSP_SQL = f"""n AS (SELECT {LAST} // 50 * 50 AS n), l AS MATERIALIZED (SELECT t, ch, v, CAST(t // 50 % 2 AS INTEGER) AS label FROM sig, n WHERE t < n),
+    cc AS MATERIALIZED (SELECT a.label, a.ch AS i, b.ch AS j, avg(a.v * b.v) + CASE WHEN a.ch = b.ch THEN 1e-6::DOUBLE ELSE 0.0::DOUBLE END AS v
+      FROM l a JOIN l b ON a.t = b.t GROUP BY a.label, a.ch, b.ch),
+    total AS MATERIALIZED (SELECT i, j, sum(v) + CASE WHEN i = j THEN 1e-8::DOUBLE ELSE 0.0::DOUBLE END AS v FROM cc GROUP BY i, j),
+    one AS MATERIALIZED (SELECT i, j, v FROM cc WHERE label = 1), {inverse_root_sql('k', 'total')},
+    {product_sql('kc', 'k', 'one')}, {product_sql('b', 'kc', 'k')},
+    rest AS MATERIALIZED (SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - v AS v FROM b),
+    {extreme_sql('u1', 'b')}, {without_sql('b2', 'b', 'u1')}, {extreme_sql('u2', 'b2')},
+    {extreme_sql('d1', 'rest')}, {without_sql('r2', 'rest', 'd1')}, {extreme_sql('d2', 'r2')},
+    u AS (SELECT 0 AS component, * FROM u1 UNION ALL SELECT 1, * FROM u2 UNION ALL SELECT 2, * FROM d2 UNION ALL SELECT 3, * FROM d1),
+    f AS (SELECT component, k.j AS ch, sum(u.v * k.v) AS v FROM u JOIN k ON u.i = k.i GROUP BY component, k.j),
+    g AS (SELECT component, sign(arg_max(v, abs(v))) AS s FROM f GROUP BY component)"""
+
+
+@query("csp_calibrate", f"WITH {F3}, {CSP_SQL} SELECT component, CAST(ch AS INTEGER) AS ch, {r('v * s', 'v', 5)} FROM f JOIN g USING (component)")
 def _(spark, d):
-    return rounded(training.csp_calibrate(sig(spark, d), block_labels(spark, d), 50))
+    trained = training.csp_calibrate(sig(spark, d), block_labels(spark, d), 50)
+    return rounded(trained.select("component", F.posexplode("x").alias("ch", "v")), 5)
 
 
 # Filtered classes together have unit variance and no correlation (up to the ridge).
@@ -427,18 +490,74 @@ def _(spark, d):
 @query("fit_transform", IDENTITY.format(n=64))
 def _(spark, d):
     rows = sig(spark, d)
-    return rounded(training.covariance(Ica(max_iter=3).fit(rows).transform(rows), centred=False).drop("label"))
+    return rounded(training.covariance(Ica().fit(rows).transform(rows), centred=False).drop("label"))
 
 
-@query("fastica_calibrate")
+# The fixed-point rule at the trained model, worked out by Spark's own functions: it turns no component by more than the tolerance, and
+# what comes out is uncorrelated with unit variance.
+@query(
+    "fastica_calibrate",
+    f"""WITH {F3} SELECT CAST(ch AS INTEGER) AS component, true AS still, true AS white, {r('avg(v)', 'mean')} FROM sig GROUP BY ch""",
+)
 def _(spark, d):
-    return rounded(training.fastica_calibrate(sig(spark, d), max_iter=12))
+    model = training.fastica_calibrate(sig(spark, d))
+    y = windows.long_form(spatial.ica_apply(sig(spark, d), model)).select("t", "ch", "v")
+    pairs = y.alias("a").join(y.alias("b"), "t").groupBy(F.col("a.ch").alias("i"), F.col("b.ch").alias("j")).agg(
+        F.avg(F.tanh("a.v") * F.col("b.v")).alias("cross"), F.avg(F.col("a.v") * F.col("b.v")).alias("cov"),
+        F.avg(1 - F.tanh("a.v") * F.tanh("a.v")).alias("slope"),
+    )
+    excess = pairs.where("i = j").select("i", (F.col("cross") - F.col("slope")).alias("excess"))
+    signed = pairs.join(excess, "i").withColumn("g", F.signum("excess") * F.col("cross"))
+    both = signed.alias("p").join(signed.alias("q"), F.expr("p.i = q.j AND p.j = q.i AND p.i <> p.j"))
+    # the rule turns i towards j by about this angle; 1 - cosine is half the sum of squares
+    angle = (F.col("p.g") - F.col("q.g")) / (F.abs("p.excess") + F.abs("q.excess"))
+    turned = both.groupBy(F.col("p.i").alias("component")).agg((F.sum(angle * angle) / 2 <= 2e-4).alias("still"))
+    off = F.abs(F.col("cov") - F.when(F.col("i") == F.col("j"), 1).otherwise(0))
+    white = pairs.groupBy(F.col("i").alias("component")).agg((F.max(off) < 1e-8).alias("white"))
+    mean = model.select("row", F.posexplode("mean").alias("component", "mean")).where("row = 0").drop("row")
+    return turned.join(white, "component").join(mean, "component").withColumn("mean", F.round("mean", 6))
+
+
+# Two independent columns, mixed: the rotation that separates them is the zero of the slope of the contrast, found here by cutting the
+# quarter turn into ever finer angles.
+def angles_sql(name: str, low: str, width: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT a, avg(tanh(cos(a) * z0 + sin(a) * z1) * (cos(a) * z1 - sin(a) * z0)
+        - tanh(cos(a) * z1 - sin(a) * z0) * (cos(a) * z0 + sin(a) * z1)) AS g
+      FROM (SELECT {low} + unnest(range(-1, 66)) * {width} AS a), z GROUP BY a),
+    {name}_up AS MATERIALIZED (SELECT a, g, lead(a) OVER (ORDER BY a) AS a1, lead(g) OVER (ORDER BY a) AS g1 FROM {name}),
+    {name}_at AS MATERIALIZED (SELECT a, g, a1, g1 FROM {name}_up WHERE g > 0 AND g1 <= 0 ORDER BY a LIMIT 1)"""
+
+
+MIXED = ["l_quantity + 240 * l_discount", "400 * l_discount - 0.4D * l_quantity"]
+_MIX_SQL = [m.replace("0.4D", "0.4::DOUBLE") for m in MIXED]
+TWO_SQL = f"""x AS MATERIALIZED (SELECT CAST({_MIX_SQL[0]} AS DOUBLE) AS x0, CAST({_MIX_SQL[1]} AS DOUBLE) AS x1 FROM lineitem),
+    m AS MATERIALIZED (SELECT avg(x0) AS m0, avg(x1) AS m1 FROM x), c AS MATERIALIZED (SELECT x0 - m0 AS x0, x1 - m1 AS x1 FROM x, m),
+    v AS MATERIALIZED (SELECT avg(x0 * x0) AS a, avg(x0 * x1) AS b, avg(x1 * x1) AS d FROM c), s AS (SELECT *, sqrt(a * d - b * b) AS s FROM v),
+    k AS MATERIALIZED (SELECT (d + s) / s / t AS k00, -b / s / t AS k01, (a + s) / s / t AS k11 FROM (SELECT *, sqrt(a + d + 2 * s) AS t FROM s)),
+    z AS MATERIALIZED (SELECT x0 * k00 + x1 * k01 AS z0, x0 * k01 + x1 * k11 AS z1 FROM c, k),
+    {angles_sql('g1', '0', 'pi() / 128')}, {angles_sql('g2', '(SELECT a FROM g1_at)', '(SELECT (a1 - a) / 64 FROM g1_at)')},
+    {angles_sql('g3', '(SELECT a FROM g2_at)', '(SELECT (a1 - a) / 64 FROM g2_at)')},
+    o AS (SELECT a + (a1 - a) * g / (g - g1) AS o FROM g3_at),
+    w AS (SELECT cos(o) * k00 + sin(o) * k01 AS w0, cos(o) * k01 + sin(o) * k11 AS w1 FROM o, k
+      UNION ALL SELECT cos(o) * k01 - sin(o) * k00, cos(o) * k11 - sin(o) * k01 FROM o, k),
+    f AS (SELECT CASE WHEN abs(w0) >= abs(w1) THEN sign(w0) ELSE sign(w1) END AS s, w0, w1 FROM w)"""
+
+
+@query("fastica_two_channels", f"WITH {TWO_SQL} SELECT {r('s * w0', 'w0')}, {r('s * w1', 'w1')}, {r('m0', 'm0')}, {r('m1', 'm1')} FROM f, m")
+def _(spark, d):
+    rows = tables.read(spark, d, "lineitem").selectExpr(
+        "'r' AS recording_id", "l_orderkey * 8 + l_linenumber AS t", f"array(CAST({MIXED[0]} AS DOUBLE), CAST({MIXED[1]} AS DOUBLE)) AS x"
+    )
+    model = training.fastica_calibrate(rows, tol=1e-13)
+    w0, w1 = F.col("weights")[0], F.col("weights")[1]
+    s = F.when(F.abs(w0) >= F.abs(w1), F.signum(w0)).otherwise(F.signum(w1))
+    return rounded(model.select((s * w0).alias("w0"), (s * w1).alias("w1"), F.col("mean")[0].alias("m0"), F.col("mean")[1].alias("m1")))
 
 
 # Unmixed training data is white whatever the rotation found.
 @query("fastica_unit_variance", IDENTITY.format(n=64))
 def _(spark, d):
-    model = training.fastica_calibrate(sig(spark, d), max_iter=5)
+    model = training.fastica_calibrate(sig(spark, d))
     out = spatial.ica_apply(sig(spark, d), model)
     return rounded(training.covariance(out, centred=False).drop("label"))
 
