@@ -87,19 +87,30 @@ def _reject_positive_start(w: np.ndarray) -> np.ndarray:
     return w
 
 
+CELL_SQL = "CAST(floor(ln(latency_us) / ln(1.01::DOUBLE)) AS INTEGER)"
+
+
+def quantile_sql(p: float) -> str:
+    """Middle of the cell of the sample of that rank, between the extremes."""
+    cell = f"list_sort(list({CELL_SQL}))[greatest(CAST(ceil(count(*) * {p}::DOUBLE) AS BIGINT), 1)]"
+    return f"least(greatest(exp(({cell} + 0.5::DOUBLE) * ln(1.01::DOUBLE)), min(latency_us)), max(latency_us))"
+
+
 @query(
     "stream_latency_stats",
     f"""WITH {F1}, b AS (SELECT *, release_ts_ns // 3600000000000 AS hr FROM warm),
-    w AS (SELECT plugin, latency_us, deadline_missed, (hr - hr % 2) - 2 * unnest([0, 1]) AS s, release_ts_ns FROM b),
+    w AS (SELECT plugin, latency_us, deadline_missed, (hr - hr % 2) - 2 * unnest([0, 1]) AS s FROM b),
     g AS (SELECT s, plugin, count(*) AS n, avg(latency_us) AS m, min(latency_us) AS lo, max(latency_us) AS hi,
+      {quantile_sql(0.5)} AS p50, {quantile_sql(0.95)} AS p95, {quantile_sql(0.99)} AS p99,
       CAST(sum(deadline_missed) AS BIGINT) AS deadline_misses FROM w GROUP BY s, plugin)
-    SELECT plugin, s * 3600 AS window_start_s, n, {r('m', 'mean_us')}, {r('lo', 'min_us')}, {r('hi', 'max_us')}, deadline_misses FROM g
-    WHERE (s + 4) * 3600000 <= (SELECT max(release_ts_ns) FROM warm) // 1000000 - 60000""",
+    SELECT plugin, s * 3600 AS window_start_s, n, {r('m', 'mean_us')}, {r('p50', 'p50_us')}, {r('p95', 'p95_us')}, {r('p99', 'p99_us')},
+      {r('lo', 'min_us')}, {r('hi', 'max_us')}, deadline_misses FROM g""",
 )
 def _(spark, d):
     path = scratch_path(spark, "telemetry")
     telemetry_files.write_telemetry_ndjson(tables.telemetry(spark, d), path)
+    tst.end_telemetry(spark, path)
     stats = tst.stream_latency_stats(tst.telemetry_stream(spark, path), "4 hours", "2 hours", "1 minute")
     out = st.drain(stats, "latency-stats")
     start = F.unix_seconds("window_start").alias("window_start_s")
-    return rounded(out.select("plugin", start, "n", "mean_us", "min_us", "max_us", "deadline_misses"))
+    return rounded(out.select("plugin", start, "n", "mean_us", *tst.QUANTILES, "min_us", "max_us", "deadline_misses"))
