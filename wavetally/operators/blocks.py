@@ -191,11 +191,12 @@ def packed(signal: DataFrame, length: int, before: int, after: int) -> DataFrame
                 _bytes_at(t[row], ends, 8),
                 _bytes_at(x[row], ends, 8 * x.shape[1]),
                 pa.array(np.full(len(new), x.shape[1], dtype=np.int32)),
+                pa.array(np.maximum.reduceat(t[row], new) if len(new) else t[:0]),
             ],
-            ["recording_id", "slice", "t", "x", "channels"],
+            ["recording_id", "slice", "t", "x", "channels", "last_t"],
         )
 
-    ddl = "recording_id string, slice long, t binary, x binary, channels int"
+    ddl = "recording_id string, slice long, t binary, x binary, channels int, last_t long"
     return signal.select("recording_id", "t", "x").mapInArrow(pack, ddl)
 
 

@@ -1,16 +1,23 @@
 """Signals as streams: samples, filters, windows, chains.
 
-State is kept per (recording, slice) as in the batch operators, so one
-recording does not live in one task, and what is emitted equals the batch
-result whatever the size of the micro-batches. Samples may arrive out of order
-by up to ``slack`` samples: one that has not come when a sample ``slack`` further
-on has is missing, which means what it does in batch: it counts as 0, has no
-output, and no window holds it. A slice sees ``slack`` samples beyond its end, so
-that its last gaps settle too. With ``idle_ms``, what has stood still for so long is
-settled as it stands (such a query runs until it is stopped). A slice's state holds samples that arrived out of order, what its
-filters carry on, and the filtered samples of unfinished windows. Of a finished
-slice only its end is kept, so that late and repeated samples are dropped; with
-``idle_ms`` that is released as well.
+State is kept per (recording, slice) as in the batch operators, so one recording does not live in one task, and what is
+emitted equals the batch result whatever the size of the micro-batches. Samples travel as byte strings, a row per task and
+slice in and out of the state, never as single rows.
+
+Samples may arrive out of order by up to ``slack`` samples: one that has not come when a sample ``slack`` further on
+has is missing, which means what it does in batch: it counts as 0, has no output, and no window holds it. How a slice ends
+depends on the clock:
+
+* ``fs`` given: recordings run on one clock, on which sample ``t`` is taken at ``t / fs`` seconds. Event time is that; the watermark
+  stays ``slack`` samples behind. A timer at the end of a slice settles its last gaps and removes its state, and what comes
+  later is dropped by the watermark. So state is that of the slices within ``slack``, however long a stream runs.
+* ``idle_ms`` given: recordings have nothing to do with one another. What has stood still for so long is settled as it
+  stands; of a finished slice a mark that drops late samples is kept for ``keep_ms`` (such a query runs until it is stopped).
+* neither: a slice sees ``slack`` samples beyond its end, so that its last gaps settle too; gaps in the last ``slack`` samples of a
+  recording stay open, and the marks of finished slices stay.
+
+The state of a slice holds its progress, samples that arrived out of order, what its filters carry on, and the filtered samples of
+unfinished windows, each in a variable of its own. State lies in RocksDB.
 """
 
 from __future__ import annotations
@@ -21,12 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, sliced, zero_nan
+from wavetally.operators.blocks import SIGNAL_DDL, SLICE, Stage, packed, zero_nan
 from wavetally.operators.filters import decay_length, fir_stage, notch_coefficients, recursion
 from wavetally.operators.windows import check_window, cyclic_replay
 from wavetally.plans.chain import Kernel, chain_shape_check
@@ -34,8 +40,10 @@ from wavetally.schemas import SIGNAL
 from wavetally.session import scratch_path
 
 SLACK = 2048
+KEEP_MS = 3_600_000
 
-STATE_DDL = "next_t long, channels int, pending_t binary, pending_x binary, carry array<binary>, buffer binary, width int"
+STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
@@ -83,42 +91,133 @@ def fir_step(fs: float = 160.0, low: float = 8.0, high: float = 30.0) -> StreamS
     return stateless_step(fir_stage(fs, low, high))
 
 
-class _Progress:
-    """The state of one slice between micro-batches."""
-
-    def __init__(self, state: GroupState, first: int, stages: list[StreamStage], idle_ms: int | None):
-        self.idle_ms = idle_ms
-        if state.exists:
-            self.next, self.channels, t, x, carry, buffer, self.width = state.get
-            self.t = np.frombuffer(t, dtype=np.int64)
-            self.x = np.frombuffer(x).reshape(-1, self.channels) if self.channels else np.zeros((0, 0))
-            self.carry = [bytes(c) for c in carry]
-            self.buffer = np.frombuffer(buffer).reshape(-1, self.width) if self.width else None
+@dataclass(frozen=True)
+class Clock:
+    """How slices end; see the module's text."""
+
+    slack: int = SLACK
+    fs: float | None = None
+    idle_ms: int | None = None
+    keep_ms: int = KEEP_MS
+
+    def __post_init__(self):
+        if self.fs is not None and self.idle_ms is not None:
+            raise ValueError("a stream has a sample clock or an idle time, not both")
+
+    @property
+    def mode(self) -> str:
+        return "EventTime" if self.fs is not None else "None" if self.idle_ms is None else "ProcessingTime"
+
+    @property
+    def beyond(self) -> int:
+        """Samples beyond its end that a slice must see for its last gaps to settle."""
+        return 0 if self.fs is not None else self.slack
+
+    def at(self, t: int) -> int:
+        """Time of a sample in ms."""
+        return int(t * 1000 / self.fs)
+
+
+class _Slice(StatefulProcessor):
+    """Advances the samples of one slice through filters; ``own`` turns what has been filtered into rows."""
+
+    def __init__(self, stages: list[StreamStage], length: int, history: int, after: int, clock: Clock):
+        self.stages, self.length, self.history, self.after, self.clock = stages, length, history, after, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        carried = ", ".join(f"c{i} binary" for i in range(len(self.stages))) or "none int"
+        self.handle = handle
+        self.progress = handle.getValueState("progress", "next long, channels int, width int, timer long")
+        self.pending = handle.getValueState("pending", "t binary, x binary")
+        self.carried = handle.getValueState("carried", carried)
+        self.unfinished = handle.getValueState("unfinished", "x binary")
+        kept = self.clock.keep_ms if self.clock.idle_ms is not None else None
+        self.finished = handle.getValueState("finished", "done boolean", kept)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks = [c for pdf in rows for c in zip(pdf["t"], pdf["x"], pdf["channels"])]
+        if not self.finished.exists():
+            yield from self._advanced(key, chunks, timerValues, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.progress.exists():
+            yield from self._advanced(key, [], timerValues, True)
+        if self.clock.fs is not None:
+            self.finished.clear()  # nothing of this slice passes the watermark any more
+
+    def close(self) -> None:
+        pass
+
+    def _advanced(self, key, chunks: list, timers, last: bool) -> Iterator[pd.DataFrame]:
+        name, number = key[0], int(key[1])
+        self._load(max(0, number * self.length - self.history))
+        self._add(chunks)
+        first, y, seen = self._advance(None if last else self.clock.slack)
+        rows, over = self._own(name, number, first, y, seen)
+        if last or over:
+            for state in (self.progress, self.pending, self.carried, self.unfinished):
+                state.clear()
+            self.finished.update((True,))
         else:
-            self.next, self.channels, self.width = first, 0, 0
-            self.t, self.x = np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-            self.carry, self.buffer = [b"" for _ in stages], None
-        self.stages = stages
+            self._save()
+        if not last:
+            self._set_timer(number, timers, over)
+        if rows is not None and len(rows):
+            yield rows
+
+    def _set_timer(self, number: int, timers, over: bool) -> None:
+        if self.clock.fs is not None:
+            self.handle.registerTimer(self.clock.at((number + 1) * self.length + self.after))
+        elif self.clock.idle_ms is not None:
+            if self.timer:
+                self.handle.deleteTimer(self.timer)
+            if not over:
+                now = timers.getCurrentProcessingTimeInMs() + self.clock.idle_ms
+                self.handle.registerTimer(now)
+                self.progress.update((self.next, self.channels, self.width, now))
+
+    def _load(self, start: int) -> None:
+        self.next, self.channels, self.width, self.timer = start, 0, 0, 0
+        self.t, self.x = np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+        self.carry, self.buffer = [b"" for _ in self.stages], None
+        if self.progress.exists():
+            self.next, self.channels, self.width, self.timer = self.progress.get()
+            self.x = np.zeros((0, self.channels))
+            if self.pending.exists():
+                t, x = self.pending.get()
+                self.t, self.x = np.frombuffer(t, dtype=np.int64), np.frombuffer(x).reshape(-1, self.channels)
+            if self.stages and self.carried.exists():
+                self.carry = [bytes(c) for c in self.carried.get()]
+            if self.width and self.unfinished.exists():
+                self.buffer = np.frombuffer(self.unfinished.get()[0]).reshape(-1, self.width)
+
+    def _save(self) -> None:
+        self.width = 0 if self.buffer is None else self.buffer.shape[1]
+        self.progress.update((self.next, self.channels, self.width, self.timer or 0))
+        if len(self.t):
+            self.pending.update((self.t.tobytes(), np.ascontiguousarray(self.x).tobytes()))
+        else:
+            self.pending.clear()
+        if self.stages:
+            self.carried.update(tuple(self.carry))
+        if self.buffer is not None:
+            self.unfinished.update((np.ascontiguousarray(self.buffer).tobytes(),))
 
-    def add(self, frames: Iterator[pd.DataFrame]) -> None:
+    def _add(self, chunks: list) -> None:
         """Take new samples; what lies before the progress has been dealt with and is dropped."""
-        ts, xs = [self.t], [self.x]
-        for pdf in frames:
-            pdf = pdf[pdf["x"].notna()]
-            if len(pdf):
-                ts.append(pdf["t"].to_numpy(dtype=np.int64))
-                xs.append(np.stack([np.asarray(v, dtype=float) for v in pdf["x"]]))
-        if len({x.shape[1] for x in xs if len(x)}) > 1:
-            raise ValueError("the channel count changes within a recording")
-        ts, xs = [t for t in ts if len(t)], [x for x in xs if len(x)]
-        if not ts:
+        if not chunks:
             return
-        self.channels = xs[-1].shape[1]
+        widths = {int(c) for _, _, c in chunks} | ({self.channels} if self.channels else set())
+        if len(widths) > 1:
+            raise ValueError("the channel count changes within a recording")
+        self.channels = widths.pop()
+        ts = [self.t, *(np.frombuffer(t, dtype=np.int64) for t, _, _ in chunks)]
+        xs = [self.x.reshape(-1, self.channels), *(np.frombuffer(x).reshape(-1, self.channels) for _, x, _ in chunks)]
         t, at = np.unique(np.concatenate(ts), return_index=True)
         keep = t >= self.next
         self.t, self.x = t[keep], np.concatenate(xs)[at][keep]
 
-    def advance(self, slack: int | None) -> tuple[int, np.ndarray, np.ndarray]:
+    def _advance(self, slack: int | None) -> tuple[int, np.ndarray, np.ndarray]:
         """First sample, filtered samples and which of them were there, up to the last that is settled.
 
         Settled is what follows on without a gap, and all that lies ``slack`` before the newest sample (None: all)."""
@@ -137,87 +236,80 @@ class _Progress:
                 self.carry[i], run = stage.step(self.carry[i], run)
         return first, run, seen
 
-    def finish(self, state: GroupState, end: int) -> None:
-        """Keep nothing but where the slice ended, or nothing at all once it has stood still."""
-        if self.idle_ms is not None and state.hasTimedOut:
-            state.remove()
-            return
-        self.next, self.t, self.x, self.buffer = max(self.next, end), self.t[:0], self.x[:0], None
-        self.carry = [b"" for _ in self.stages]
-        self.save(state)
 
-    def save(self, state: GroupState) -> None:
-        buffer = b"" if self.buffer is None else np.ascontiguousarray(self.buffer).tobytes()
-        width = 0 if self.buffer is None else self.buffer.shape[1]
-        x = np.ascontiguousarray(self.x).tobytes()
-        state.update((self.next, self.channels, self.t.tobytes(), x, self.carry, buffer, width))
-        if self.idle_ms is not None:
-            state.setTimeoutDuration(self.idle_ms)
+class _Filtered(_Slice):
+    DDL = "recording_id string, t binary, x binary, channels int"
 
+    def _own(self, name, number, first, y, seen):
+        start = number * self.length
+        t = first + np.arange(len(y))
+        own = (t >= start) & (t < start + self.length) & seen
+        out = None
+        if own.any():
+            values = np.ascontiguousarray(y[own])
+            out = pd.DataFrame({"recording_id": [name], "t": [t[own].tobytes()], "x": [values.tobytes()], "channels": [y.shape[1]]})
+        return out, self.next >= start + self.length
 
-def _packed(y: np.ndarray) -> list[bytes]:
-    return [np.ascontiguousarray(row).tobytes() for row in y]
 
+def _stateful(stream: DataFrame, processor: _Slice, ddl: str) -> DataFrame:
+    """Samples packed by slice in every task, then handed to the state of their slice."""
+    clock = processor.clock
+    stream.sparkSession.conf.set(STORE_KEY, STORE)  # several state variables need it
+    parts = packed(stream, processor.length, processor.history, processor.after + clock.beyond)
+    if clock.fs is not None:
+        parts = parts.withColumn("ts", F.timestamp_micros((F.col("last_t") * (1e6 / clock.fs)).cast("long")))
+        parts = parts.withWatermark("ts", f"{int(clock.slack * 1000 / clock.fs)} milliseconds")
+    return parts.groupBy("recording_id", "slice").transformWithStateInPandas(processor, ddl, "append", clock.mode)
 
-def _unpacked(df: DataFrame, ddl: str) -> DataFrame:
-    """Samples leave the stateful step as bytes, because pandas would turn NaN
-    into null; here they become lists again, without touching single values."""
+
+def _samples(df: DataFrame) -> DataFrame:
+    """Byte strings back to a row per sample, without touching single values."""
 
     def unpack(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("x")
-            packed = batch.column(at)
-            lengths = np.array([0 if v is None else v // 8 for v in pc.binary_length(packed).to_pylist()], dtype=np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            values = np.frombuffer(b"".join(v for v in packed.to_pylist() if v is not None))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(values), mask=packed.is_null())
-            columns = [lists if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return df.mapInArrow(unpack, ddl)
-
-
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
-def stream_filter(stream: DataFrame, stages: list[StreamStage], length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None) -> DataFrame:
-    """Filtered samples (recording_id, t, x), each as soon as all before it in
-    its slice have arrived or are known to be missing."""
-    history = sum(s.history for s in stages)
-
-    def run(key, frames, state: GroupState):
-        name, number = key
-        start = int(number) * length
-        progress = _Progress(state, max(0, start - history), stages, idle_ms)
-        idle = idle_ms is not None and state.hasTimedOut
-        progress.add(frames)
-        first, y, seen = progress.advance(None if idle else slack)
-        if idle or progress.next >= start + length:
-            progress.finish(state, start + length)
-        else:
-            progress.save(state)
-        t = first + np.arange(len(y))
-        own = (t >= start) & (t < start + length) & seen
-        yield pd.DataFrame({"recording_id": name, "t": t[own], "x": _packed(y[own])})
+            for i in range(batch.num_rows):
+                name, t, x, channels = (c[i].as_py() for c in batch.columns)
+                at, values = np.frombuffer(t, dtype=np.int64), np.frombuffer(x)
+                offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * channels)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), lists], ["recording_id", "t", "x"])
 
-    parts = sliced(stream.select("recording_id", "t", "x"), length, before=history, after=slack)
-    out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
-        run, "recording_id string, t long, x binary", STATE_DDL, "append", _timeout(idle_ms)
-    )
-    return _unpacked(out, SIGNAL_DDL)
+    return df.mapInArrow(unpack, SIGNAL_DDL)
+
+
+def stream_filter(
+    stream: DataFrame, stages: list[StreamStage], length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None, fs: float | None = None
+) -> DataFrame:
+    """Filtered samples (recording_id, t, x), each as soon as all before it in its slice have arrived or are known to be missing."""
+    clock = Clock(slack, fs, idle_ms)
+    return _samples(_stateful(stream, _Filtered(stages, length, sum(s.history for s in stages), 0, clock), _Filtered.DDL))
 
 
 def stream_fir(
-    stream: DataFrame, fs: float = 160.0, low: float = 8.0, high: float = 30.0, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None
+    stream: DataFrame,
+    fs: float = 160.0,
+    low: float = 8.0,
+    high: float = 30.0,
+    length: int = SLICE,
+    slack: int = SLACK,
+    idle_ms: int | None = None,
+    clocked: bool = False,
 ) -> DataFrame:
-    return stream_filter(stream, [fir_step(fs, low, high)], length, slack, idle_ms)
+    """``clocked``: recordings run on one clock of ``fs`` samples a second."""
+    return stream_filter(stream, [fir_step(fs, low, high)], length, slack, idle_ms, fs if clocked else None)
 
 
 def stream_notch(
-    stream: DataFrame, f0: float = 60.0, q: float = 30.0, fs: float = 160.0, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None
+    stream: DataFrame,
+    f0: float = 60.0,
+    q: float = 30.0,
+    fs: float = 160.0,
+    length: int = SLICE,
+    slack: int = SLACK,
+    idle_ms: int | None = None,
+    clocked: bool = False,
 ) -> DataFrame:
-    return stream_filter(stream, [notch_step(f0, q, fs)], length, slack, idle_ms)
+    return stream_filter(stream, [notch_step(f0, q, fs)], length, slack, idle_ms, fs if clocked else None)
 
 
 CHAIN_DDL = (
@@ -225,69 +317,65 @@ CHAIN_DDL = (
 )
 
 
-def _windowed(
-    stream: DataFrame, stages: list[StreamStage], blocks: list, W: int, H: int, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None
-) -> DataFrame:
-    """Every full window once, passed through ``blocks``; a window whose block
-    fails yields one row that names the stage."""
-    check_window(W, H)
-    per_slice = max(1, length // H)
-    span, history = per_slice * H, sum(s.history for s in stages)
-
-    def run(key, frames, state: GroupState):
-        name, number = key
-        lead = int(number) * per_slice
-        progress = _Progress(state, max(0, lead * H - history), stages, idle_ms)
-        idle = idle_ms is not None and state.hasTimedOut
-        progress.add(frames)
-        first, y, seen = progress.advance(None if idle else slack)
+class _Cut(_Slice):
+    """Full windows, passed through ``blocks``; a window whose block fails yields one row that names the stage."""
+
+    DDL = "recording_id string, window_index long, rows int, x binary, channels int, window_failed int, failed_stage int, error string"
+
+    def __init__(self, stages, blocks, W: int, H: int, length: int, clock: Clock):
+        self.blocks, self.W, self.H, self.per_slice = blocks, W, H, max(1, length // H)
+        super().__init__(stages, self.per_slice * H, sum(s.history for s in stages), max(0, W - H), clock)
+
+    def _own(self, name, number, first, y, seen):
+        lead = number * self.per_slice
         y = np.concatenate([y, seen[:, None]], axis=1)  # the last column says which samples were there
-        held = y if progress.buffer is None or not len(progress.buffer) else np.concatenate([progress.buffer, y])
-        base = progress.next - len(held)
-        out = []
-        k = max(lead, -(-base // H))
-        while k < lead + per_slice and k * H + W <= progress.next:
-            at = k * H - base
-            whole = held[at : at + W, -1].all()
-            w, failed, error = held[None, at : at + W, :-1], None, None
-            if not whole:
-                k += 1
-                continue
-            for stage, block in enumerate(blocks):
-                try:
-                    w = block(w)
-                except Exception as e:  # the failure is a row of the result
-                    failed, error = stage, str(e)
-                    break
-            if failed is None:
-                out.append(pd.DataFrame({"window_index": k, "i": np.arange(w.shape[1]), "x": _packed(w[0]), "window_failed": 0}))
-            else:
-                out.append(pd.DataFrame({"window_index": [k], "i": [0], "x": [None], "window_failed": [1],
-                                         "failed_stage": [failed], "error": [error]}))
+        held = y if self.buffer is None or not len(self.buffer) else np.concatenate([self.buffer, y])
+        base, k, out = self.next - len(held), lead, []
+        k = max(lead, -(-base // self.H))
+        while k < lead + self.per_slice and k * self.H + self.W <= self.next:
+            at = k * self.H - base
+            if held[at : at + self.W, -1].all():
+                out.append((name, k, *self._through(held[None, at : at + self.W, :-1])))
             k += 1
-        if idle or k >= lead + per_slice:
-            progress.finish(state, (lead + per_slice - 1) * H + W)
-        else:
-            progress.buffer = held[max(0, k * H - base) :]
-            progress.save(state)
-        if out:
-            pdf = pd.concat(out).assign(recording_id=name)
-            for column in ("failed_stage", "error"):
-                if column not in pdf:
-                    pdf[column] = None
-            pdf["failed_stage"] = pdf["failed_stage"].astype("Int32")
-            yield pdf[["recording_id", "window_index", "i", "x", "window_failed", "failed_stage", "error"]]
-
-    parts = sliced(stream.select("recording_id", "t", "x"), span, before=history, after=max(0, W - H) + slack)
-    out = parts.groupBy("recording_id", "slice").applyInPandasWithState(
-        run, CHAIN_DDL.replace("array<double>", "binary"), STATE_DDL, "append", _timeout(idle_ms)
-    )
-    return _unpacked(out, CHAIN_DDL)
-
+        self.buffer = held[max(0, k * self.H - base) :]
+        names = [c.split()[0] for c in self.DDL.split(", ")]
+        rows = pd.DataFrame(out, columns=names).astype({"failed_stage": "Int32"}) if out else None
+        return rows, k >= lead + self.per_slice
+
+    def _through(self, w: np.ndarray) -> tuple:
+        for stage, block in enumerate(self.blocks):
+            try:
+                w = block(w)
+            except Exception as e:  # the failure is a row of the result
+                return 1, None, 0, 1, stage, str(e)
+        return w.shape[1], np.ascontiguousarray(w[0]).tobytes(), w.shape[2], 0, None, None
+
+
+def _windowed(stream: DataFrame, stages: list[StreamStage], blocks: list, W: int, H: int, length: int, clock: Clock) -> DataFrame:
+    """Every full window once, as one packed row; then a row per window and line."""
+    check_window(W, H)
 
-def stream_sliding_windows(stream: DataFrame, W: int, H: int, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None) -> DataFrame:
+    def unpack(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, failed = r["rows"], r["x"] is None
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * r["channels"])
+                lists = pa.nulls(1, pa.list_(pa.float64())) if failed else pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(r["x"])))
+                columns = [
+                    pa.array([r["recording_id"]] * n, pa.string()), pa.array([r["window_index"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
+                    lists, pa.array([r["window_failed"]] * n, pa.int32()), pa.array([r["failed_stage"]] * n, pa.int32()),
+                    pa.array([r["error"]] * n, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["recording_id", "window_index", "i", "x", "window_failed", "failed_stage", "error"])
+
+    return _stateful(stream, _Cut(stages, blocks, W, H, length, clock), _Cut.DDL).mapInArrow(unpack, CHAIN_DDL)
+
+
+def stream_sliding_windows(
+    stream: DataFrame, W: int, H: int, length: int = SLICE, slack: int = SLACK, idle_ms: int | None = None, fs: float | None = None
+) -> DataFrame:
     """Every full window once, equal to the batch windows."""
-    return _windowed(stream, [], [], W, H, length, slack, idle_ms).select("recording_id", "window_index", "i", "x")
+    return _windowed(stream, [], [], W, H, length, Clock(slack, fs, idle_ms)).select("recording_id", "window_index", "i", "x")
 
 
 def stream_warmup(windowed: DataFrame, warmup_s: float, fs: int, H: int) -> DataFrame:
@@ -306,6 +394,7 @@ def stream_chain(
     length: int = SLICE,
     slack: int = SLACK,
     idle_ms: int | None = None,
+    clocked: bool = False,
 ) -> DataFrame:
     """A kernel chain over a stream: leading filters advance with the samples,
     the rest runs on each window; the first failing kernel ends its window."""
@@ -324,7 +413,7 @@ def stream_chain(
         else:
             blocks.append(k.window(rows, fs).block)
         rows, cols = k.output_shape(rows, cols)
-    return _windowed(stream, stages, blocks, W, H, length, slack, idle_ms)
+    return _windowed(stream, stages, blocks, W, H, length, Clock(slack, fs if clocked else None, idle_ms))
 
 
 def stream_samples(
