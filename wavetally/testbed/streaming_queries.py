@@ -23,6 +23,11 @@ def stream(spark, d, cycles=1, nan=False):
     return st.stream_samples(sig(spark, d, nan), H, cycles, hops_per_file=2)
 
 
+def kept(sql: str) -> str:
+    """Every table of the text is worked out once; else each use of one repeats all before it."""
+    return sql.replace(" AS (", " AS MATERIALIZED (")
+
+
 def hop_windows(name: str = "win") -> str:
     return win_sql("hops", name=name).replace(LAST, "(SELECT max(t) + 1 FROM hops)")
 
@@ -66,9 +71,10 @@ def _(spark, d):
 
 @query(
     "stream_chain",
-    f"""WITH {F3}, {HOPS}, {HOP_CLEAN}, {TAPS}, {HOP_FIR}, m AS (SELECT t, avg(v) AS m FROM fir GROUP BY t),
-    car AS (SELECT t, ch, v - m AS v FROM fir JOIN m USING (t)), {win_sql('car').replace(LAST, '(SELECT max(t) + 1 FROM hops)')},
-    bp AS (WITH {bandpower_sql('win')}), bad AS (SELECT window_index FROM win WHERE i = 0 AND ch = 0 AND v > 0)
+    f"""WITH {kept(F3)}, {kept(HOPS)}, {kept(HOP_CLEAN)}, {kept(TAPS)}, {kept(HOP_FIR)}, m AS MATERIALIZED (SELECT t, avg(v) AS m FROM fir GROUP BY t),
+    car AS MATERIALIZED (SELECT t, ch, v - m AS v FROM fir JOIN m USING (t)),
+    {kept(win_sql('car')).replace(LAST, '(SELECT max(t) + 1 FROM hops)')},
+    bp AS MATERIALIZED (WITH {bandpower_sql('win')}), bad AS MATERIALIZED (SELECT window_index FROM win WHERE i = 0 AND ch = 0 AND v > 0)
     SELECT window_index, i, ch, v, 0 AS window_failed, -1 AS failed_stage FROM bp
     WHERE window_index NOT IN (SELECT window_index FROM bad) UNION ALL SELECT window_index, 0, -1, 0.0::DOUBLE, 1, 0 FROM bad""",
 )
