@@ -437,10 +437,12 @@ def samples_from(spark: SparkSession, path: str, files_per_trigger: int = 4) ->
     return reader.option("recursiveFileLookup", True).parquet(path)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source holds now; the result as a table."""
+def drain(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run a stream over what its source holds now; the result as a table.
+
+    With the ``path`` of an earlier run it goes on where that ended, and the table holds what both gave."""
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)

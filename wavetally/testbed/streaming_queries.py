@@ -5,11 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from wavetally.operators import windows
+from wavetally.operators.ordered import number_rows
 from wavetally.plans import chain
-from wavetally.session import scratch_path
-from wavetally.sources import telemetry_files
+from wavetally.session import materialize, scratch_path
+from wavetally.sources import recording, telemetry_files
 from wavetally.streaming import signal as st
 from wavetally.streaming import telemetry as tst
+from wavetally.streaming.recording_source import recording_stream
 from wavetally.testbed import tables
 from wavetally.testbed.registry import query, r, rounded
 from wavetally.testbed.signal_queries import CLEAN, F3_NAN, FIR, H, LAST, SIG_OUT, TAPS, W, bandpower_sql, flat, notch_sql, sig, win_sql
@@ -41,6 +44,26 @@ def _(spark, d):
     return flat(st.drain(stream(spark, d, cycles=2), "samples"))
 
 
+def recordings_sql(rows: str) -> str:
+    """Embeddings as recordings, one per label; a sample's number is its rank there."""
+    return f"""e AS (SELECT 'r' || label AS recording_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding AS x
+      FROM embeddings), n AS (SELECT recording_id, count(*) AS n FROM e GROUP BY recording_id), u AS (SELECT e.*, n FROM e JOIN n USING (recording_id)),
+    w AS (SELECT recording_id, t, unnest(x)::DOUBLE AS v, generate_subscripts(x, 1) - 1 AS ch FROM u WHERE {rows})"""
+
+
+# Recordings that grow: a query over the first half of each, stopped, and taken up again over the whole.
+@query("stream_recordings", f"WITH {recordings_sql('true')} SELECT recording_id, t, CAST(ch AS INTEGER) AS ch, {r('v', 'v')} FROM w")
+def _(spark, d):
+    vectors = tables.read(spark, d, "embeddings").selectExpr("concat('r', label) AS recording_id", "vec_id", "embedding AS x")
+    rows = number_rows(vectors, ["recording_id"], "vec_id", "t").drop("vec_id")
+    rows = materialize(rows.join(rows.groupBy("recording_id").agg(F.count("*").alias("n")), "recording_id"), "recordings")
+    path, out = scratch_path(spark, "growing"), scratch_path(spark, "growing-out")
+    for part in ("2 * t < n", "2 * t >= n"):
+        recording.write_float32(rows.where(part).select("recording_id", "t", "x"), path)
+        seen = st.drain(recording_stream(spark, path, 64, split_bytes=64 << 10), "recordings", out)
+    return rounded(windows.long_form(seen))
+
+
 @query("stream_sliding_windows", f"WITH {F3}, {HOPS}, {hop_windows()} SELECT window_index, i, ch, {r('v', 'v')} FROM win")
 def _(spark, d):
     return flat(st.drain(st.stream_sliding_windows(stream(spark, d), W, H, length=240), "windows"))
