@@ -1,5 +1,6 @@
 """Small literal frames with known results."""
 
+import itertools
 import math
 
 import numpy as np
@@ -308,3 +309,60 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, applicationId="x")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def subsets_at_least(u, n1, n2):
+    """Two-sided probability of a rank sum by going through all choices of ranks."""
+    sums = [sum(c) - n1 * (n1 + 1) // 2 for c in itertools.combinations(range(1, n1 + n2 + 1), n1)]
+    far = max(u, n1 * n2 - u)
+    return min(1.0, 2 * sum(s >= far for s in sums) / len(sums))
+
+
+@pytest.mark.parametrize(("n1", "n2"), [(1, 1), (1, 7), (2, 5), (3, 3), (5, 6), (8, 8), (7, 4)])
+def test_exact_rank_test_counts_all_choices(n1, n2):
+    for u in range(0, n1 * n2 + 1, max(1, n1 * n2 // 9)):
+        assert special.rank_test_exact(u, n1, n2) == pytest.approx(subsets_at_least(u, n1, n2), abs=1e-14)
+
+
+def test_exact_rank_test_on_tabulated_values():
+    # two-sided 5 % points of the table of critical values: the largest U with p <= 0.05
+    for n1, n2, critical in [(5, 5, 2), (6, 6, 5), (7, 7, 8), (8, 8, 13), (5, 8, 6), (6, 8, 8), (7, 8, 10)]:
+        assert special.rank_test_exact(critical, n1, n2) <= 0.05 < special.rank_test_exact(critical + 1, n1, n2)
+
+
+def test_exact_rank_test_of_a_few_against_many():
+    n = 10**9
+    assert special.rank_test_exact(0, 1, n) == pytest.approx(2 / (n + 1))
+    assert special.rank_test_exact(0, 8, n) == pytest.approx(2 / math.comb(n + 8, 8))
+    # for so many the normal limit of eight uniform places is near in the middle
+    u = int(8 * n / 2 + 1.0 * math.sqrt(8 * n * (n + 9) / 12))
+    assert special.rank_test_exact(u, 8, n) == pytest.approx(special.normal_two_sided(1.0), abs=1e-2)
+
+
+@pytest.mark.parametrize(("n1", "n2"), [(1, 1), (2, 3), (4, 4), (5, 3), (6, 5)])
+def test_exact_distance_counts_all_ways(n1, n2):
+    gaps = []
+    for chosen in itertools.combinations(range(n1 + n2), n1):
+        a, b, far = 0, 0, 0
+        for k in range(n1 + n2):
+            a, b = (a + 1, b) if k in chosen else (a, b + 1)
+            far = max(far, abs(a * n2 - b * n1))
+        gaps.append(far)
+    for h in sorted(set(gaps)):
+        assert special.distance_exact(h / (n1 * n2), n1, n2) == pytest.approx(sum(g >= h for g in gaps) / len(gaps), abs=1e-13)
+
+
+def test_exact_distance_nears_its_limit():
+    for d in (0.01, 0.02, 0.03):
+        lam = math.sqrt(9000 * 10000 / 19000) * d
+        assert special.distance_exact(d, 9000, 10000) == pytest.approx(special.kolmogorov_tail(lam), abs=0.02)
+    assert special.distance_exact(1.0, 200, 200) == pytest.approx(2 / math.comb(400, 200), rel=1e-9)
+
+
+def test_small_cohorts_take_exact_tests(spark):
+    few, many = [1.0, 2.0, 3.5, 9.0], [2.5, 4.0, 5.0, 6.0, 7.0, 8.0]
+    rows = [("a", v, True) for v in few] + [("a", v, False) for v in many] + [("t", v, True) for v in [*few, 9.0]] + [("t", v, False) for v in many]
+    frame = spark.createDataFrame(rows, "g string, v double, f boolean")
+    got = {r["g"]: r for r in att.mann_whitney_u(frame, ["g"], "v", F.col("f")).collect()}
+    assert got["a"]["p_value"] == pytest.approx(subsets_at_least(got["a"]["u"], 4, 6))
+    assert got["t"]["p_value"] == pytest.approx(special.normal_two_sided(got["t"]["z"]))

@@ -6,8 +6,10 @@ functions after the aggregates.
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,98 @@ def kolmogorov_tail(lam: float) -> float:
     return min(1.0, max(0.0, 2.0 * total))
 
 
+# Sample sizes up to which a test takes its exact distribution: the smaller sample of a rank test without ties, the larger of a
+# distance of two distribution curves. Fixed values.
+EXACT_RANKS = 8
+EXACT_PATHS = 10_000
+
+
+@functools.cache
+def _partition_counts(m: int) -> tuple[int, list[int]]:
+    """Counting sums of parts 1, 1, 2, ..., m: the period L of the count, and the numerator over (1 - q^L)^(m + 1)."""
+    period = math.lcm(*range(1, m + 1))
+    numerator = [1]
+    for part in (1, *range(1, m + 1)):
+        out = [0] * (len(numerator) + period - part)
+        for k in range(0, period, part):
+            for i, v in enumerate(numerator):
+                out[i + k] += v
+        numerator = out
+    return period, numerator
+
+
+def _partitions_up_to(k: int, m: int) -> int:
+    """Number of ways to write the numbers 0 to ``k`` as sums of parts 1 to ``m``."""
+    if k < 0:
+        return 0
+    period, numerator = _partition_counts(m)
+    first = k % period
+    return sum(numerator[r] * math.comb((k - r) // period + m, m) for r in range(first, min(k + 1, len(numerator)), period))
+
+
+def rank_test_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided probability of a rank sum test without ties, for any sizes of which the smaller is small.
+
+    Rank sums below a bound are partitions into at most ``m`` parts of at most ``n``; those with parts that are too large are
+    taken out by inclusion and exclusion. The work depends on ``m`` alone."""
+    m, n = sorted((n1, n2))
+    low = int(min(u, m * n - u))
+    count = 0
+    for large in range(1 << m):
+        chosen = [i + 1 for i in range(m) if large >> i & 1]
+        ways = _partitions_up_to(low - sum(chosen) - len(chosen) * n, m)
+        count += -ways if len(chosen) % 2 else ways
+    return min(1.0, 2 * count / math.comb(m + n, m))
+
+
+def distance_exact(d: float, n1: int, n2: int) -> float:
+    """Probability that two samples of one distribution are at least ``d`` apart.
+
+    A way through the ordered samples steps to the right for one and up for the other. Step by step, the share of all ways that has
+    come as far as ``d`` apart leaves; shares only add up, so small probabilities are exact as well."""
+    bound = round(d * n1 * n2)
+    i = np.arange(n1 + 1)
+    inside, gone = np.zeros(n1 + 1), 0.0
+    inside[0] = 1.0
+    for s in range(n1 + n2):
+        left = n1 + n2 - s
+        right = inside * (n1 - i) / left
+        inside = inside * np.maximum(n2 - (s - i), 0) / left
+        inside[1:] += right[:-1]
+        out = np.abs(i * n2 - (s + 1 - i) * n1) >= bound
+        gone += float(inside[out].sum())
+        inside[out] = 0.0
+    return min(1.0, gone)
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_test_pvalue(z: pd.Series, u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
+    """Exact where one sample is small and nothing is tied, else the normal limit."""
+
+    def one(z, u, a, b, tied):
+        if pd.isna(z):
+            return None
+        if 0 < min(a, b) <= EXACT_RANKS and tied == 0:
+            return rank_test_exact(u, int(a), int(b))
+        return normal_two_sided(z)
+
+    return pd.Series([one(*r) for r in zip(z, u, n1, n2, ties)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def distance_pvalue(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """Exact for samples that are not large, else the limit distribution."""
+
+    def one(d, a, b):
+        if pd.isna(d):
+            return None
+        if max(a, b) <= EXACT_PATHS:
+            return distance_exact(d, int(a), int(b))
+        return kolmogorov_tail(math.sqrt(a * b / (a + b)) * d)
+
+    return pd.Series([one(*r) for r in zip(d, n1, n2)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
@@ -92,7 +186,3 @@ def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v)).astype("float64")
 
-
-@F.pandas_udf(T.DoubleType())
-def kolmogorov_pvalue(lam: pd.Series) -> pd.Series:
-    return lam.map(lambda v: None if pd.isna(v) else kolmogorov_tail(v)).astype("float64")

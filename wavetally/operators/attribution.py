@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavetally.functions.special import kolmogorov_pvalue, normal_pvalue
+from wavetally.functions.special import distance_pvalue, rank_test_pvalue
 from wavetally.operators.ordered import GroupSizes, exact_percentiles, group_sizes, running_counts
 from wavetally.operators.telemetry import filter_warmup
 from wavetally.schemas import finite_or_null
@@ -281,8 +281,8 @@ def mann_whitney_u(
 ) -> DataFrame:
     """Two-sided rank test of the rows marked ``first`` against the others.
 
-    Average ranks for ties; p from the normal limit with tie and continuity
-    correction.
+    Average ranks for ties. p is exact where the smaller side has at most eight rows and nothing is tied, else from the normal
+    limit with tie and continuity correction.
     """
     src = rows.select(*keys, finite_or_null(F.col(value)).alias("_v"), first.alias("_f")).where("_v is not null")
     counts = src.groupBy(*keys, "_v").agg(F.count("*").alias("n"), F.count_if("_f").alias("n1"))
@@ -301,7 +301,8 @@ def mann_whitney_u(
     var = n1 * n2 / 12 * (total + 1 - F.try_divide(F.col("_ties"), total * (total - 1)))
     far = F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5
     z = F.when(var > 0, F.greatest(far / F.sqrt(var), F.lit(0.0))).otherwise(F.lit(0.0))
-    return sums.select(*keys, "n_first", "n_second", u1.alias("u"), z.alias("z")).withColumn("p_value", normal_pvalue("z"))
+    found = sums.select(*keys, "n_first", "n_second", u1.alias("u"), z.alias("z"), "_ties")
+    return found.withColumn("p_value", rank_test_pvalue("z", "u", "n_first", "n_second", "_ties")).drop("_ties")
 
 
 def cohort_compare(cohorts: DataFrame, sizes: GroupSizes | None = None) -> DataFrame:
@@ -329,7 +330,7 @@ def cohort_compare(cohorts: DataFrame, sizes: GroupSizes | None = None) -> DataF
 def ks_two_sample(
     rows: DataFrame, keys: Sequence[str], value: str, first: Column, sizes: GroupSizes | None = None
 ) -> DataFrame:
-    """Largest distance of the two distribution curves and its limit p-value."""
+    """Largest distance of the two distribution curves and its p-value, exact up to 10,000 rows on a side, else from the limit."""
     src = rows.select(*keys, finite_or_null(F.col(value)).alias("_v"), first.alias("_f")).where("_v is not null")
     counts = src.groupBy(*keys, "_v").agg(F.count_if("_f").alias("a"), F.count_if(~F.col("_f")).alias("b"))
     run = running_counts(counts, keys, "_v", ["a", "b"], sizes or group_sizes(rows, keys))
@@ -338,10 +339,7 @@ def ks_two_sample(
     best = run.groupBy(*keys).agg(
         F.max("a_total").alias("n_first"), F.max("b_total").alias("n_second"), F.max(gap).alias("d")
     )
-    n1, n2 = F.col("n_first").cast("double"), F.col("n_second").cast("double")
-    return best.withColumn("_lam", F.sqrt(n1 * n2 / (n1 + n2)) * F.col("d")).withColumn(
-        "p_value", kolmogorov_pvalue("_lam")
-    ).drop("_lam")
+    return best.withColumn("p_value", distance_pvalue("d", "n_first", "n_second"))
 
 
 def freq_stratification(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wavetally.operators import attribution as att
 from wavetally.operators import compare
+from wavetally.testbed import tables
 from wavetally.testbed.registry import query, r, rounded
 from wavetally.testbed.tables import F1
 from wavetally.testbed.telemetry_queries import derived, runs
@@ -288,19 +289,52 @@ def _(spark, d):
     return rounded(att.mann_whitney_u(rows, ["plugin"], "kernel_latency_us", F.col("run_id") == "base"))
 
 
+# Users' events, a few against the rest: the number of ways to choose c of the first n ranks with a sum gives the exact test, which
+# counts where one side has at most eight rows and nothing is tied.
+SMALL_U = f"""e AS (SELECT user_id, value AS v, event_id % 11 = 0 AS f, rank() OVER (PARTITION BY user_id ORDER BY value)
+      + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0::DOUBLE AS rnk, count(*) OVER (PARTITION BY user_id, value) AS tie FROM events),
+    ag AS (SELECT user_id, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, sum(rnk) FILTER (f) AS r1, sum(tie::DOUBLE * tie - 1) AS ties
+      FROM e GROUP BY user_id),
+    us AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1::DOUBLE * n2 AS nn, (n1 + n2)::DOUBLE AS n, least(n1, n2) AS m FROM ag WHERE n1 > 0 AND n2 > 0),
+    zs AS (SELECT *, greatest((greatest(u, nn - u) - nn / 2 - 0.5) / sqrt(nn / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z FROM us),
+    top AS (SELECT max(n) AS top FROM us WHERE m <= 8 AND ties = 0),
+    ways AS (SELECT 0::BIGINT AS n, 0::BIGINT AS c, 0::BIGINT AS s, 1.0::DOUBLE AS w
+      UNION ALL SELECT n, c, s, sum(w) FROM (SELECT n + 1 AS n, c + k AS c, s + k * (n + 1) AS s, w FROM ways, top, (VALUES (0), (1)) v(k) WHERE n < top)
+      WHERE c <= 8 GROUP BY ALL),
+    ex AS (SELECT user_id, least(2 * sum(w) FILTER (s >= greatest(u, nn - u) + m * (m + 1) / 2) / sum(w), 1) AS p FROM zs
+      JOIN ways ON ways.n = zs.n AND ways.c = zs.m WHERE m <= 8 AND ties = 0 GROUP BY user_id)"""
+
+
+@query(
+    "mann_whitney_small",
+    f"""WITH RECURSIVE {GRID}, {SMALL_U} SELECT user_id, n1 AS n_first, n2 AS n_second, {r('u', 'u')}, {r('z', 'z')},
+      {r(f"coalesce(ex.p, greatest({normal_p('z')}, 0))", 'p_value')} FROM zs LEFT JOIN ex USING (user_id)""",
+)
+def _(spark, d):
+    rows = tables.read(spark, d, "events").select("user_id", "value", (F.col("event_id") % 11 == 0).alias("few"))
+    return rounded(att.mann_whitney_u(rows, ["user_id"], "value", F.col("few")).where("n_first > 0 AND n_second > 0"))
+
+
 def ks_sql(src: str, value: str, first: str) -> str:
     return f"""kv AS (SELECT plugin, {value} AS v, count(*) FILTER ({first}) AS a, count(*) FILTER (NOT {first}) AS b FROM {src} GROUP BY ALL),
     kc AS (SELECT plugin, abs(sum(a) OVER w::DOUBLE / sum(a) OVER t - sum(b) OVER w::DOUBLE / sum(b) OVER t) AS gap,
       sum(a) OVER t AS na, sum(b) OVER t AS nb FROM kv WINDOW w AS (PARTITION BY plugin ORDER BY v), t AS (PARTITION BY plugin)),
     kd AS (SELECT plugin, CAST(max(na) AS BIGINT) AS na, CAST(max(nb) AS BIGINT) AS nb, max(gap) AS d FROM kc GROUP BY plugin),
     kl AS (SELECT *, sqrt(na::DOUBLE * nb / (na + nb)) * d AS lam FROM kd),
-    kp AS (SELECT *, CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(2 * (SELECT sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * (j * lam) * (j * lam)))
-      FROM grid WHERE j BETWEEN 1 AND 100), 0), 1) END AS p FROM kl)"""
+    kr AS (SELECT plugin, na, nb, CAST(round(d * na * nb) AS BIGINT) AS h, 0::BIGINT AS s, 0::BIGINT AS i, 1.0::DOUBLE AS p, false AS gone FROM kl
+      WHERE greatest(na, nb) <= 10000
+      UNION ALL SELECT plugin, na, nb, h, s, i, sum(p), abs(i * nb - (s - i) * na) >= h FROM (
+        SELECT plugin, na, nb, h, s + 1 AS s, i + u AS i,
+          p * CASE WHEN u = 1 THEN (na - i)::DOUBLE / (na + nb - s) ELSE (nb - s + i)::DOUBLE / (na + nb - s) END AS p
+        FROM kr, (VALUES (0), (1)) v(u) WHERE NOT gone AND s < na + nb) WHERE p > 0 GROUP BY ALL),
+    ke AS (SELECT plugin, least(sum(p), 1) AS p FROM kr WHERE gone GROUP BY plugin),
+    kp AS (SELECT * EXCLUDE (e), coalesce(e, CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(2 * (SELECT sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * (j * lam) * (j * lam)))
+      FROM grid WHERE j BETWEEN 1 AND 100), 0), 1) END) AS p FROM (SELECT kl.*, ke.p AS e FROM kl LEFT JOIN ke USING (plugin)) kl)"""
 
 
 @query(
     "ks_two_sample",
-    f"""WITH {F1}, {GRID}, {ks_sql('warm', 'latency_us', "run_id = 'base'").replace('OVER w::DOUBLE', 'OVER w')}
+    f"""WITH RECURSIVE {F1}, {GRID}, {ks_sql('warm', 'latency_us', "run_id = 'base'").replace('OVER w::DOUBLE', 'OVER w')}
     SELECT plugin, na AS n_first, nb AS n_second, {r('d', 'd')}, {r('p', 'p_value')} FROM kp""",
 )
 def _(spark, d):
@@ -310,7 +344,7 @@ def _(spark, d):
 
 @query(
     "freq_stratification",
-    f"""WITH {F1}, {GRID}, x AS (SELECT * FROM warm WHERE plugin <> 'noop'),
+    f"""WITH RECURSIVE {F1}, {GRID}, x AS (SELECT * FROM warm WHERE plugin <> 'noop'),
     md AS (SELECT plugin, quantile_cont(freq_mhz, 0.5) AS f50 FROM x GROUP BY plugin HAVING count(*) >= 200),
     sp AS (SELECT plugin, kernel_latency_us AS v, abs(freq_mhz - f50) < f50 * 0.02::DOUBLE AS stable FROM x JOIN md USING (plugin)),
     sz AS (SELECT plugin, count(*) FILTER (stable) AS ns, count(*) FILTER (NOT stable) AS nu, quantile_cont(v, 0.99) FILTER (stable) AS ps99,
