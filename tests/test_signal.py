@@ -300,6 +300,39 @@ def test_chain_status(spark, sig):
     assert {r["chain"] for r in whole.select("chain").distinct().collect()} == {"a_b", "a_b-2"}
 
 
+def test_chains_share_one_pass_and_fail_alone(spark, sig, x):
+    def picky(w):
+        if w[0, 0] > 0:
+            raise ValueError("starts above zero")
+        return w
+
+    def broken(_):
+        raise RuntimeError("broken")
+
+    k = chain.kernel
+    odd = blocks.Stage("odd", 0, broken)
+    chains = [("power", [k("car"), k("goertzel")]), ("picky", [chain.register_kernel("test_picky", picky)]), ("spectrum", [k("fft")]),
+              ("odd", [chain.Kernel("odd", odd), k("car")]), ("none", [])]
+    whole, status = chain.kernel_chains(sig, chains, channels=3)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(recording_id") == 1
+    rows = whole.collect()
+    assert [r["status"] for r in status.collect()] == ["ok"] * 4 + ["skipped: no kernels"]
+    got = {}
+    for r in rows:
+        got.setdefault(r["chain"], {})[r["window_index"], r["i"]] = r
+    for name, kernels in (chains[0], chains[2]):
+        want = {(r["window_index"], r["i"]): r for r in chain.kernel_chain(sig, kernels, channels=3).collect()}
+        assert got[name].keys() == want.keys()
+        assert all(got[name][key]["x"] == want[key]["x"] and got[name][key]["window_failed"] == 0 for key in want)
+        assert all(got[name][key][c] == want[key][c] for key in want for c in ("band", "freq_hz") if c in want[key])
+    index = sorted({key[0] for key in got["power"]})
+    bad = [w for w in index if x[w * 80, 0] > 0]
+    assert {key for key, r in got["picky"].items() if r["window_failed"]} == {(w, 0) for w in bad} and 0 < len(bad) < len(index)
+    assert {r["failed_kernel"] for key, r in got["picky"].items() if r["window_failed"]} == {"test_picky"}
+    assert len(got["picky"]) == len(bad) + 160 * (len(index) - len(bad))
+    assert sorted(got["odd"]) == [(w, 0) for w in index] and {r["error"] for r in got["odd"].values()} == {"broken"}
+
+
 def test_tolerance_treats_nan_as_mismatch(spark):
     nan, inf = float("nan"), float("inf")
     ddl = "plugin string, window_index long, i int, ch int, v double"

@@ -224,6 +224,16 @@ def placed(t: np.ndarray, x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return first, out, seen
 
 
+def full_windows(seen: np.ndarray, first: int, lead: int, count: int, W: int, H: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the windows ``lead`` to ``lead + count`` all of whose samples are there, and where they begin in the slice."""
+    ks = np.arange(lead, lead + count)
+    at = ks * H - first
+    whole = (at >= 0) & (at + W <= len(seen))
+    ks, at = ks[whole], at[whole]
+    filled = np.array([bool(seen[a : a + W].all()) for a in at], dtype=bool)
+    return ks[filled], at[filled]
+
+
 def apply_windows(
     signal: DataFrame, final: WindowStage, W: int, H: int, stages: list[Stage] = (), length: int = SLICE
 ) -> DataFrame:
@@ -241,13 +251,7 @@ def apply_windows(
     def emit(name: str, number: int, first: int, x: np.ndarray, seen: np.ndarray) -> pa.Table:
         for stage in blocks:
             x = stage(x)
-        lead = number * per_slice
-        ks = np.arange(lead, lead + per_slice)
-        at = ks * H - first
-        whole = (at >= 0) & (at + W <= len(x))
-        ks, at = ks[whole], at[whole]
-        filled = np.array([bool(seen[a : a + W].all()) for a in at], dtype=bool)
-        ks, at = ks[filled], at[filled]
+        ks, at = full_windows(seen, first, number * per_slice, per_slice, W, H)
         if len(at):
             y = block(np.stack([x[a : a + W] for a in at]))
         else:
@@ -270,3 +274,94 @@ def apply_windows(
     ddl += ", band string" if bands else ""
     ddl += ", freq_hz double" if hz is not None else ""
     return _by_slice(signal, emit, ddl + ", x array<double>", span, history, max(0, W - H))
+
+
+@dataclass(frozen=True)
+class Chain:
+    """A named sequence of transforms: ``stages`` on samples, then ``blocks`` (name, function) on windows."""
+
+    name: str
+    stages: tuple[Stage, ...]
+    blocks: tuple[tuple[str, Callable[[np.ndarray], np.ndarray]], ...]
+    bands: tuple[str, ...] = ()
+    hz_per_row: float | None = None
+
+
+CHAINS_DDL = (
+    "chain string, recording_id string, window_index long, i int, band string, freq_hz double, x array<double>, window_failed int,"
+    " failed_kernel string, error string"
+)
+
+
+def apply_chains(signal: DataFrame, chains: list[Chain], W: int, H: int, length: int = SLICE) -> DataFrame:
+    """All chains over one signal in one pass; leading stages that chains share (the same objects) are worked out once.
+
+    A kernel that raises ends its chain alone, and there only the windows it raises on: each is a row that names the kernel and
+    the error. If it works on samples, those are the windows of that slice."""
+    per_slice = max(1, length // H)
+    history = max((sum(s.history for s in c.stages) for c in chains), default=0)
+
+    def rows(chain: Chain, name: str, ks: np.ndarray, y: np.ndarray) -> pa.Table:
+        n, lines, c = y.shape
+        i = np.tile(np.arange(lines, dtype=np.int32), n)
+        band = pa.array([chain.bands[j] for j in i] if chain.bands else [None] * len(i), pa.string())
+        hz = pa.array(i * chain.hz_per_row if chain.hz_per_row is not None else [None] * len(i), pa.float64())
+        columns = [
+            pa.array([chain.name] * len(i), pa.string()), pa.array([name] * len(i), pa.string()), pa.array(np.repeat(ks, lines), pa.int64()), pa.array(i),
+            band, hz, to_lists(y.reshape(n * lines, c)), pa.array(np.zeros(len(i), np.int32)), pa.nulls(len(i), pa.string()), pa.nulls(len(i), pa.string()),
+        ]
+        return pa.Table.from_arrays(columns, names=_CHAIN_NAMES)
+
+    def failures(chain: Chain, name: str, ks: list[int], kernel: str, error: str) -> pa.Table:
+        n = len(ks)
+        text = lambda v: pa.array([v] * n, pa.string())
+        columns = [
+            text(chain.name), text(name), pa.array(ks, pa.int64()), pa.array(np.zeros(n, np.int32)), text(None), pa.nulls(n, pa.float64()),
+            pa.nulls(n, pa.list_(pa.float64())), pa.array(np.ones(n, np.int32)), text(kernel), text(error),
+        ]
+        return pa.Table.from_arrays(columns, names=_CHAIN_NAMES)
+
+    def through(chain: Chain, w: np.ndarray) -> tuple[np.ndarray | None, str, str]:
+        at = ""
+        try:
+            for at, block in chain.blocks:
+                w = block(w)
+            return w, "", ""
+        except Exception as e:  # the failure is a row of the result
+            return None, at, str(e)
+
+    def of_chain(chain: Chain, name: str, ks: np.ndarray, at: np.ndarray, x: np.ndarray) -> list[pa.Table]:
+        cut = np.stack([x[a : a + W] for a in at])
+        y, _, _ = through(chain, cut)
+        if y is not None:
+            return [rows(chain, name, ks, y)]
+        out = []  # window by window: those that do not raise are whole
+        for j, k in enumerate(ks.tolist()):
+            y, kernel, error = through(chain, cut[j : j + 1])
+            out.append(failures(chain, name, [k], kernel, error) if y is None else rows(chain, name, np.array([k]), y))
+        return out
+
+    def emit(name: str, number: int, first: int, x: np.ndarray, seen: np.ndarray) -> pa.Table:
+        ks, at = full_windows(seen, first, number * per_slice, per_slice, W, H)
+        out = [pa.Table.from_pylist([], schema=_CHAIN_SCHEMA)]
+        done: dict[tuple, np.ndarray] = {(): x}
+        for chain in chains if len(ks) else ():
+            y, used = x, ()
+            try:
+                for stage in chain.stages:
+                    used = (*used, stage)
+                    if used not in done:
+                        done[used] = stage.block(y)
+                    y = done[used]
+            except Exception as e:
+                out.append(failures(chain, name, ks.tolist(), used[-1].name, str(e)))
+                continue
+            out += of_chain(chain, name, ks, at, y)
+        return pa.concat_tables(out)
+
+    return _by_slice(signal, emit, CHAINS_DDL, per_slice * H, history, max(0, W - H))
+
+
+_CHAIN_NAMES = ["chain", "recording_id", "window_index", "i", "band", "freq_hz", "x", "window_failed", "failed_kernel", "error"]
+_CHAIN_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int32(), pa.string(), pa.string()]
+_CHAIN_SCHEMA = pa.schema(list(zip(_CHAIN_NAMES, _CHAIN_KINDS)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavetally.operators import filters, spatial, spectral
-from wavetally.operators.blocks import SLICE, Stage, WindowStage, apply_windows
+from wavetally.operators.blocks import SLICE, Chain, Stage, WindowStage, apply_chains, apply_windows
 from wavetally.operators.windows import check_window
 
 # None stands for any size.
@@ -146,12 +146,8 @@ def _row_wise(stage: Stage) -> Callable[[np.ndarray], np.ndarray]:
     return lambda w: stage.block(w.reshape(-1, w.shape[2])).reshape(w.shape[0], w.shape[1], -1)
 
 
-def kernel_chain(
-    signal: DataFrame, kernels: list[Kernel], W: int = 160, H: int = 80, fs: float = 160.0, channels: int = 64,
-    length: int = SLICE,
-) -> DataFrame:
-    """Windows of the chain's output: recording_id, window_index, i, x."""
-    check_window(W, H)
+def compiled(name: str, kernels: list[Kernel], W: int, fs: float, channels: int) -> Chain:
+    """What a chain does to samples and then to windows; an impossible one raises."""
     chain_shape_check(kernels, W, channels)
     split = next((n for n, k in enumerate(kernels) if k.stage is None), len(kernels))
     leading, rest = kernels[:split], kernels[split:]
@@ -159,28 +155,40 @@ def kernel_chain(
     rows, cols = W, channels
     for k in leading:
         rows, cols = k.output_shape(rows, cols)
-    for n, k in enumerate(rest):
+    for k in rest:
         if k.stage is not None:
             if k.stage.history:
                 raise ValueError(f"{k.name} keeps history over samples and cannot follow {rest[0].name}")
-            blocks.append(_row_wise(k.stage))
+            blocks.append((k.name, _row_wise(k.stage)))
         else:
             made = k.window(rows, fs)
-            blocks.append(made.block)
+            blocks.append((k.name, made.block))
             bands, hz = made.bands, made.hz_per_row
         rows, cols = k.output_shape(rows, cols)
-    final = WindowStage("chain", lambda w: reduce(lambda v, b: b(v), blocks, w), bands, hz)
-    return apply_windows(signal, final, W, H, [k.stage for k in leading], length)
+    return Chain(name, tuple(k.stage for k in leading), tuple(blocks), tuple(bands), hz)
 
 
-def kernel_chain_multi(
+def kernel_chain(
+    signal: DataFrame, kernels: list[Kernel], W: int = 160, H: int = 80, fs: float = 160.0, channels: int = 64,
+    length: int = SLICE,
+) -> DataFrame:
+    """Windows of the chain's output: recording_id, window_index, i, x."""
+    check_window(W, H)
+    made = compiled("chain", kernels, W, fs, channels)
+    final = WindowStage("chain", lambda w: reduce(lambda v, b: b[1](v), made.blocks, w), made.bands, made.hz_per_row)
+    return apply_windows(signal, final, W, H, list(made.stages), length)
+
+
+def kernel_chains(
     signal: DataFrame, chains: list[tuple[str, list[Kernel]]], W: int = 160, H: int = 80, fs: float = 160.0,
-    channels: int = 64,
+    channels: int = 64, length: int = SLICE,
 ) -> tuple[DataFrame | None, DataFrame]:
-    """Several named chains over one signal: (all outputs with a ``chain``
-    column, one status row per chain). Equal names are numbered, empty chains
-    skipped, impossible ones reported."""
-    outputs, status, used = [], [], {}
+    """Several named chains over one signal, read and cut once: (windows of all chains, one status row per chain).
+
+    Equal names are numbered, empty chains skipped, impossible ones reported. A chain that fails while it runs has rows with
+    ``window_failed`` = 1 and the failed kernel where it did, and leaves the others whole."""
+    check_window(W, H)
+    made, status, used = [], [], {}
     for name, kernels in chains:
         safe = name.translate(str.maketrans("/ ", "__"))
         used[safe] = used.get(safe, 0) + 1
@@ -190,12 +198,24 @@ def kernel_chain_multi(
             status.append((label, text, "skipped: no kernels"))
             continue
         try:
-            out = kernel_chain(signal, kernels, W, H, fs, channels)
+            made.append(compiled(label, kernels, W, fs, channels))
         except ValueError as e:
             status.append((label, text, f"failed: {e}"))
             continue
-        outputs.append(out.withColumn("chain", F.lit(label)))
         status.append((label, text, "ok"))
     table = signal.sparkSession.createDataFrame(status, "chain string, kernels string, status string")
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs) if outputs else None
-    return whole, table
+    return apply_chains(signal, made, W, H, length) if made else None, table
+
+
+def kernel_chain_multi(
+    signal: DataFrame, chains: list[tuple[str, list[Kernel]]], W: int = 160, H: int = 80, fs: float = 160.0,
+    channels: int = 64,
+) -> tuple[DataFrame | None, DataFrame]:
+    """``kernel_chains`` without the windows that failed, and without columns that no chain fills."""
+    whole, table = kernel_chains(signal, chains, W, H, fs, channels)
+    if whole is None:
+        return None, table
+    kernels = [k for _, ks in chains for k in ks]
+    empty = [] if any(k.name == "goertzel" for k in kernels) else ["band"]
+    empty += [] if any(k.name in ("fft", "welch_psd") for k in kernels) else ["freq_hz"]
+    return whole.where("window_failed = 0").drop("window_failed", "failed_kernel", "error", *empty), table

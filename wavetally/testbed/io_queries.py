@@ -299,6 +299,31 @@ def _(spark, d):
     return flat(whole.fillna({"band": ""}))
 
 
+# Two chains in one pass, one of which raises on the windows that start above zero.
+@query(
+    "kernel_chains_failing",
+    f"""WITH {F3}, {CLEAN}, m AS (SELECT t, avg(v) AS m FROM sig GROUP BY t), car AS MATERIALIZED (SELECT t, ch, v - m AS v FROM sig JOIN m USING (t)),
+    {win_sql('car', name='cw')}, {TAPS}, {FIR}, {win_sql('fir', name='fw')}, p AS MATERIALIZED (SELECT * FROM fw),
+    bad AS MATERIALIZED (SELECT window_index FROM p WHERE i = 0 AND ch = 0 AND v > 0)
+    SELECT 'plain' AS chain, window_index, i, ch, {r('v', 'v')}, 0 AS window_failed, '' AS failed_kernel FROM cw
+    UNION ALL SELECT 'picky', window_index, i, ch, {r('v * 2', 'v')}, 0, '' FROM p WHERE window_index NOT IN (SELECT window_index FROM bad)
+    UNION ALL SELECT 'picky', window_index, 0, -1, 0, 1, 'above_zero' FROM bad""",
+)
+def _(spark, d):
+    k = chain.kernel
+    picky = chain.register_kernel("above_zero", _reject_positive_start)
+    double = chain.register_kernel("double", lambda w: w * 2)
+    both, _ = chain.kernel_chains(sig(spark, d), [("picky", [k("bandpass_fir"), picky, double]), ("plain", [k("car")])], W, H)
+    long = both.select("chain", "window_index", "i", "window_failed", "failed_kernel", F.posexplode_outer("x").alias("ch", "v"))
+    return rounded(long.fillna({"ch": -1, "v": 0.0, "failed_kernel": ""}))
+
+
+def _reject_positive_start(w):
+    if w[0, 0] > 0:
+        raise ValueError("window starts above zero")
+    return w
+
+
 @query(
     "chain_shape_check",
     """WITH s AS (SELECT p_partkey // 4 AS chain_id, p_partkey % 4 AS position, nullif(p_size % 5, 0) AS in_w, nullif(p_partkey % 3, 0) AS in_c,
