@@ -209,7 +209,7 @@ def csp_filters(c0: np.ndarray, c1: np.ndarray, n_components: int) -> np.ndarray
 def csp_calibrate(signal: DataFrame, labels: DataFrame, W: int, n_components: int = 4) -> DataFrame:
     """Train spatial filters on consecutive windows of W samples.
 
-    ``labels(window_index, label)`` must hold exactly two classes. Windows are
+    ``labels(window_index, label)``, for all recordings alike or with a ``recording_id``, must hold exactly two classes. Windows are
     equally long, so averaging their second moments is one sum per class.
     Returns ``component, x``.
     """
@@ -219,8 +219,10 @@ def csp_calibrate(signal: DataFrame, labels: DataFrame, W: int, n_components: in
     # consecutive windows need no copies: a sample's window is t div W; samples missing or past the last full window count as
     # they do in ``non_overlapping_windows``
     whole = signal.groupBy("recording_id", F.floor(F.col("t") / W).alias("window_index")).agg(F.count("*").alias("n")).where(F.col("n") == W)
-    wanted = broadcast_if_small(whole.drop("n").join(labels.select("window_index", "label"), "window_index"))
-    marked = signal.withColumn("window_index", F.floor(F.col("t") / W)).join(wanted, ["recording_id", "window_index"])
+    keys = [c for c in ("recording_id", "window_index") if c in labels.columns]
+    wanted = broadcast_if_small(whole.drop("n").join(labels.select(*keys, "label"), keys))
+    rows = signal.select("recording_id", "x", F.floor(F.col("t") / W).alias("window_index"))
+    marked = rows.join(wanted, ["recording_id", "window_index"])
     found = _matrices(gram(marked, label="label"))
     filters = csp_filters(found[classes[0]], found[classes[1]], n_components)
     rows = [(i, [float(v) for v in f]) for i, f in enumerate(filters)]
