@@ -58,6 +58,16 @@ def test_ica_reaches_its_tolerance_on_nearly_normal_data(spark):
     assert np.abs(sign * cross - (sign * cross).T).max() < 1e-2 * np.abs(cross).max()
 
 
+def test_sums_of_a_pass_are_the_same_on_every_path(spark, monkeypatch):
+    sig = make(spark, np.random.default_rng(6).standard_normal((600, 5))).repartition(40).cache()
+    args = (40, np.full(5, 0.1), np.eye(5) * 1.1, np.eye(5))
+    near = training._contrast(sig, *args)
+    monkeypatch.setattr(training, "SMALL_SUMS", 0)
+    monkeypatch.setattr(training, "BLOCK_BYTES", 90)
+    far = training._contrast(sig, *args)
+    assert all(np.allclose(getattr(near, f), getattr(far, f), rtol=1e-12) for f in ("cross", "slope", "value"))
+
+
 def test_ica_says_when_it_stops_early(spark):
     x = np.random.default_rng(4).standard_normal((200, 6))
     with pytest.warns(UserWarning, match="above the tolerance"):

@@ -71,6 +71,8 @@ def _vector(means: DataFrame) -> np.ndarray:
 BLOCK_BYTES = 1 << 18
 # Partial sums of so many groups of tasks are added up first.
 FAN = 32
+# Bytes of partial sums of one ICA pass that may come to the driver as they are.
+SMALL_SUMS = 16 << 20
 
 SUMS_DDL = "label int, block int, task int, n long, width int, data binary"
 _SUMS = ["label", "block", "task", "n", "width", "data"]
@@ -278,9 +280,19 @@ def _contrast(signal: DataFrame, tasks: int, mean: np.ndarray, k: np.ndarray, w:
             for b, (lo, hi) in enumerate(_row_blocks(len(mean))):
                 yield from _sum_rows({(0, b): (0, n, len(mean), total[lo:hi])})
 
-    found = summed(signal.select("x").mapInArrow(partial, SUMS_DDL), tasks).select("block", "n", "data").toArrow().to_pylist()
-    found.sort(key=lambda r: r["block"])
-    sums = np.concatenate([np.frombuffer(r["data"]).reshape(-1, len(mean) + 2) for r in found]) / found[0]["n"]
+    c = len(mean)
+    parts = signal.select("x").mapInArrow(partial, SUMS_DDL)
+    if tasks * 8 * c * (c + 2) <= SMALL_SUMS:
+        parts = parts.withColumn("task", F.spark_partition_id())  # few enough to be added up here
+    else:
+        parts = summed(parts, tasks)
+    blocks: dict[int, np.ndarray] = {}
+    n = 0
+    for r in sorted(parts.select("block", "task", "n", "data").toArrow().to_pylist(), key=lambda r: (r["block"], r["task"])):
+        values = np.frombuffer(r["data"]).reshape(-1, c + 2)
+        blocks[r["block"]] = blocks[r["block"]] + values if r["block"] in blocks else values
+        n += r["n"] if r["block"] == 0 else 0
+    sums = np.concatenate([blocks[b] for b in sorted(blocks)]) / n
     return Contrast(sums[:, :-2], sums[:, -2], sums[:, -1])
 
 
