@@ -115,3 +115,40 @@ def test_a_hot_group_does_not_become_all_pairs(spark, monkeypatch):
     got = run(spark, rows)
     assert {c for _, _, c in got} == {0}
     assert sum(tried) < 300 * 40
+
+
+def test_marks_never_part_linked_sets_and_hold_off_long_ones(spark):
+    rnd = np.random.default_rng(7)
+    fresh = lambda n: rnd.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+    rows = []
+    for n in (3, 40, 511, 512, 513, 1000, 1024, 1025, 5000):
+        a = fresh(n)
+        for keep, more in ((n, 0), (n, n // 3), (-(-3 * n // 4), 0), (n - n // 7, n // 7), (n // 2, n // 2)):
+            b = np.concatenate([a[:keep], fresh(more)])
+            rows.append((n, len(b), keep, ngram_join.mark_of(a), ngram_join.mark_of(b)))
+        b = fresh(n + n // 4)
+        rows.append((n, len(b), 0, ngram_join.mark_of(a), ngram_join.mark_of(b)))
+    df = spark.createDataFrame(rows, "na long, nb long, common long, a array<long>, b array<long>")
+    there = df.select("na", "nb", "common", ngram_join._may_reach("a", "na", "b", "nb", 75).alias("x"), ngram_join._may_reach("b", "nb", "a", "na", 75).alias("y"), ngram_join._may_reach("a", "na", "b", "nb", 20).alias("z"))
+    for r in there.collect():
+        assert r["x"] == r["y"]
+        union = r["na"] + r["nb"] - r["common"]
+        if 100 * r["common"] >= 75 * union:
+            assert r["x"]
+        if 100 * r["common"] >= 20 * union:
+            assert r["z"]
+        if r["common"] == 0 and r["na"] > 3:
+            assert not r["x"]
+
+
+def test_long_texts_against_all_pairs(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(12):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([400, 515, 900, 1500]))]
+        for k in range(3):
+            w = list(base)
+            for _ in range(k * len(w) // 45):
+                w[rnd.randrange(len(w))] = f"e{rnd.random()}"
+            rows.append((len(rows), " ".join(w[: len(w) - k * len(w) // 20])))
+    assert run(spark, rows) == brute(rows)

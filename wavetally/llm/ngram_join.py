@@ -11,8 +11,9 @@ are dropped fragment by fragment before anything is joined. The frequency behind
 the order comes from a table of counters over all documents that never
 undercounts; it steers the work, not the result.
 
-Before fragments of a pair meet, 512 parity bits per set bound its overlap from above: sets that differ in more bits than
-the threshold allows differ in more n-grams (an exact filter, never a guess).
+Before fragments of a pair meet, parity bits of both sets bound their overlap from above: sets that differ in more bits
+than the threshold allows differ in more n-grams (an exact filter, never a guess). A set has 512 bits and, if it is larger
+than that, as many again as it has n-grams (the next power of two), so that the bound holds off long texts too.
 
 Identical sets are one node. Among nodes, lists of an n-gram first offer pairs of
 a leader with every other member, leaders changing from round to round; members
@@ -65,9 +66,12 @@ _SHIFT = np.uint64(56)
 
 
 def mark_of(s: np.ndarray) -> list[int]:
-    """``MARK_BITS`` bits, each the parity of the n-grams that fall on it."""
-    parity = np.bincount((s >> np.uint64(20)).astype(np.int64) % MARK_BITS, minlength=MARK_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+    """``MARK_BITS`` bits, each the parity of the n-grams that fall on it; for more n-grams a second, wider run of bits follows."""
+    bits = max(MARK_BITS, 1 << (len(s) - 1).bit_length())
+    parity = (np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)
+    narrow = np.bitwise_xor.reduce(parity.reshape(-1, MARK_BITS), axis=0)
+    both = narrow if bits == MARK_BITS else np.concatenate([narrow, parity])
+    return np.packbits(both).view(np.int64).tolist()
 
 
 def required(size: int, percent: int) -> int:
@@ -333,8 +337,22 @@ def _may_reach(a, na, b, nb, percent: int):
     """The marks of two sets differ in no more bits than sets that reach the threshold differ in n-grams."""
     a, na, b, nb = (F.col(x) if isinstance(x, str) else x for x in (a, na, b, nb))
     both = na + nb
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, MARK_BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
-    return differ <= both - 2 * F.ceil(percent * both / (100 + percent))
+    allowed = both - 2 * F.ceil(percent * both / (100 + percent))
+    words = MARK_BITS // 64
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, words)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    wide = (F.size(a) > words) & (F.size(b) > words)
+    return (differ <= allowed) & F.when(wide, _wide_difference(a, b, words) <= allowed).otherwise(F.lit(True))
+
+
+def _wide_difference(a, b, words: int):
+    """Bits in which the wide runs of two marks differ, the longer one folded to the length of the shorter."""
+    first = F.size(a) <= F.size(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    width = F.size(short) - words
+    folds = F.sequence(F.lit(0), ((F.size(long) - words) / width).cast("int") - 1)
+    start = F.slice(short, words + 1, width)
+    folded = F.aggregate(folds, start, lambda acc, k: F.zip_with(acc, F.slice(long, words + 1 + k * width, width), lambda x, y: x.bitwiseXOR(y)))
+    return F.aggregate(folded, F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x))
 
 
 def _as_pair(s: str, n: str, t: str, m: str) -> list:
