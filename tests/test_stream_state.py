@@ -77,3 +77,20 @@ def test_idle_slices_are_settled_by_a_timer(spark, tmp_path):
 def test_one_kind_of_clock(spark):
     with pytest.raises(ValueError, match="not both"):
         st.Clock(10, 160.0, 100)
+
+
+def test_a_recording_longer_than_the_slack_streams_whole(spark):
+    """Files come in the order of time, however many tasks write them, so nothing is taken for missing."""
+    n = 4 * st.SLACK
+    signal = spark.range(n).selectExpr("'r' AS recording_id", "id AS t", "array(sin(id), cos(id)) AS x")
+    tasks = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in tasks}
+    try:
+        for k, v in tasks.items():
+            spark.conf.set(k, v)
+        stream = st.stream_samples(signal, 256, hops_per_file=2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = st.drain(st.stream_fir(stream, length=4096), "long").select("t").collect()
+    assert sorted(r.t for r in out) == list(range(n))
