@@ -9,7 +9,7 @@ from wavetally.operators.stats import chain_e2e, chain_stats, deadline_miss_rate
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals, without grouping."""
+    """Number with a fixed count of decimals, without grouping; what rounds to zero has no sign."""
     return F.format_string(f"%.{digits}f", F.round(c, digits))
 
 

@@ -232,12 +232,17 @@ def _(spark, d):
     return table.select("section", "name", F.concat_ws(" | ", "cells").alias("cells"))
 
 
+def unsigned_zero(expr: str, digits: int = 2) -> str:
+    """A figure that rounds to zero has no sign: between equal runs that would be chance."""
+    return f"printf('%.{digits}f', round({expr}, {digits}) + 0.0::DOUBLE)"
+
+
 @query(
     "comparison_report",
-    f"""{COMPARE} SELECT plugin AS kernel, {f2('b50')} AS baseline_p50, {f2('c50')} AS candidate_p50, {f2('b95')} AS baseline_p95,
-      {f2('c95')} AS candidate_p95, {f2('b99')} AS baseline_p99, {f2('c99')} AS candidate_p99,
-      (CASE WHEN c50 >= b50 THEN '+' ELSE '' END) || {f2('(c50 - b50) / b50 * 100')} AS relative_change_pct, {f2('d', 3)} AS cohens_d,
-      label AS effect_size_label, {f2('p', 4)} AS p_value,
+    f"""{COMPARE} SELECT plugin AS kernel, {unsigned_zero('b50')} AS baseline_p50, {unsigned_zero('c50')} AS candidate_p50, {unsigned_zero('b95')} AS baseline_p95,
+      {unsigned_zero('c95')} AS candidate_p95, {unsigned_zero('b99')} AS baseline_p99, {unsigned_zero('c99')} AS candidate_p99,
+      (CASE WHEN round((c50 - b50) / b50 * 100, 2) >= 0 THEN '+' ELSE '' END) || {unsigned_zero('(c50 - b50) / b50 * 100')} AS relative_change_pct, {unsigned_zero('d', 3)} AS cohens_d,
+      label AS effect_size_label, {unsigned_zero('p', 4)} AS p_value,
       CASE WHEN verdict IN ('IMPROVED', 'REGRESSED') THEN '**' || verdict || '**' ELSE verdict END AS verdict FROM v""",
 )
 def _(spark, d):
