@@ -27,3 +27,10 @@ def test_report_of_runs_that_hardly_differ(spark, tmp_path):
       FROM events, (SELECT unnest([0, 1]) AS c) WHERE value > 2"""
     rows = agrees(spark, "comparison_report", with_events(tmp_path, both))
     assert {r.cohens_d for r in rows} == {"0.000"} and "+0.00" in {r.relative_change_pct for r in rows}
+
+
+def test_noise_kernel_without_latency(spark, tmp_path):
+    """A noise latency of 0 leaves no ratio, and the limits are not reached."""
+    still = "SELECT * REPLACE (CASE WHEN event_type = 'view' AND user_id % 10 > 0 THEN 0 ELSE value END AS value) FROM events"
+    rows = agrees(spark, "snr_table", with_events(tmp_path, still))
+    assert {(r.overhead_us, r.snr_worst, r.snr_best, r.status) for r in rows} == {(0.0, None, None, "below")}

@@ -282,7 +282,9 @@ SNR_BORDERLINE = 8.0
 
 
 def snr_table(df: DataFrame, noise_kernel: str = "noop", value: str = "latency_us") -> DataFrame:
-    """Latency range of each kernel over the smallest latency of the noise kernel."""
+    """Latency range of each kernel over the smallest latency of the noise kernel.
+
+    Where that is 0 there is no ratio (null), and no limit is reached."""
     warm = filter_warmup(df)
     v = finite_or_null(F.col(value))
     noise = warm.where(F.col("plugin") == noise_kernel).agg(F.min(v).alias("overhead_us"))
