@@ -1,9 +1,13 @@
 """Queries and their SQL on tables with odd values."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 from compare import TABLES, compare, connect
+from wavetally.operators import attribution as att
+from wavetally.operators import ordered
+from wavetally.testbed.telemetry_queries import derived
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -34,3 +38,21 @@ def test_noise_kernel_without_latency(spark, tmp_path):
     still = "SELECT * REPLACE (CASE WHEN event_type = 'view' AND user_id % 10 > 0 THEN 0 ELSE value END AS value) FROM events"
     rows = agrees(spark, "snr_table", with_events(tmp_path, still))
     assert {(r.overhead_us, r.snr_worst, r.snr_best, r.status) for r in rows} == {(0.0, None, None, "below")}
+
+
+@pytest.mark.parametrize("step", [att.freq_stratification])
+def test_attribution_reads_its_input_twice(spark, monkeypatch, step):
+    """Groups beyond one task take many passes; they go over rows written once, not over what made them."""
+    monkeypatch.setattr(ordered, "MAX_SORTED_ROWS", 100)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = derived(spark, SMALL)
+    rows = att.stall_covariate(rows.mapInArrow(counted, rows.schema))
+    n = derived(spark, SMALL).count()
+    step(rows).collect()
+    assert n <= seen.value <= 2 * n

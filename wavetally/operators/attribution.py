@@ -348,12 +348,15 @@ def freq_stratification(
     """p99 of windows near the median frequency and of the others, with a
     distribution test; only kernels with 20 windows on both sides."""
     sizes = sizes or kernel_sizes(df)
-    rows = filter_warmup(df).where(F.col("plugin") != noop)
+    # written once, as are the strata: every percentile and the test take several passes
+    rows = filter_warmup(df).where(F.col("plugin") != noop).select("plugin", "freq_mhz", F.col(value).alias("v"))
+    rows = materialize(rows, "frequencies")
     known = [F.count("*").alias("n_windows"), F.max(F.coalesce(F.col("freq_mhz"), F.lit(0)) != 0).alias("has_freq")]
     centre = exact_percentiles(rows, ["plugin"], "freq_mhz", {"_f50": 0.5}, sizes=sizes, aggs=known)
     centre = centre.where((F.col("n_windows") >= TIER2_WINDOWS) & F.col("has_freq")).select("plugin", "_f50")
     stable = F.abs(F.col("freq_mhz") - F.col("_f50")) < F.col("_f50") * STABLE_SHARE
-    split = rows.join(sizes.small(centre), "plugin").select("plugin", F.col(value).alias("v"), stable.alias("stable"))
+    split = rows.join(sizes.small(centre), "plugin").select("plugin", "v", stable.alias("stable"))
+    split = materialize(split, "strata")
     count = [F.count("*").alias("n")]
     marks = exact_percentiles(split, ["plugin", "stable"], "v", {"p99": 0.99}, sizes=sizes, aggs=count)
 
