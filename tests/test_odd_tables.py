@@ -40,7 +40,7 @@ def test_noise_kernel_without_latency(spark, tmp_path):
     assert {(r.overhead_us, r.snr_worst, r.snr_best, r.status) for r in rows} == {(0.0, None, None, "below")}
 
 
-@pytest.mark.parametrize("step", [att.freq_stratification])
+@pytest.mark.parametrize("step", [att.freq_stratification, att.decompose_run])
 def test_attribution_reads_its_input_twice(spark, monkeypatch, step):
     """Groups beyond one task take many passes; they go over rows written once, not over what made them."""
     monkeypatch.setattr(ordered, "MAX_SORTED_ROWS", 100)

@@ -485,8 +485,11 @@ def attribution_tier(df: DataFrame, value: str = LATENCY, noop: str = NOOP) -> D
 def decompose_run(df: DataFrame, max_hz: float | None = None, value: str = LATENCY, noop: str = NOOP) -> DataFrame:
     """Characterization and attribution of every kernel in one row each."""
     sizes = kernel_sizes(df)
+    # written once: the steps below take some ten passes over these columns, whatever came before them
+    used = {"plugin", "warmup", value, "latency_us", "pmu_instruction_count", "pmu_cycle_count", "pmu_backend_stall_cycles", *COVARIATES}
     rows = stall_covariate(df)
-    described = provenance_map(characterize(df, max_hz, value, noop, sizes)).drop("_freq_reason", "_has_max")
+    rows = materialize(rows.select(*[c for c in rows.columns if c in used]), "decomposed-rows")
+    described = provenance_map(characterize(rows, max_hz, value, noop, sizes)).drop("_freq_reason", "_has_max")
     cohorts = cohort_table(rows, value, noop, sizes)
     tests = cohort_compare(cohorts, sizes)
     tests = tests.groupBy("plugin").agg(
