@@ -152,3 +152,37 @@ def test_long_texts_against_all_pairs(spark):
                 w[rnd.randrange(len(w))] = f"e{rnd.random()}"
             rows.append((len(rows), " ".join(w[: len(w) - k * len(w) // 20])))
     assert run(spark, rows) == brute(rows)
+
+
+def test_a_pair_of_many_lists_is_offered_about_once(spark, monkeypatch):
+    """Variants of one text share many long lists; a join by lists alone offers a pair once for each of them."""
+    made = []
+    crossing = ngram_join.crossing_pairs
+
+    def counted(*args):
+        pairs = crossing(*args)
+        made.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "crossing_pairs", counted)
+    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 0)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(1 + i % 3):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
+    ((offered, different),) = made
+    assert different > 500
+    assert offered < 2 * different
+
+
+def test_pairs_left_to_an_earlier_list_are_never_lost(spark, monkeypatch):
+    for name, value in (("LEADER_ROUNDS", 0), ("MOST_ROUNDS", 0), ("SMALL_LIST", 1), ("FIRST_LISTS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(11)
+    assert run(spark, rows) == brute(rows)

@@ -17,10 +17,11 @@ than that, as many again as it has n-grams (the next power of two), so that the
 
 Identical sets are one node. Among nodes, lists of an n-gram first offer pairs of
 a leader with every other member, leaders changing from round to round; members
-of one component are never paired again. Only what is left then, pairs of
-different components that share a prefix n-gram, is enumerated. So a group of
-near copies costs its size and not its square, and no link between components is
-lost.
+of one component are never paired again. Rounds go on while they link sets and
+long lists are still mixed. Only what is left then, pairs of different components
+that share a prefix n-gram, is enumerated, and of all lists a pair shares, only
+the first offers it. So a group of near copies costs its size and not its square,
+and no link between components is lost.
 
 Hashes have 64 bits: results are exact but for collisions.
 
@@ -58,6 +59,9 @@ FRAGMENTS = 4
 FRAGMENT_POSTINGS = 2_000_000
 BLOCK_SETS = 4_000
 LEADER_ROUNDS = 2
+MOST_ROUNDS = 3
+PAIRS_PER_POSTING = 8  # mixed lists that offer more than this get another round of leaders first
+FIRST_LISTS = 8
 BROADCAST_SETS = 200_000
 MARK_BITS = 512
 SMALL_LIST = 16
@@ -365,30 +369,56 @@ def _as_pair(s: str, n: str, t: str, m: str) -> list:
     ]
 
 
-def set_components(postings: DataFrame, parts: DataFrame, marks: DataFrame, percent: int, rounds: int = LEADER_ROUNDS) -> DataFrame:
+def crossing_pairs(lists: DataFrame, lead: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): pairs of different components that share a list and may reach the threshold.
+
+    In a long list a pair is left to an earlier long list that offers it as well. What is known of a set's lists are its
+    ``FIRST_LISTS`` least: the least that a pair shares never leaves it to another, so no pair is lost, and near copies,
+    which share most of their lists, are offered about once."""
+    mixed = lists.join(lead.select("h", "lc", "size"), "h")
+    firsts = lambda x: F.slice(F.sort_array(F.collect_list(x)), 1, FIRST_LISTS)
+    known = mixed.where(F.col("size") > SMALL_LIST).groupBy("s").agg(firsts("h").alias("held"), firsts(F.when(F.col("near"), F.col("h"))).alias("near_in"))
+    mixed = mixed.join(marks, "s").join(known, "s", "left").withColumn("alone", F.col("c") != F.col("lc"))
+    names = ("s", "n", "c", "near", "mark", "held", "near_in", "alone")
+    other = mixed.select(F.col("h").alias("h_t"), *[F.col(x).alias(f"{x}_t") for x in names])
+    alone = mixed.where("alone").select("h", "size", *names)
+    smaller = (F.col("n") < F.col("n_t")) | ((F.col("n") == F.col("n_t")) & (F.col("s") < F.col("s_t")))
+    reach = F.when(smaller, F.col("near")).otherwise(F.col("near_t"))
+    once = ~F.col("alone_t") | (F.col("s") < F.col("s_t"))
+    shared = F.when(smaller, F.array_intersect("near_in", "held_t")).otherwise(F.array_intersect("near_in_t", "held"))
+    earlier = (F.col("size") > SMALL_LIST) & F.coalesce(F.array_min(shared) < F.col("h"), F.lit(False))
+    fitting = (F.col("c") != F.col("c_t")) & once & _fits("n", "n_t", percent) & reach & _may_reach("mark", "n", "mark_t", "n_t", percent)
+    return alone.join(other, (F.col("h") == F.col("h_t")) & fitting & ~earlier).select(*_as_pair("s", "n", "s_t", "n_t"))
+
+
+def set_components(postings: DataFrame, parts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(s, c): the component of every set of the postings that links to another."""
     rank = postings.groupBy("s").agg((-F.count("*")).alias("rank"))  # sets with most shared n-grams are most central
     state = materialize(rank.withColumn("c", F.col("s")), "components")
     tried = None
-    for k in range(rounds + 1):
+    room = PAIRS_PER_POSTING * postings.count()
+    k, more, last = 0, True, False
+    while not last:
         lists = postings.join(state, "s")
-        order = F.col("rank") if k in (0, rounds) else F.xxhash64("s", "h", F.lit(k))
-        lead = lists.groupBy("h").agg(
-            F.min(F.struct(order.alias("o"), F.col("s").alias("ls"), F.col("n").alias("ln"), F.col("c").alias("lc"))).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")
-        )
-        lead = lead.where("lo <> hi").select("h", "l.ls", "l.ln", "l.lc")
-        outside = lists.join(lead, "h").where("c <> lc")
-        if k < rounds:
-            pairs = outside.where(_fits("n", "ln", percent)).select(*_as_pair("s", "n", "ls", "ln"))
-        else:
+
+        def leaders(order):
+            lead = lists.groupBy("h").agg(
+                F.min(F.struct(order.alias("o"), F.col("s").alias("ls"), F.col("n").alias("ln"), F.col("c").alias("lc"))).alias("l"),
+                *[F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")],
+            )
+            return lead.where("lo <> hi").select("h", "l.ls", "l.ln", "l.lc", "size")
+
+        lead = leaders(F.col("rank"))
+        if k >= LEADER_ROUNDS:
             # all that is left: sets outside the leader's component with every member of another component
-            mixed = lists.join(lead.select("h"), "h", "left_semi").join(marks, "s")
-            other = mixed.select("h", *[F.col(x).alias(f"{x}_t") for x in ("s", "n", "c", "near", "mark")])
-            smaller = (F.col("n") < F.col("n_t")) | ((F.col("n") == F.col("n_t")) & (F.col("s") < F.col("s_t")))
-            reach = F.when(smaller, F.col("near")).otherwise(F.col("near_t"))
-            fitting = (F.col("c") != F.col("c_t")) & _fits("n", "n_t", percent) & reach & _may_reach("mark", "n", "mark_t", "n_t", percent)
-            alone = mixed.join(lead.select("h", "lc"), "h").where("c <> lc").select("h", "s", "n", "c", "near", "mark")
-            pairs = alone.join(other, (alone["h"] == other["h"]) & fitting).select(*_as_pair("s", "n", "s_t", "n_t"))
+            last = not more or k >= MOST_ROUNDS or (lists.join(lead, "h").where("c <> lc").agg(F.sum("size")).first()[0] or 0) <= room
+        if last:
+            pairs = crossing_pairs(lists, lead, marks, percent)
+        else:
+            lead = leaders(F.xxhash64("s", "h", F.lit(k))) if k else lead
+            outside = lists.join(lead, "h").where("c <> lc")
+            pairs = outside.where(_fits("n", "ln", percent)).select(*_as_pair("s", "n", "ls", "ln"))
+        k += 1
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -396,12 +426,14 @@ def set_components(postings: DataFrame, parts: DataFrame, marks: DataFrame, perc
         pairs = pairs.where(_may_reach("mark_a", "na", "mark_b", "nb", percent)).select("a", "b", "na", "nb")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        if pairs.isEmpty():
+        more = not pairs.isEmpty()
+        if not more:
             continue
         links = linked(pairs, parts, percent)
         ends = state.select("s", "c")
         joined = links.join(ends.toDF("a", "ca"), "a").join(ends.toDF("b", "cb"), "b").select("ca", "cb").distinct()
-        roots = star_components(joined, "ca", "cb")
+        roots = materialize(star_components(joined, "ca", "cb"), "roots")
+        more = not roots.isEmpty()
         state = materialize(
             state.join(roots.toDF("c", "root"), "c", "left").select("s", "rank", F.coalesce("root", "c").alias("c")), "components"
         )
