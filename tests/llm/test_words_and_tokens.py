@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from wavetally.llm import bloom
+from wavetally.llm import bloom, tokens
 from wavetally.llm.tokens import WordEncoder
 from wavetally.llm.words import Words, ngrams, shingle_sets
 
@@ -64,3 +64,17 @@ def test_bloom_filter_finds_all_and_little_else(spark):
     assert bloom.contains(made, keys.view(np.uint64)).all()
     assert bloom.contains(made, (keys + 1).view(np.uint64)).mean() < 0.01
     assert not bloom.of_column(df.limit(0), "k", bits).any()
+
+
+def test_words_in_use_outlast_a_full_cache_and_a_task():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = tokens.WordEncoder(path, cached=40)
+    asked = []
+    word = encoder.words.encode
+    encoder.words.encode = lambda w: asked.append(w) or word(w)
+    for i in range(200):
+        text = f"often Often OFTEN rare{i} é{i}"
+        assert encoder.encode(text) == encoder.library(text)
+        assert len(encoder.words) + len(encoder.words.older) <= 48
+    assert asked.count("often") == 1
+    assert tokens.word_encoder(path) is tokens.word_encoder(path)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavetally.llm.common import slices
-from wavetally.llm.tokens import WordEncoder
+from wavetally.llm.tokens import word_encoder
 from wavetally.sources.recording import file_system
 
 MAGIC = b"EFTOK001"
@@ -148,8 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shar
     Texts are encoded where they are read; ids move once, to the shard their doc_id falls into."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
-        wide = id_width(encoder.tokenizer.get_vocab_size(), end_id)
+        encoder = word_encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches):
             ids = [np.frombuffer(encoder.encode(t or "") + end, "<u4").astype(f"<u{wide}").tobytes() for t in part.column("text").to_pylist()]
@@ -158,7 +157,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shar
 
     def shard(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        wide = id_width(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id)
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         names = table.column("doc_id").to_pylist()
         held = table.column("ids").to_pylist()
@@ -176,6 +174,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, shar
             ["shard", "path", "documents", "tokens"],
         )
 
+    wide = id_width(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lowest = np.iinfo(np.int64).min
     bounds = docs.sparkSession.sparkContext.broadcast(np.array(_bounds(rows, shard_chars), dtype=np.int64))
