@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetally.llm.common import extended, slices
-from wavetally.llm.tokens import WordEncoder
+from wavetally.llm.tokens import word_encoder
 from wavetally.session import materialize
 
 GROUP_PIECES = 20_000
+CACHED_WORDS = 600_000
 ID_BYTES = 4
 
 
@@ -53,7 +54,7 @@ def cut(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     """Pieces of at most ``length`` ids: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path, CACHED_WORDS)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = length * ID_BYTES
         for part in slices(batches):
