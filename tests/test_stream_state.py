@@ -1,6 +1,7 @@
 """State of streams: its size, its timers, what comes late."""
 
 import time
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -94,3 +95,48 @@ def test_a_recording_longer_than_the_slack_streams_whole(spark):
             spark.conf.set(k, v)
     out = st.drain(st.stream_fir(stream, length=4096), "long").select("t").collect()
     assert sorted(r.t for r in out) == list(range(n))
+
+
+@contextmanager
+def settings(spark, **values):
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_batches_save_changes_in_a_partition_to_a_core(spark, tmp_path):
+    """Many shuffle partitions make no more tasks a batch than there are cores, and no batch saves whole stores."""
+    x = np.random.default_rng(6).standard_normal((400, 2))
+    stream = st.stream_fir(st.stream_samples(make(spark, x), 20), length=64)
+    path = str(tmp_path / "out")
+    with settings(spark, **{"spark.sql.shuffle.partitions": "64"}):
+        first = st.drain(stream, "x", path)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    with settings(spark, **{"spark.sql.shuffle.partitions": "3"}):
+        again = st.drain(stream, "x", path)  # nothing new; the partitions stay
+    state = tmp_path / "out-progress" / "state" / "0"
+    assert len([p for p in state.iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+    batches = len(list((tmp_path / "out-progress" / "commits").glob("[0-9]*")))
+    saved = [p for p in state.rglob("*.changelog") if not p.name.startswith(".")]
+    assert batches >= 4 and len(saved) >= batches * spark.sparkContext.defaultParallelism
+    assert first.count() == again.count() == 400
+
+
+def test_replay_shuffles_once(spark):
+    """Every step of the replay is one job: its rows were dealt out when the steps were laid."""
+    n, steps = 64 * 30, 30
+    x = np.random.default_rng(7).standard_normal((n, 2))
+    signal = make(spark, x)
+    spark.sparkContext.setJobGroup("replay", "")
+    try:
+        stream = st.stream_samples(signal, 16, hops_per_file=2, slack=128)  # two files a step
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert steps <= len(spark.sparkContext.statusTracker().getJobIdsForGroup("replay")) < 2 * steps
+    rows = [r.t for r in st.drain(stream, "x").select("t").collect()]
+    assert sorted(rows) == list(range(n))
