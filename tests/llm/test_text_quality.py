@@ -127,6 +127,30 @@ def test_filters_agree_with_exact_sets(spark):
     assert found[900]["lang_pred"] == "und" and found[900]["score"] == 0.0
 
 
+def test_more_languages_than_bits_in_a_byte():
+    rnd = np.random.default_rng(8)
+    masks = rnd.integers(0, 1 << 20, 5000).astype(np.uint32)
+    owner = np.concatenate([np.sort(rnd.integers(0, 7, 2500)), np.sort(rnd.integers(0, 7, 2500))])  # text 7 has no n-gram
+    want = [[np.count_nonzero((owner == i) & (masks >> k & 1 > 0)) for k in range(19)] for i in range(8)]
+    assert language_id._hits(masks, owner, 8, 19).tolist() == want
+    assert language_id._hits(masks[:0], owner[:0], 2, 19).tolist() == [[0] * 19] * 2
+
+
+def test_language_counts_shuffle_once_and_texts_stay_in_python(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the other", "en"), ("the", "de"), (None, "en"), ("und", None), ("the", "en")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.gram_counts(df)
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    n = {(r.gram.to_bytes(8, "big").lstrip(b"\0")[1:].decode(), k): v for r in counts.collect() for k, v in r.n.items()}
+    assert n["the", "en"] == 3 and n["the", "de"] == 1 and n[" the", "en"] == 2 and n[" othe", "en"] == 1 and ("und", "en") not in n
+    model = language_id.train(df)
+    whole = language_id.identify(df, model)
+    part = language_id.identify(df, model, ["doc_id"])
+    assert part.columns == ["doc_id", "lang_pred", "score"]
+    assert sorted(part.collect()) == sorted(whole.select(*part.columns).collect())
+
+
 def test_language_edges(spark):
     d = docs(spark, [*EDGES, "12 34 !!", "漢字"])
     empty = language_id.train(d.limit(0))

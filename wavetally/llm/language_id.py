@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ MIN_SHARE = 2e-6
 MIN_RELATIVE = 0.1
 UNKNOWN = "und"
 MERGE_AT = 2_000_000
+# Text handled at once: the arrays of its n-grams, some 20 times its size each, stay in the processor's cache.
+CACHED_BYTES = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
 _CLASS = np.full(256, 32, dtype=np.uint8)
@@ -56,28 +59,22 @@ def text_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Texts are set apart by a blank; a blank may begin or end an n-gram, not lie inside one."""
     data, at = utf8(column)
     n_texts = len(at) - 1
-    spread = np.full(len(data) + n_texts + 1, 32, dtype=np.uint64)
-    text_of = np.repeat(np.arange(n_texts), np.diff(at))
-    spread[np.arange(len(data)) + text_of + 1] = _CLASS[data]
     owner = np.repeat(np.arange(n_texts), np.diff(at) + 1)
-    owner = np.append(owner, n_texts - 1) if n_texts else owner
+    inside = np.ones(len(data) + n_texts + 1, dtype=bool)
+    inside[at + np.arange(n_texts + 1)] = False
+    spread = np.full(len(inside), 32, dtype=np.uint64)
+    spread[inside] = _CLASS[data]
     blank = spread == 32
-    grams, owners = [], []
-    for n in SIZES:
-        m = len(spread) - n + 1
-        if m <= 0:
-            continue
-        packed = np.full(m, n, dtype=np.uint64)
-        crossed = np.zeros(m, dtype=bool)
-        for i in range(n):
-            packed = (packed << np.uint64(8)) | spread[i : i + m]
-            if 0 < i < n - 1:
-                crossed |= blank[i : i + m]
-        keep = ~crossed & ~(blank[:m] & blank[n - 1 : n - 1 + m])
-        grams.append(packed[keep])
-        owners.append(owner[1 : m + 1][keep] if n_texts else owner[:0])
-    if not grams:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    packed, crossed = spread, np.zeros(len(spread), dtype=bool)
+    for n in range(2, min(max(SIZES), len(spread)) + 1):
+        packed = (packed[:-1] << np.uint64(8)) | spread[n - 1 :]  # of n bytes each
+        last = blank[n - 1 :]
+        if n in SIZES:
+            keep = np.flatnonzero(~(crossed[: len(last)] | (blank[: len(last)] & last)))
+            grams.append(packed[keep] | np.uint64(n << 8 * n))
+            owners.append(owner[keep])
+        crossed = crossed[: len(last)] | last  # a blank after the first byte
     return np.concatenate(grams), np.concatenate(owners)
 
 
@@ -102,13 +99,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array([lang] * len(k), pa.string()), pa.array(as_long(k)), pa.array(c)], ["lang", "gram", "n"]
                 )
 
-    for part in slices(batches):
-        langs = part.column("lang").to_pylist()
-        grams, owner = text_grams(part.column("text"))
-        codes = {lang: i for i, lang in enumerate(sorted(set(langs)))}
-        of = np.array([codes[x] for x in langs], dtype=np.int64)[owner]
-        for lang, i in codes.items():
-            keys, counts = np.unique(grams[of == i], return_counts=True)
+    for part in slices(batches, limit=CACHED_BYTES):
+        for lang in pc.unique(part.column("lang")).to_pylist():
+            grams, _ = text_grams(part.filter(pc.equal(part.column("lang"), lang)).column("text"))
+            keys, counts = np.unique(grams, return_counts=True)
             held.setdefault(lang, []).append((keys, counts))
             size += len(keys)
         if size > MERGE_AT:
@@ -139,10 +133,13 @@ class Model:
 
 
 def _positions(grams: np.ndarray, m: int) -> Iterator[np.ndarray]:
+    """The ``HASHES`` positions of every n-gram, as the signed integers that numpy looks up without a copy."""
     h = mix64(grams)
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(HASHES):
-        yield (h + np.uint64(i) * step) & np.uint64(m - 1)
+        yield (h & np.uint64(m - 1)).view(np.int64)
+        if i + 1 < HASHES:
+            h = h + step
 
 
 def _mask_type(languages: int):
@@ -152,15 +149,21 @@ def _mask_type(languages: int):
     raise ValueError("at most 64 languages to a filter")
 
 
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """Per n-gram a map from each language that has it to the times: the few languages of an n-gram side by side.
+
+    One shuffle by n-gram serves both sums; a task's counts are already sums."""
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    counts = rows.mapInArrow(_count, "lang string, gram long, n long").repartition("gram")
+    counts = counts.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    return counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+
+
 def train(docs: DataFrame, min_share: float = MIN_SHARE, min_relative: float = MIN_RELATIVE) -> Model:
     """Learn from the rows of ``docs`` that have a text and a lang.
 
     Counting runs over all rows; what reaches the driver is bounded by 1 / ``min_share`` n-grams per language."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    # per n-gram the few languages that have it side by side: one row per n-gram, no second shuffle
-    per_gram = counts.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    per_gram = per_gram.persist()
+    per_gram = gram_counts(docs).persist()
     totals = {
         r["lang"]: r["n"]
         for r in per_gram.select(F.explode("n").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
@@ -187,23 +190,38 @@ def train(docs: DataFrame, min_share: float = MIN_SHARE, min_relative: float = M
     return Model(languages, cells, fill**HASHES)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``score``, the corrected share of n-grams the language knows."""
+def identify(docs: DataFrame, model: Model, returned: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred`` and ``score``, the corrected share of n-grams the language knows.
+
+    ``returned``: the columns of ``docs`` to give back, all by default; texts left out do not travel back from Python."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.slices, model.false_rate))  # plain types: tasks lack this package
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = extended(docs.select(*[F.col(f"`{c}`") for c in keep]).schema, "lang_pred string, score double")
+    back = keep if returned is None else returned
+    schema = extended(docs.select(*[F.col(f"`{c}`") for c in back]).schema, "lang_pred string, score double")
+    at = [keep.index(c) for c in back]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for part in slices(batches):
+        for part in slices(batches, limit=CACHED_BYTES):
             texts = part.column(part.schema.get_field_index("text"))
             lang, score = _decide(m, texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+            columns = [*[part.column(i) for i in at], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*back, "lang_pred", "score"])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(predict, schema)
 
 
+def _hits(masks: np.ndarray, owner: np.ndarray, n_texts: int, languages: int) -> np.ndarray:
+    """Per text and language the n-grams that have the language's bit: one count of (text, bits) for eight languages."""
+    hits = []
+    for first in range(0, languages, 8):
+        bits = (masks >> masks.dtype.type(first)) & masks.dtype.type(255)
+        per_text = np.bincount(owner * 256 + bits.astype(np.int64), minlength=n_texts * 256).reshape(n_texts, 256)
+        hits.append(per_text @ ((np.arange(256)[:, None] >> np.arange(8)) & 1))
+    return np.concatenate(hits, axis=1)[:, :languages]
+
+
 def _decide(m: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     n_texts = len(texts)
     lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
@@ -211,11 +229,8 @@ def _decide(m: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         return [UNKNOWN] * n_texts, np.zeros(n_texts)
     grams, owner = text_grams(texts)
     total = np.bincount(owner, minlength=n_texts)
-    masks = m.masks(grams)
-    known = np.empty((n_texts, len(m.languages)))
-    for i, false_rate in enumerate(m.false_rate):
-        hits = np.bincount(owner, weights=(masks >> masks.dtype.type(i)) & masks.dtype.type(1), minlength=n_texts)
-        known[:, i] = np.clip((hits - total * false_rate) / (1 - false_rate), 0, None)
+    hits = _hits(m.masks(grams), owner, n_texts, len(m.languages))
+    known = np.clip((hits - total[:, None] * m.false_rate) / (1 - m.false_rate), 0, None)
     best = known.argmax(axis=1)
     score = known[np.arange(n_texts), best] / np.maximum(total, 1)
     score = np.where(lettered, np.clip(score, 0.0, 1.0), 0.0)
